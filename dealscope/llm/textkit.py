@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -101,7 +101,7 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     at = off[1:][off[1:] > 0] - 1
     last[at] = m[at]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return s, e, np.searchsorted(off, s, side="right") - 1
+    return s, e, np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(s, off)))
 
 
 def row_bounds(row: np.ndarray, n: int) -> np.ndarray:
@@ -140,3 +140,11 @@ def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> tuple[np.nd
 def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and n + 1 bounds."""
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
+
+
+def sequence_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each range of 64-bit values."""
+    up, down = _powers(len(values))
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(mix(values.copy()) * up[: len(values)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
