@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language, packing, quality
+import functools
+from pathlib import Path
+
+from . import compact_windows, decontaminate, html_text, language, line_templates, ngram_join, packing, pii, quality, suffix_dedup
 
 
 def pipeline(spark, sf_dir):
@@ -11,12 +14,34 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _importable(query):
+    """Python workers find this package wherever the driver was started from."""
+
+    @functools.wraps(query)
+    def call(spark, sf_dir):
+        env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+        if root not in env.get("PYTHONPATH", "").split(":"):
+            env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
+        return query(spark, sf_dir)
+
+    return call
+
+
 QUERIES = {
-    "op3_html_text": html_text.op3_html_text,
-    "op5_quality": quality.op5_quality,
-    "op6_language": language.op6_language,
-    "op7_packing": packing.op7_packing,
-    "op10_decontaminate": decontaminate.op10_decontaminate,
+    f.__name__: _importable(f)
+    for f in (
+        line_templates.op1_line_templates,
+        pii.op2_pii,
+        html_text.op3_html_text,
+        suffix_dedup.op4_suffix_dedup,
+        quality.op5_quality,
+        language.op6_language,
+        packing.op7_packing,
+        compact_windows.op8_compact_windows,
+        ngram_join.op9_ngram_join,
+        decontaminate.op10_decontaminate,
+        pipeline,
+    )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op4_suffix_dedup": suffix_dedup.ORACLE, "op9_ngram_join": ngram_join.ORACLE}
