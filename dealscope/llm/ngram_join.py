@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .shared import components, stored, table
 
-SHINGLE, THRESHOLD, HOT, UNIT, FRAGMENTS, PARTS = 4, 85, 1 << 20, 3_000_000, 4, 32
+SHINGLE, THRESHOLD, HOT, UNIT, FRAGMENTS, PARTS = 4, 85, 1 << 18, 3_000_000, 4, 32
 
 
 def _sets(column, k: int):
@@ -72,7 +72,7 @@ def hot_shingles(documents: DataFrame, k: int) -> np.ndarray:
             yield repeated(parts)
 
     top = documents.select("text").mapInArrow(work, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT)
-    return np.sort(top.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+    return np.sort(top.select("h").toArrow()["h"].to_numpy().view(np.uint64))
 
 
 def _prefixes(documents: DataFrame, hot: np.ndarray, k: int, threshold: int) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .shared import stored, table
 
-LENGTH, GRAM, MAP_BITS, CHUNK, HOT_GROUP = 50, 16, 28, 1 << 22, 200_000
+LENGTH, GRAM, MAP_BITS, CHUNK, HOT_GROUP = 50, 16, 26, 1 << 22, 200_000
 _SPAN = LENGTH - GRAM + 1
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -109,9 +109,9 @@ def _anchors(docs: DataFrame, bitmap=None) -> DataFrame:
 def _bitmap(shared: DataFrame) -> np.ndarray:
     """One bit per hashed minimizer; 2 ** MAP_BITS bits whatever the input."""
     slot = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit((1 << (MAP_BITS - 6)) - 1)).cast("int")
-    words = shared.select(slot.alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    words = shared.select(slot.alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return out
 
 
