@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -24,6 +25,9 @@ def stored(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
     path = f"{scratch(df.sparkSession)}/dealscope-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # what is written needs its shuffle files no more; Spark deletes them once the driver collects its garbage
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
