@@ -1,14 +1,16 @@
-"""All queries of the reference's own operators and their DuckDB counterparts."""
+"""All queries of the library's own operators and their DuckDB counterparts."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+import importlib
+
+MODULES = ("kpi", "profile", "clean", "series", "points", "leads")
+_books = [importlib.import_module(f"dealscope.operators.{m}").book for m in MODULES]
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {k: q for b in _books for k, q in b.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return {k: q for b in _books for k, q in b.oracle.items()}
