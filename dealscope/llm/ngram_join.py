@@ -119,9 +119,10 @@ def _fragments(documents: DataFrame, k: int, fragments: int) -> DataFrame:
 def _verified(pairs: DataFrame, documents: DataFrame, k: int, threshold: int, fragments: int) -> DataFrame:
     """The pairs (a, b, na, nb) that are similar enough: overlaps counted per fragment, summed per pair."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(_fragments(documents.join(ids, "doc_id", "left_semi"), k, fragments).dropDuplicates(["id", "fragment"]))
+    sets = stored(_fragments(documents.join(ids, "doc_id", "left_semi"), k, fragments))
     left, right = (sets.select(F.col("id").alias(c), "fragment", F.col("hashes").alias(f"{c}s")) for c in ("a", "b"))
-    part = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("as", "bs")).alias("both"))
+    part = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("as", "bs")).alias("both"))
+    part = part.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("both").alias("both"))  # a doc_id may have several rows
     both = part.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
     return both.where(100 * F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
@@ -148,8 +149,10 @@ def link_documents(documents: DataFrame, k: int = SHINGLE, threshold: int = THRE
         enough = lambda both: (100 + threshold) * both >= need
         return fits(x["n"], y["n"]) & (~F.col("hot") | enough(F.least(x["warm"], y["warm"])) & enough(room))
 
-    star = shared.where((F.col("id") != F.col("low")) & fits(F.col("n"), F.col("nlow"))).select(F.col("low").alias("a"), F.col("id").alias("b"), F.col("nlow").alias("na"), F.col("n").alias("nb")).distinct()
-    star = stored(star)
+    star = shared.where((F.col("id") != F.col("low")) & fits(F.col("n"), F.col("nlow"))).select(F.col("low").alias("a"), F.col("id").alias("b"), F.col("nlow").alias("na"), F.col("n").alias("nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
+    # what lies behind both prefixes cannot make up for too few common shingles within them
+    behind = F.ceil(F.greatest("na", "nb") * threshold / 100) - 1
+    star = stored(star.where((100 + threshold) * (F.col("common") + behind) >= threshold * (F.col("na") + F.col("nb"))).drop("common"))
     links = stored(_verified(star, docs, k, threshold, fragments))
     label = components(links)
     # what the star left open: members of a group in different components

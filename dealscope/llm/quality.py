@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .shared import table
 
-MAX_LABELLED, THRESHOLD, BITS, EPOCHS = 3000, 0.5, 16, 150
+MAX_LABELLED, THRESHOLD, BITS, EPOCHS = 2000, 0.5, 16, 150
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _UPPER = np.zeros(256, bool)
@@ -135,11 +136,11 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     y = t["y"].to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         return {"w": None}
-    lens = np.array([len(v) for v in t["at"]])
-    flat = t["at"].combine_chunks().flatten().to_numpy().astype(np.int64)
-    val = t["value"].combine_chunks().flatten().to_numpy().astype(np.float64)
+    lens = pc.list_value_length(t["at"]).to_numpy()
+    flat = t["at"].combine_chunks().flatten().to_numpy()
+    val = t["value"].combine_chunks().flatten().to_numpy()
     dense = np.concatenate([t["dense"].combine_chunks().flatten().to_numpy().reshape(-1, N_DENSE), np.ones((len(y), 1))], axis=1).astype(np.float64)
-    row = np.repeat(np.arange(len(y)), lens)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), lens)
     order = np.argsort(t["doc_id"].to_numpy(), kind="stable")
     held = np.zeros(len(y), bool)
     held[order[::5]] = True

@@ -217,9 +217,9 @@ def repeated_spans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     runs = stored(_anchors(reps, _bitmap(shared)).join(shared, "h"))
     least = stored(runs.groupBy("h", "ctx").agg(F.min("doc").alias("lo")))
     many = least.groupBy("h").agg(F.count("*").alias("ctxs")).where("ctxs > 1").select("h")
-    marked = runs.join(least, ["h", "ctx"])
+    marked = stored(runs.join(least, ["h", "ctx"]).drop("ctx"))
     whole = marked.where("lo < doc").select("doc", "tid", F.col("j").alias("s"), (F.col("j") + F.col("n") - 1).alias("e"))
-    edge = marked.where("lo = doc").join(many, "h", "left_semi").groupBy(F.col("doc").alias("doc_id"), "tid").agg(F.collect_list(F.struct("h", "j", "n", "a")).alias("runs"))
+    edge = stored(marked.where("lo = doc").join(many, "h", "left_semi").groupBy(F.col("doc").alias("doc_id"), "tid").agg(F.collect_list(F.struct("h", "j", "n", "a")).alias("runs")))
     cut = stored(_cut_runs(reps.join(edge, ["doc_id", "tid"]).select("doc_id", "tid", "text", "runs")))
     spans = whole.union(_edge_windows(cut)).groupBy("doc", "tid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     full = copies.select(F.col("doc_id").alias("doc"), "tid", F.array(F.struct(F.lit(0).cast("long").alias("s"), F.lit(-1).cast("long").alias("e"))).alias("spans"))
