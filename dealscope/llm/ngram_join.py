@@ -23,12 +23,16 @@ doc_id is kept, unlinked.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .line_templates import _among, _blocks
 from .shared import components, stored, table
 
 SHINGLE, THRESHOLD, HOT, UNIT, FRAGMENTS, PARTS = 4, 85, 1 << 18, 3_000_000, 4, 32
@@ -104,9 +108,17 @@ def _prefixes(documents: DataFrame, hot: np.ndarray, k: int, threshold: int) ->
     return documents.select("doc_id", "text").mapInArrow(work, "doc_id bigint, n bigint, mark1 bigint, mark2 bigint, prefix array<bigint>, cold bigint, warm bigint, parts array<int>")
 
 
-def _fragments(documents: DataFrame, k: int, fragments: int) -> DataFrame:
+def _fragments(documents: DataFrame, wanted: np.ndarray, k: int, fragments: int) -> DataFrame:
+    """The sets of the wanted doc_ids, cut by hash range; a map over the documents, so no text is shuffled."""
+    known = documents.sparkSession.sparkContext.broadcast(wanted)
+
     def work(batches):
-        for b in tk.slices(batches):
+        for b in batches:
+            b = b.filter(pa.array(_among(pc.fill_null(b.column(0), -(2**63)).to_numpy().view(np.uint64), known.value)))
+            yield from cut(b)
+
+    def cut(batch):
+        for b in tk.slices([batch]):
             g, _, bounds = _sets(b.column(1), k)
             n = len(bounds) - 1
             part = (g >> np.uint64(32)).astype(np.int64) * fragments >> 32  # rising along each sorted set
@@ -119,7 +131,8 @@ def _fragments(documents: DataFrame, k: int, fragments: int) -> DataFrame:
 def _verified(pairs: DataFrame, documents: DataFrame, k: int, threshold: int, fragments: int) -> DataFrame:
     """The pairs (a, b, na, nb) that are similar enough: overlaps counted per fragment, summed per pair."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(_fragments(documents.join(ids, "doc_id", "left_semi"), k, fragments))
+    parts = [_fragments(documents, block, k, fragments) for block in _blocks(ids, "doc_id")]
+    sets = stored(functools.reduce(DataFrame.union, parts))
     left, right = (sets.select(F.col("id").alias(c), "fragment", F.col("hashes").alias(f"{c}s")) for c in ("a", "b"))
     part = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("as", "bs")).alias("both"))
     part = part.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("both").alias("both"))  # a doc_id may have several rows
