@@ -173,7 +173,7 @@ def link_documents(documents: DataFrame, k: int = SHINGLE, threshold: int = THRE
     mixed = stored(named.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("h"))
     room = sets.where("n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct(F.col("doc_id").alias("id"), "n", "warm", "parts")).alias("x"))
     open_ = stored(named.join(mixed, "h", "left_semi"))
-    open_ = stored(open_.join(room.join(open_.select("id").distinct(), "id", "left_semi"), "id").select("h", "hot", "c", F.explode("x").alias("x")))
+    open_ = stored(open_.join(room.join(open_.select("id").distinct(), "id", "left_semi"), "id").select("h", "hot", "c", F.explode("x").alias("x")).withColumn("x", F.when(F.col("hot"), F.col("x")).otherwise(F.col("x").withField("parts", F.lit(None).cast("array<int>")))))
     x, y = open_.select("h", "x", "hot", F.col("c").alias("cx")), open_.select("h", F.col("x").alias("y"), F.col("c").alias("cy"))
     cross = x.join(y, (x["h"] == y["h"]) & (F.col("cx") != F.col("cy")) & (F.col("x.id") < F.col("y.id")) & may_link(F.col("x"), F.col("y"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
     cross = stored(cross.join(star.select("a", "b"), ["a", "b"], "left_anti"))
