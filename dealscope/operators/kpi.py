@@ -136,24 +136,24 @@ def duration_by_quartile(df: DataFrame) -> DataFrame:
     return d.groupBy("quartile").agg(F.count("*").alias("n"), F.round(F.avg("d"), 4).alias("mean_days"), F.round(F.percentile("d", F.lit(0.5)), 4).alias("median_days"))
 
 
-_FLAG = flag((F.col("revenue") > 300000) | (F.col("cost") < 0))
+_flagged = lambda: flag((F.col("revenue") > 300000) | (F.col("cost") < 0))
 _FSQL = "coalesce(revenue > 300000 or cost < 0, false)"
 
 
 @book.on_view("D16_status_outlier", f"select status, count(*) filter (not {_FSQL}) as normal, count(*) filter ({_FSQL}) as outlier, round(count(*) filter ({_FSQL}) * 100.0 / nullif(sum(count(*) filter ({_FSQL})) over (), 0), 1) as share_of_outliers from opp group by 1")
 def status_outlier(df: DataFrame) -> DataFrame:
-    out = df.groupBy("status").agg(F.count(F.when(~_FLAG, 1)).alias("normal"), F.count(F.when(_FLAG, 1)).alias("outlier"))
+    out = df.groupBy("status").agg(F.count(F.when(~_flagged(), 1)).alias("normal"), F.count(F.when(_flagged(), 1)).alias("outlier"))
     total = out.agg(F.sum("outlier").alias("t"))
     return out.crossJoin(F.broadcast(total)).select("status", "normal", "outlier", F.round(F.col("outlier") * 100.0 / F.expr("nullif(t, 0)"), 1).alias("share_of_outliers"))
 
 
 for _c in ("client", "entity"):
-    book.on_view(f"D17_top5_outliers_{_c}", f"select {_c}, count(*) as n from opp where {_FSQL} group by 1 order by 2 desc, 1 limit 5")(lambda df, c=_c: top(df.where(_FLAG).groupBy(c).agg(F.count("*").alias("n")), ["n"], 5, c))
+    book.on_view(f"D17_top5_outliers_{_c}", f"select {_c}, count(*) as n from opp where {_FSQL} group by 1 order by 2 desc, 1 limit 5")(lambda df, c=_c: top(df.where(_flagged()).groupBy(c).agg(F.count("*").alias("n")), ["n"], 5, c))
 
 
 @book.on_view("D18_normal_outlier_long", f"select entity, case when {_FSQL} then 'outlier' else 'normal' end as kind, count(*) as n from opp group by 1, 2")
 def normal_outlier_long(df: DataFrame) -> DataFrame:
-    wide = df.groupBy("entity").agg(F.count(F.when(~_FLAG, 1)).alias("normal"), F.count(F.when(_FLAG, 1)).alias("outlier"))
+    wide = df.groupBy("entity").agg(F.count(F.when(~_flagged(), 1)).alias("normal"), F.count(F.when(_flagged(), 1)).alias("outlier"))
     return wide.unpivot("entity", ["normal", "outlier"], "kind", "n").where("n > 0")
 
 
@@ -207,12 +207,12 @@ def conversion_monthly(df: DataFrame, cut: str = "1997-01-01") -> DataFrame:
     return out.select(F.date_format("period_end", "yyyy-MM-dd").alias("period_end"), "won", "closed", F.round(F.coalesce(F.try_divide("won", "closed"), F.lit(0.0)), 6).alias("conv_rate"), F.when(F.col("period_end") < F.lit(cut).cast("date"), "train").otherwise("test").alias("split"))
 
 
-_FLAGS = {"high_revenue": (F.col("revenue") > 300000, "revenue > 300000"), "negative_cost": (F.col("cost") < 0, "cost < 0"), "late": (F.col("closing_at") > F.col("planned_end_at"), "closing_at > planned_end_at")}
+_FLAGS = {"high_revenue": "revenue > 300000", "negative_cost": "cost < 0", "late": "closing_at > planned_end_at"}
 
 
-@book.on_view("D23_flag_effect", "with w as (select * from opp where status = 'won' and closing_at is not null), e as (select last_day(closing_at::date) as m, revenue, " + ", ".join(f"coalesce({s}, false) as {k}" for k, (_, s) in _FLAGS.items()) + " from w) select strftime(m, '%Y-%m-%d') as period_end, flag, round(sum(revenue), 2) as with_flagged, round(sum(case when hit then 0 else revenue end), 2) as without_flagged from (" + " union all ".join(f"select m, revenue, '{k}' as flag, {k} as hit from e" for k in _FLAGS) + f" union all select m, revenue, 'any', {' or '.join(_FLAGS)} from e) group by 1, 2")
+@book.on_view("D23_flag_effect", "with w as (select * from opp where status = 'won' and closing_at is not null), e as (select last_day(closing_at::date) as m, revenue, " + ", ".join(f"coalesce({s}, false) as {k}" for k, s in _FLAGS.items()) + " from w) select strftime(m, '%Y-%m-%d') as period_end, flag, round(sum(revenue), 2) as with_flagged, round(sum(case when hit then 0 else revenue end), 2) as without_flagged from (" + " union all ".join(f"select m, revenue, '{k}' as flag, {k} as hit from e" for k in _FLAGS) + f" union all select m, revenue, 'any', {' or '.join(_FLAGS)} from e) group by 1, 2")
 def flag_effect(df: DataFrame, flags: dict | None = None) -> DataFrame:
-    named = {k: flag(v[0]) for k, v in (flags or _FLAGS).items()}
+    named = {k: flag(F.expr(v)) for k, v in (flags or _FLAGS).items()}
     named["any"] = F.greatest(*named.values())
     w = df.where("status = 'won' and closing_at is not null").select(period_end("closing_at", "month").alias("m"), "revenue", F.explode(F.array(*(F.struct(F.lit(k).alias("flag"), v.alias("hit")) for k, v in named.items()))).alias("f"))
     return w.groupBy(F.date_format("m", "yyyy-MM-dd").alias("period_end"), F.col("f.flag").alias("flag")).agg(F.round(F.sum("revenue"), 2).alias("with_flagged"), F.round(F.sum(F.when(F.col("f.hit"), 0).otherwise(F.col("revenue"))), 2).alias("without_flagged"))

@@ -186,9 +186,9 @@ def extreme_records(df: DataFrame, cols: list[str] | None = None, n: int = 20) -
     return top(df.crossJoin(F.broadcast(med)).select("code", dev.alias("deviation")), ["deviation"], n, "code").withColumn("sentence", F.format_string("Record %d deviates most", "code"))
 
 
-_M1 = flag(F.col("revenue") > 250000)
-_M2 = flag(F.col("budget") > 240000)
-_M3 = flag(F.col("cost") < 0)
+_m1 = lambda: flag(F.col("revenue") > 250000)
+_m2 = lambda: flag(F.col("budget") > 240000)
+_m3 = lambda: flag(F.col("cost") < 0)
 _MS = "coalesce(revenue > 250000, false) as a, coalesce(budget > 240000, false) as b, coalesce(cost < 0, false) as u"
 
 
@@ -200,20 +200,20 @@ def combine_flags(df: DataFrame, a="a", b="b", u="u") -> DataFrame:
 
 @book.on_view("E5_combined_flags", f"with f as (select {_MS} from opp) select case when a and b then 'both' when a then 'A only' when b then 'B only' else 'normal' end as kind, count(*) as n, count(*) filter (a or b or u) as n_any from f group by 1")
 def combined_flags(df: DataFrame) -> DataFrame:
-    f = combine_flags(df.select(_M1.alias("a"), _M2.alias("b"), _M3.alias("u")))
+    f = combine_flags(df.select(_m1().alias("a"), _m2().alias("b"), _m3().alias("u")))
     return f.groupBy("kind").agg(F.count("*").alias("n"), F.count(F.when(F.col("any"), 1)).alias("n_any"))
 
 
 @book.on_view("E6_outlier_summary", f"with f as (select {_MS} from opp) select count(*) as rows, count(*) filter (a) as n_a, count(*) filter (b) as n_b, count(*) filter (u) as n_u, count(*) filter (a and b) as n_both, count(*) filter (a or b) as n_multi, count(*) filter (a or b or u) as n_any from f")
 def outlier_summary(df: DataFrame) -> DataFrame:
-    f = combine_flags(df.select(_M1.alias("a"), _M2.alias("b"), _M3.alias("u")))
+    f = combine_flags(df.select(_m1().alias("a"), _m2().alias("b"), _m3().alias("u")))
     n = lambda c, name: F.count(F.when(c, 1)).alias(name)
     return f.agg(F.count("*").alias("rows"), n(F.col("a"), "n_a"), n(F.col("b"), "n_b"), n(F.col("u"), "n_u"), n(F.col("a") & F.col("b"), "n_both"), n(F.col("multi"), "n_multi"), n(F.col("any"), "n_any"))
 
 
 @book.on_view("E7_outlier_families", f"with f as (select {_MS} from opp) select case when a and b then 'A and B' when a then 'A' when b then 'B' else 'univariate' end as family, count(*) as n, round(count(*) * 100.0 / sum(count(*)) over (), 2) as share from f where a or b or u group by 1")
 def outlier_families(df: DataFrame) -> DataFrame:
-    f = combine_flags(df.select(_M1.alias("a"), _M2.alias("b"), _M3.alias("u"))).where("any")
+    f = combine_flags(df.select(_m1().alias("a"), _m2().alias("b"), _m3().alias("u"))).where("any")
     fam = f.groupBy(F.when(F.col("a") & F.col("b"), "A and B").when(F.col("a"), "A").when(F.col("b"), "B").otherwise("univariate").alias("family")).agg(F.count("*").alias("n"))
     return fam.crossJoin(F.broadcast(fam.agg(F.sum("n").alias("t")))).select("family", "n", F.round(F.col("n") * 100.0 / F.col("t"), 2).alias("share"))
 
