@@ -10,12 +10,12 @@ from ..plans.roles import Book
 
 book = Book()
 #: monthly revenue per type, where every third value is taken as missing
-_M = "m as (select opp_type as s, strftime(last_day(closing_at::date), '%Y-%m-%d') as p, case when month(last_day(closing_at::date)) % 3 <> 0 then round(sum(revenue), 2) end as y, month(last_day(closing_at::date)) as mon from opp where closing_at is not null group by 1, last_day(closing_at::date))"
+_M = "m as (select opp_type as s, strftime(last_day(closing_at::date), '%Y-%m-%d') as p, case when month(last_day(closing_at::date)) % 3 <> 0 then round(sum(revenue), 4) end as y, month(last_day(closing_at::date)) as mon from opp where closing_at is not null group by 1, last_day(closing_at::date))"
 
 
 def monthly(df: DataFrame) -> DataFrame:
     m = period_end("closing_at", "month")
-    out = df.where("closing_at is not null").groupBy(F.col("opp_type").alias("s"), m.alias("d")).agg(F.round(F.sum("revenue"), 2).alias("y"))
+    out = df.where("closing_at is not null").groupBy(F.col("opp_type").alias("s"), m.alias("d")).agg(F.round(F.sum("revenue"), 4).alias("y"))
     return out.select("s", F.date_format("d", "yyyy-MM-dd").alias("p"), F.when(F.month("d") % 3 != 0, F.col("y")).alias("y"), F.month("d").alias("mon"))
 
 
@@ -37,9 +37,9 @@ _I = f"""{_M}, i as (select *, row_number() over (partition by s order by p) as
   f as (select s, p, mon, case when y is not null then y when ia is null then 0 when ib is null then va else va + (vb - va) * (i - ia) / (ib - ia) end as y from n)"""
 
 
-@book.on_view("F1_interpolated", f"with {_I} select s, p, round(y, 3) as y from f")
+@book.on_view("F1_interpolated", f"with {_I} select s, p, round(y, 6) as y from f")
 def interpolated(df: DataFrame) -> DataFrame:
-    return interpolate(monthly(df)).select("s", "p", F.round("y", 3).alias("y"))
+    return interpolate(monthly(df)).select("s", "p", F.round("y", 6).alias("y"))
 
 
 def cap(df: DataFrame, key: str = "s", value: str = "y", k: float = 1.5) -> DataFrame:
@@ -48,9 +48,9 @@ def cap(df: DataFrame, key: str = "s", value: str = "y", k: float = 1.5) -> Data
     return df.join(F.broadcast(q), key).withColumn(value, F.least(F.greatest(F.col(value), lo), hi)).drop("_1", "_3")
 
 
-@book.on_view("F2_capped", f"with {_I}, q as (select s, quantile_cont(y, 0.25) as a, quantile_cont(y, 0.75) as b from f group by 1) select s, p, round(least(greatest(y, a - 0.5 * (b - a)), b + 0.5 * (b - a)), 3) as y from f join q using (s)")
+@book.on_view("F2_capped", f"with {_I}, q as (select s, quantile_cont(y, 0.25) as a, quantile_cont(y, 0.75) as b from f group by 1) select s, p, round(least(greatest(y, a - 0.5 * (b - a)), b + 0.5 * (b - a)), 5) as y from f join q using (s)")
 def capped(df: DataFrame) -> DataFrame:
-    return cap(interpolate(monthly(df)), k=0.5).select("s", "p", F.round("y", 3).alias("y"))
+    return cap(interpolate(monthly(df)), k=0.5).select("s", "p", F.round("y", 5).alias("y"))
 
 
 @book.on_view("F3_summary", f"with {_I} select m.s, count(*) - count(m.y) as missing, round(avg(m.y), 3) as mean_before, round(stddev_samp(m.y), 3) as std_before, round(avg(f.y), 3) as mean_after, round(stddev_samp(f.y), 3) as std_after from m join f using (s, p) group by 1")
@@ -65,25 +65,25 @@ def lag_features(df: DataFrame, k: int, key: str = "s", order: str = "p", value:
     return df.select("*", *(F.lag(value, i).over(w).alias(f"lag{i}") for i in range(1, k + 1))).dropna(subset=[f"lag{k}"])
 
 
-@book.on_view("F4_lags", f"with {_I}, l as (select s, p, mon, round(y, 3) as y, " + ", ".join(f"round(lag(y, {i}) over (partition by s order by p), 3) as lag{i}" for i in range(1, 5)) + " from f) select s, p, mon::int as month, y, lag1, lag2, lag3, lag4 from l where lag4 is not null")
+@book.on_view("F4_lags", f"with {_I}, l as (select s, p, mon, round(y, 6) as y, " + ", ".join(f"round(lag(y, {i}) over (partition by s order by p), 6) as lag{i}" for i in range(1, 5)) + " from f) select s, p, mon::int as month, y, lag1, lag2, lag3, lag4 from l where lag4 is not null")
 def lags(df: DataFrame) -> DataFrame:
     out = lag_features(interpolate(monthly(df)), 4)
-    return out.select("s", "p", F.col("mon").cast("int").alias("month"), *(F.round(c, 3).alias(c) for c in ("y", "lag1", "lag2", "lag3", "lag4")))
+    return out.select("s", "p", F.col("mon").cast("int").alias("month"), *(F.round(c, 6).alias(c) for c in ("y", "lag1", "lag2", "lag3", "lag4")))
 
 
-@book.on_view("F5_exogenous", f"with {_M}, x as (select s, p, first_value(y ignore nulls) over (partition by s order by p rows between current row and unbounded following) as b, last_value(y ignore nulls) over (partition by s order by p rows between unbounded preceding and current row) as a, mon from m) select s, p, mon::int as mon, round(coalesce(b, a), 2) as exog from x")
+@book.on_view("F5_exogenous", f"with {_M}, x as (select s, p, first_value(y ignore nulls) over (partition by s order by p rows between current row and unbounded following) as b, last_value(y ignore nulls) over (partition by s order by p rows between unbounded preceding and current row) as a, mon from m) select s, p, mon::int as mon, round(coalesce(b, a), 4) as exog from x")
 def exogenous(df: DataFrame) -> DataFrame:
     w = Window.partitionBy("s").orderBy("p")
     b = F.first("y", True).over(w.rowsBetween(0, Window.unboundedFollowing))
     a = F.last("y", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return monthly(df).select("s", "p", F.col("mon").cast("int").alias("mon"), F.round(F.coalesce(b, a), 2).alias("exog"))
+    return monthly(df).select("s", "p", F.col("mon").cast("int").alias("mon"), F.round(F.coalesce(b, a), 4).alias("exog"))
 
 
-@book.on_view("F6_sequences", f"with {_I}, w as (select s, p, y, list(y) over (partition by s order by p rows between 6 preceding and 1 preceding) as x from f) select s, p, round(y, 3) as y, round(list_sum(x), 3) as window_sum, round(x[1], 3) as oldest from w where len(x) = 6")
+@book.on_view("F6_sequences", f"with {_I}, w as (select s, p, y, list(y) over (partition by s order by p rows between 6 preceding and 1 preceding) as x from f) select s, p, round(y, 6) as y, round(list_sum(x), 6) as window_sum, round(x[1], 6) as oldest from w where len(x) = 6")
 def sequences(df: DataFrame, width: int = 6) -> DataFrame:
     w = Window.partitionBy("s").orderBy("p").rowsBetween(-width, -1)
     out = interpolate(monthly(df)).withColumn("x", F.collect_list("y").over(w)).where(F.size("x") == width)
-    return out.select("s", "p", F.round("y", 3).alias("y"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 3).alias("window_sum"), F.round(F.col("x")[0], 3).alias("oldest"))
+    return out.select("s", "p", F.round("y", 6).alias("y"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6).alias("window_sum"), F.round(F.col("x")[0], 6).alias("oldest"))
 
 
 @book.on_view("F8_folds", f"with {_M}, r as (select s, p, row_number() over (partition by s order by p) as i, count(*) over (partition by s) as n from m), k as (select unnest(range(1, 6)) as fold) select s, fold::int as fold, min(p) as test_from, max(p) as test_to, count(*) as n_test from r, k where i > n - (6 - fold) * (n // 6) and i <= n - (5 - fold) * (n // 6) group by 1, 2")
@@ -95,6 +95,6 @@ def folds(df: DataFrame, splits: int = 5) -> DataFrame:
     return inside.groupBy("s", "fold").agg(F.min("p").alias("test_from"), F.max("p").alias("test_to"), F.count("*").alias("n_test"))
 
 
-@book.on_view("F12_asof", f"with {_M} select s, p, round(last_value(y ignore nulls) over (partition by s order by p rows between unbounded preceding and current row), 2) as pred from m")
+@book.on_view("F12_asof", f"with {_M} select s, p, round(last_value(y ignore nulls) over (partition by s order by p rows between unbounded preceding and current row), 4) as pred from m")
 def asof(df: DataFrame) -> DataFrame:
-    return monthly(df).select("s", "p", F.round(F.last("y", True).over(Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)), 2).alias("pred"))
+    return monthly(df).select("s", "p", F.round(F.last("y", True).over(Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)), 4).alias("pred"))
