@@ -23,8 +23,6 @@ doc_id is kept, unlinked.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,10 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .line_templates import _among, _blocks
+from .line_templates import _among
 from .shared import components, stored, table
+from .suffix_dedup import MAP_BITS, _bitmap
 
-SHINGLE, THRESHOLD, HOT, UNIT, FRAGMENTS, PARTS = 4, 85, 1 << 18, 3_000_000, 4, 32
+SHINGLE, THRESHOLD, HOT, UNIT, FRAGMENTS, PARTS, STAR = 4, 85, 1 << 18, 3_000_000, 4, 32, 2000
 
 
 def _sets(column, k: int):
@@ -108,36 +107,66 @@ def _prefixes(documents: DataFrame, hot: np.ndarray, k: int, threshold: int) ->
     return documents.select("doc_id", "text").mapInArrow(work, "doc_id bigint, n bigint, mark1 bigint, mark2 bigint, prefix array<bigint>, cold bigint, warm bigint, parts array<int>")
 
 
-def _fragments(documents: DataFrame, wanted: np.ndarray, k: int, fragments: int) -> DataFrame:
-    """The sets of the wanted doc_ids, cut by hash range; a map over the documents, so no text is shuffled."""
-    known = documents.sparkSession.sparkContext.broadcast(wanted)
+def _fragments(documents: DataFrame, ids: DataFrame, k: int, fragments: int) -> DataFrame:
+    """(id, fragment, hashes): sets cut by hash range, of the documents whose doc_id a bitmap of fixed size lets through."""
+    known = documents.sparkSession.sparkContext.broadcast(_bitmap(ids.select(F.xxhash64("id").alias("h"))))
+    # the join with ids is exact; the bitmap only spares sets that it would drop
+    docs = documents.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("slot"))
 
     def work(batches):
-        for b in batches:
-            b = b.filter(pa.array(_among(pc.fill_null(b.column(0), -(2**63)).to_numpy().view(np.uint64), known.value)))
-            yield from cut(b)
-
-    def cut(batch):
-        for b in tk.slices([batch]):
-            g, _, bounds = _sets(b.column(1), k)
-            n = len(bounds) - 1
-            part = (g >> np.uint64(32)).astype(np.int64) * fragments >> 32  # rising along each sorted set
-            at = np.searchsorted(np.repeat(np.arange(n), np.diff(bounds)) * fragments + part, np.arange(n * fragments + 1))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(n), fragments))), pa.array(np.tile(np.arange(fragments, dtype=np.int32), n)), tk.lists(g.view(np.int64), at, pa.int64())], ["id", "fragment", "hashes"])
-
-    return documents.select("doc_id", "text").mapInArrow(work, "id bigint, fragment int, hashes array<bigint>")
+        for big in batches:
+            slot = big.column(2).to_numpy().view(np.uint64)
+            word = known.value[((slot >> np.uint64(6)) & np.uint64((1 << (MAP_BITS - 6)) - 1)).astype(np.int64)]
+            for b in tk.slices([big.filter(pa.array((word >> (slot & np.uint64(63))) & np.uint64(1) > 0))]):
+                g, _, bounds = _sets(b.column(1), k)
+                n = len(bounds) - 1
+                part = (g >> np.uint64(32)).astype(np.int64) * fragments >> 32  # rising along each sorted set
+                at = np.searchsorted(np.repeat(np.arange(n), np.diff(bounds)) * fragments + part, np.arange(n * fragments + 1))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(n), fragments))), pa.array(np.tile(np.arange(fragments, dtype=np.int32), n)), tk.lists(g.view(np.int64), at, pa.int64())], ["id", "fragment", "hashes"])
+
+    return docs.mapInArrow(work, "id bigint, fragment int, hashes array<bigint>")
+
+
+def _overlaps(batches):
+    """Rows (a, salt, fragment, b, hashes) in that order, the centre (b null) first: (a, b, both) of every other row."""
+    key, own = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, salt, fragment = (batch.column(i).to_numpy() for i in range(3))
+        centre = pc.is_null(batch.column(3)).to_numpy(zero_copy_only=False)
+        off = batch.column(4).offsets.to_numpy()
+        flat = batch.column(4).values.to_numpy().view(np.uint64)
+        cut = np.flatnonzero((a[1:] != a[:-1]) | (salt[1:] != salt[:-1]) | (fragment[1:] != fragment[:-1])) + 1
+        both = np.zeros(len(a), np.int64)
+        for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(a)]):
+            if key != (a[s], salt[s], fragment[s]):
+                key, own = (a[s], salt[s], fragment[s]), []
+            first = s + int(centre[s:e].sum())
+            own += [flat[off[i] : off[i + 1]].copy() for i in range(s, first)]
+            part = flat[off[first] : off[e]]
+            for mine in own:  # one, unless a doc_id has several rows
+                hit = np.concatenate([[0], np.cumsum(_among(part, mine))])
+                both[first:e] = np.maximum(both[first:e], hit[off[first + 1 : e + 1] - off[first]] - hit[off[first:e] - off[first]])
+        yield pa.RecordBatch.from_arrays([pa.array(a[~centre]), batch.column(3).filter(pa.array(~centre)), pa.array(fragment[~centre]), pa.array(both[~centre])], ["a", "b", "fragment", "both"])
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, k: int, threshold: int, fragments: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that are similar enough: overlaps counted per fragment, summed per pair."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    parts = [_fragments(documents, block, k, fragments) for block in _blocks(ids, "doc_id")]
-    sets = stored(functools.reduce(DataFrame.union, parts))
-    left, right = (sets.select(F.col("id").alias(c), "fragment", F.col("hashes").alias(f"{c}s")) for c in ("a", "b"))
-    part = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("as", "bs")).alias("both"))
-    part = part.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("both").alias("both"))  # a doc_id may have several rows
-    both = part.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
-    return both.where(100 * F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    """The pairs (a, b, na, nb) that are similar enough: overlaps counted per fragment, summed per pair.
+
+    Each set goes once to the partitions of its partners and is compared there with the set of ``a``, which
+    is all that a task holds. Centres of more than ``STAR`` pairs are salted.
+    """
+    width = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+    members = pairs.join(width, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+    centres = width.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
+    sent = stored(members.union(centres).distinct())
+    rows = _fragments(documents, sent.select("id").distinct(), k, fragments).join(sent, "id").select("a", "salt", "fragment", "b", "hashes")
+    rows = rows.repartition("a", "salt", "fragment").sortWithinPartitions("a", "salt", "fragment", F.col("b").asc_nulls_first())
+    part = rows.mapInArrow(_overlaps, "a bigint, b bigint, fragment int, both bigint")
+    part = part.groupBy("a", "b", "fragment").agg(F.max("both").alias("both"))  # a doc_id may have several rows
+    both = stored(part.groupBy("a", "b").agg(F.sum("both").alias("both")))
+    return pairs.join(both, ["a", "b"]).where(100 * F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
 def link_documents(documents: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, fragments: int = FRAGMENTS) -> DataFrame:
