@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("kpi", "profile", "clean", "series", "points", "leads")
-_books = [importlib.import_module(f"dealscope.operators.{m}").book for m in MODULES]
+MODULES = ("operators.kpi", "operators.profile", "operators.clean", "operators.series", "operators.points", "operators.leads", "sources.files")
+_books = [importlib.import_module(f"dealscope.{m}").book for m in MODULES]
 
 
 def queries() -> dict:
