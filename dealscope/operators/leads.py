@@ -86,3 +86,26 @@ def score_histogram(spark, sf_dir, bins: int = 20) -> DataFrame:
 @book.on_tables("I16_confusion", f"with {_S} select y, (p > 0.5)::int as pred, count(*) as n from s group by 1, 2")
 def confusion(spark, sf_dir) -> DataFrame:
     return scores(spark, sf_dir).groupBy("y", (F.col("p") > 0.5).cast("int").alias("pred")).agg(F.count("*").alias("n"))
+
+
+@book.on_tables("I3_geo", "select c_custkey, coalesce(n, 0)::bigint as population, coalesce(r_name, 'nc') as region from customer left join (select s_nationkey, count(*) as n from supplier where s_nationkey % 3 <> 0 group by 1) on c_nationkey = s_nationkey left join nation on n_nationkey = s_nationkey left join region on n_regionkey = r_regionkey")
+def geo(spark, sf_dir) -> DataFrame:
+    """Population (suppliers) and region by place; places without an entry get 0 and ``nc``."""
+    places = read(spark, sf_dir, "supplier").where("s_nationkey % 3 <> 0").groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    places = places.join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    out = read(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("s_nationkey"), "left")
+    return out.select("c_custkey", F.coalesce("n", F.lit(0)).cast("long").alias("population"), F.coalesce("r_name", F.lit("nc")).alias("region"))
+
+
+REPORT = ["auc", "log_loss", "brier", "f1", "mae"]
+
+
+def report(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Metrics in a fixed order; those that ``df`` lacks are null."""
+    return df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in columns or REPORT))
+
+
+@book.on_tables("I18_report", f"with {_S} select cast(null as double) as auc, cast(null as double) as log_loss, round(avg((p - y) ** 2), 6) as brier, cast(null as double) as f1, round(avg(abs(p - y)), 6) as mae from s")
+def fixed_report(spark, sf_dir) -> DataFrame:
+    gap = F.col("p") - F.col("y")
+    return report(scores(spark, sf_dir).agg(F.round(F.avg(F.abs(gap)), 6).alias("mae"), F.round(F.avg(gap**2), 6).alias("brier")))

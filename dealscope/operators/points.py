@@ -139,3 +139,43 @@ def adjusted_rand(spark, sf_dir) -> DataFrame:
     one = pairs(t, "i").crossJoin(pairs(t.groupBy("a").agg(F.sum("n").alias("n")), "ra")).crossJoin(pairs(t.groupBy("b").agg(F.sum("n").alias("n")), "rb")).crossJoin(t.agg((F.sum("n") * (F.sum("n") - 1) / 2).alias("all")))
     e = F.col("ra") * F.col("rb") / F.col("all")
     return one.select(F.round((F.col("i") - e) / ((F.col("ra") + F.col("rb")) / 2 - e), 6).alias("ari"))
+
+
+@book.on_view("E9_projection")
+def projection(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Two components of the outlier columns, where a missing amount counts as 0."""
+    return pca_scores(df.fillna(0.0, cols or AMOUNTS), cols)
+
+
+def axis_similarity(a: np.ndarray, b: np.ndarray, k: int = 2) -> float:
+    """Mean absolute cosine of the first k axes."""
+    return float(np.abs((a[:, :k] * b[:, :k]).sum(axis=0)).mean())
+
+
+@book.on_view("G14_fold_stability")
+def fold_stability(df: DataFrame, cols: list[str] | None = None, splits: int = 5) -> DataFrame:
+    """Axes of all rows against those without a fold (by key hash), and the first axis' share."""
+    cols = cols or AMOUNTS
+    _, whole = pca(df, cols)
+    rows = []
+    for fold in range(splits):
+        ev, v = pca(df.where(F.pmod(F.xxhash64("code"), F.lit(splits)) != fold), cols)
+        rows.append((fold, axis_similarity(whole, v), float(ev[0] / ev.sum())))
+    return df.sparkSession.createDataFrame(rows, "fold int, axis_similarity double, first_share double")
+
+
+@book.on_view("G15_drift")
+def drift(df: DataFrame, cols: list[str] | None = None, date: str = "registered_at") -> DataFrame:
+    """Older rows against newer ones, cut at the median date: axis similarity, and how far the mean scores on the older axes move."""
+    cols = cols or AMOUNTS
+    known = df.dropna(subset=[*cols, date])
+    at = F.unix_micros(F.col(date).cast("timestamp"))
+    cut = known.agg(F.percentile(at, 0.5).alias("c")).first()["c"]
+    if cut is None:
+        return df.sparkSession.createDataFrame([], "axis int, axis_similarity double, mean_shift double")
+    (_, v), (_, w) = (pca(known.where(half), cols) for half in (at <= cut, at > cut))
+    z = standardise(known, cols).withColumn("new", at > cut)
+    means = z.agg(*(F.avg(F.when(F.col("new") == new, F.col(c))).alias(f"{c}_{int(new)}") for c in cols for new in (False, True))).first()
+    gap = np.array([(means[f"{c}_1"] or 0.0) - (means[f"{c}_0"] or 0.0) for c in cols])
+    rows = [(a + 1, axis_similarity(v, w), float(gap @ v[:, a])) for a in range(min(2, len(cols)))]
+    return df.sparkSession.createDataFrame(rows, "axis int, axis_similarity double, mean_shift double")
