@@ -2,11 +2,12 @@
 
 The markup is stripped into lines, one per block element. Menus, headers,
 footers, asides, forms, adverts, notices and reader comments (by element, role,
-or class and id words) become lines without text. The text lengths of a sliding
-window of ``WINDOW`` lines form the distribution; a region begins where the sum
-surges from nothing and ends where it dives back. Inside an article (or main)
-element every region counts; on pages without one the regions within
-``SHARE`` of the longest are kept, and link lists weigh nothing.
+or class and id words) become lines without text. The text lengths of the lines,
+weighted by their elements, form the distribution: link text weighs nothing
+but in articles, headings and paragraphs. A region begins where the sum over a
+sliding window of ``WINDOW`` lines surges from nothing, at its first line of
+any weight, and ends at the last before the sum dives back; all lines in between
+belong to it, link lists too. Every region counts, wherever it stands.
 
 Defined results: null or empty html gives an empty text and 0 characters; pages
 without text likewise; unclosed elements, comments and scripts run to the end
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .shared import table
 
-WINDOW, SHARE = 3, 0.2
+WINDOW = 3
 _DROP = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|svg|iframe|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>")
 _ATTR = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -41,6 +42,8 @@ _WORDS = frozenset(
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+#: elements whose links are text, and whose ids and classes say nothing of their role
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -52,19 +55,19 @@ def _marked(attributes: str) -> bool:
     return "hidden" in attributes.lower().split()
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters that are not links, inside an article) of every line; lines of dropped elements are empty."""
+def lines_of(page: str) -> list[tuple[str, int]]:
+    """(text, weight) of every line; lines of dropped elements are empty."""
     page = _DROP.sub(" ", page)
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int]] = []
     buffer: list[str] = []
-    linked = at = article = link = 0
+    linked = at = article = link = prose = 0
     skip, depth = "", 0
 
     def flush():
         nonlocal linked
         text = " ".join(entities.unescape("".join(buffer)).split())
         if text:
-            out.append((text, max(0, len(text) - linked), article > 0))
+            out.append((text, len(text) if article or prose else max(0, len(text) - linked)))
         buffer.clear()
         linked = 0
 
@@ -81,13 +84,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 depth += -1 if close else 1
                 if not depth:
                     skip = ""
-                    out.append(("", 0, article > 0))
+                    out.append(("", 0))
             elif close and tag in ("body", "html") or close and tag == "article" and article and skip == "p":
                 skip, depth = "", 0
             if skip or tag not in ("article", "main"):
                 continue
         if tag in _BLOCK:
             flush()
+            prose = tag in _PROSE and not close
         elif tag == "br":
             buffer.append(" ")
         if tag in ("article", "main"):
@@ -96,7 +100,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             link = 0 if close else 1
         if close or tag in _VOID or tag in ("html", "body", "article", "main"):
             continue
-        if tag in _BOILER and not (tag == "header" and article) or (tag in _BLOCK or tag in ("span", "ins", "iframe")) and _marked(m[3]):
+        if tag in _BOILER and not (tag == "header" and article) or (tag in _BLOCK - _PROSE or tag in ("span", "ins", "iframe")) and _marked(m[3]):
             flush()
             skip, depth = tag, 1
     if not skip:
@@ -105,20 +109,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> str:
+def main_text(page: str | None, window: int = WINDOW) -> str:
     lines = lines_of(page or "")
-    if not any(t for t, _, _ in lines):
-        return ""
-    inside = any(a and t for t, _, a in lines)
-    size = np.array([(len(t) if inside else n) if (a or not inside) else 0 for t, n, a in lines])
-    # windows over the distribution: surge where the sum leaves zero, dive where it returns
-    total = np.convolve(size, np.ones(window, int))[: len(size) + window - 1]
-    live = np.concatenate([[False], size > 0, [False]]) if inside else np.concatenate([[False], total[: len(size)] > 0, [False]])
-    edge = np.flatnonzero(np.diff(live.astype(int)))
-    regions = [(s, e, size[s:e].sum()) for s, e in zip(edge[::2], edge[1::2])]
-    most = max((w for *_, w in regions), default=0)
-    kept = [r for r in regions if inside or r[2] >= share * most]
-    return "\n\n".join(lines[i][0] for s, e, _ in kept for i in range(s, e) if size[i] > 0)
+    size = np.array([n for _, n in lines], int)
+    # the sum over a window leaves zero at a surge and is back at a dive, window - 1 lines after the last weight
+    total = np.convolve(size, np.ones(window, int)) if len(size) else size
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], total > 0, [False]]).astype(int)))
+    return "\n\n".join(lines[i][0] for s, e in zip(edge[::2], edge[1::2] - window + 1) for i in range(s, e) if lines[i][0])
 
 
 def extract(pages: DataFrame) -> DataFrame:
