@@ -1,40 +1,38 @@
 """N-gram Jaccard self-join with vertical partitioning.
 
-A document is the set of its distinct 4-word shingles. Equal sets collapse to
-one class first. The global order of shingles is by hash, with the hottest
-shingles moved to the end (rarer ones first, so edited places part near copies early); two sets that are similar enough share a shingle
-among the first (1 - t) n + 1 of each, so only these prefixes are shuffled. Hot
-shingles are those that most documents hold as seen inside the tasks; the set is bounded
-(``HOT``) and any set gives the same result, it only shortens groups.
-
-Candidate pairs: every member of a prefix group with the group's smallest
-class (a star), then, once those links have merged classes into components,
-members of different components only. A pair that can have only hot shingles in
-common (any other would be in both prefixes too) is not emitted if their
-numbers per part of the hash range bound the overlap below what is needed. Pairs are verified exactly: the global
-shingle order is cut into ``FRAGMENTS`` vertical fragments, the overlap of a
-pair is counted in each fragment apart and summed per pair.
+A document is the set of its distinct k-word shingles. Equal sets collapse to
+one class first, named by a 64-bit mark. A document can only link if at least the
+threshold's share of its shingles occurs in other classes too, so the shingles are
+cut into vertical fragments by hash and the first fragment (``SHARE`` of them) is counted alone:
+shingles that a task meets in several documents are settled there, the others are
+shuffled once, and documents with too many shingles of their own are done. Only the rest
+(documents made of repeated text) go on with all their shingles: these are counted exactly, the
+global order is by document frequency, then hash, and the first (1 - t) n + 1 of
+each set form its prefix.
+
+Candidate pairs: every member of a prefix group with ``PIVOTS`` members of the
+group; then, once those links have merged classes into components, members of different
+components only, less those that sizes and positions in the order rule out. Pairs are verified exactly: the
+overlap of a pair is counted in each of ``FRAGMENTS`` fragments apart and summed per pair.
 
 Defined results: null text and text without words have an empty set, n_shingles
-0, and are linked with nothing; fewer than 4 words are one shingle; rows that
+0, and are linked with nothing; fewer than k words are one shingle; rows that
 repeat a doc_id count as one document with the union of their links; null
-doc_id is kept, unlinked.
+doc_id is kept, unlinked, with a null component; an empty table gives no rows; very long texts
+are cut into sets like others (a text is never split); ties cannot change the result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .line_templates import _among
-from .shared import components, stored, table
-from .suffix_dedup import MAP_BITS, _bitmap
+from .shared import bitmap, components, drop, in_bitmap, stored, table
 
-SHINGLE, THRESHOLD, HOT, UNIT, FRAGMENTS, PARTS, STAR = 4, 85, 1 << 18, 3_000_000, 4, 32, 2000
+SHINGLE, THRESHOLD, UNIT, SHARE, FRAGMENTS, PIVOTS = 4, 85, 2_000_000, 1 / 3, 4, 3
 
 
 def _sets(column, k: int):
@@ -45,170 +43,201 @@ def _sets(column, k: int):
     g, r, _ = tk.shingles(tk.span_hash(data, s, e), row, len(off) - 1, k)
     order = np.lexsort((g, r))
     g, r = g[order], r[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
+    new = tk.starts(g, r)
     g, r = g[new], r[new]
     return g, r, tk.row_bounds(r, len(off) - 1)
 
 
-def _prefix_size(n: np.ndarray, threshold: int) -> np.ndarray:
-    return np.where(n > 0, n - -(-n * threshold // 100) + 1, 0)
+def _marks(g: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit marks of each set, 0 if empty."""
+    if not len(g):
+        z = np.zeros(len(bounds) - 1, np.uint64)
+        return z, z
+    first = np.add.reduceat(np.append(tk.mix(g.copy()), np.uint64(0)), bounds[:-1])
+    second = np.bitwise_xor.reduceat(np.append(tk.mix(g * np.uint64(0xC2B2AE3D27D4EB4F)), np.uint64(0)), bounds[:-1])
+    empty = np.diff(bounds) == 0
+    first[empty] = second[empty] = 0
+    return first, second
 
 
-def hot_shingles(documents: DataFrame, k: int) -> np.ndarray:
-    """At most HOT hashes: those that most documents hold, counted where a task meets them in more than one."""
+def _in_first(g: np.ndarray) -> np.ndarray:
+    return g < np.uint64(int(SHARE * 2**64))
 
-    def repeated(parts):
-        h, c = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1], pa.int64())], ["h", "n"])
+
+def _classes(documents: DataFrame, k: int) -> DataFrame:
+    """Per document row: its set's size, marks, and size within the first fragment."""
+
+    def work(batches):
+        for b in tk.slices(batches):
+            g, r, bounds = _sets(b.column(1), k)
+            m1, m2 = _marks(g, bounds)
+            n1 = np.bincount(r[_in_first(g)], minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(m1.view(np.int64)), pa.array(m2.view(np.int64)), pa.array(n1, pa.int64())], ["doc_id", "n", "m1", "m2", "n1"])
+
+    return documents.select("doc_id", "text").mapInArrow(work, "doc_id bigint, n bigint, m1 bigint, m2 bigint, n1 bigint")
+
+
+def _first_fragment(documents: DataFrame, k: int) -> DataFrame:
+    """(h, id, hits) from units of about UNIT shingles: hits 0 for a shingle of one set in the unit, -1 once for a shingle
+    of several, and, under the id's own hash, the number of these for each of the sets."""
+
+    def combined(parts):
+        h, owner = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((owner, h))
+        h, owner = h[order], owner[order]
+        new = tk.starts(h, owner)  # copies inside the unit
+        h, owner = h[new], owner[new]
+        first = np.flatnonzero(tk.starts(h))
+        size = np.diff(np.append(first, len(h)))
+        many = np.repeat(size > 1, size)
+        ids, count = np.unique(owner[many], return_counts=True)
+        once = first[size > 1]
+        cols = np.concatenate([h[~many], h[once], ids]), np.concatenate([owner[~many], owner[once], ids]), np.concatenate([np.zeros((~many).sum(), np.int32), np.full(len(once), -1, np.int32), count.astype(np.int32)])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(cols[2])], ["h", "id", "hits"])
 
     def work(batches):
         parts, size = [], 0
         for b in tk.slices(batches):
-            g, _, _ = _sets(b.column(0), k)
-            parts.append(g)
-            size += len(g)
+            g, r, bounds = _sets(b.column(0), k)
+            m1, _ = _marks(g, bounds)
+            at = _in_first(g)
+            parts.append((g[at], m1[r[at]]))
+            size += len(parts[-1][0])
             if size > UNIT:
-                yield repeated(parts)
+                yield combined(parts)
                 parts, size = [], 0
-        if parts:
-            yield repeated(parts)
-
-    top = documents.select("text").mapInArrow(work, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT)
-    return np.sort(top.select("h").toArrow()["h"].to_numpy().view(np.uint64))
+        if size:
+            yield combined(parts)
+
+    return documents.where("doc_id is not null").select("text").mapInArrow(work, "h bigint, id bigint, hits int")
+
+
+def _repeated(batches):
+    """(id, hits): for each set, how many of its shingles other sets hold too; rows come sorted by h and id."""
+
+    def counted(h, owner, hits):
+        given = hits > 0
+        sure_id, sure = owner[given], hits[given]
+        h, owner, hits = h[~given], owner[~given], hits[~given]
+        first = np.flatnonzero(tk.starts(h)) if len(h) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(h)))
+        several = np.zeros(len(first), bool)
+        if len(h):
+            several = (owner[first] != owner[np.append(first[1:], len(h)) - 1]) | (np.minimum.reduceat(hits, first) < 0)
+        hit = np.repeat(several, size) & (hits == 0)
+        ids, at = np.unique(np.concatenate([owner[hit], sure_id]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([np.ones(hit.sum()), sure]), len(ids)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["id", "hits"])
+
+    open_ = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = tuple(np.concatenate([o, b.column(i).to_numpy()]) for i, o in enumerate(open_))
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        tail = tuple(x[last:] for x in rows)
+        if len(tail[0]) > 10_000 and (tail[1][0] != tail[1][-1] or tail[2].min() < 0):  # a hot shingle is known to be repeated: one row of it is enough
+            sure = tail[2] > 0
+            yield counted(*rows)
+            keep = np.flatnonzero(~sure)[:1]
+            open_ = tail[0][keep], tail[1][keep], np.full(len(keep), -1, np.int32)
+            continue
+        open_ = tail
+        if last:
+            yield counted(*(x[:last] for x in rows))
+    if len(open_[0]):
+        yield counted(*open_)
 
 
-def _prefixes(documents: DataFrame, hot: np.ndarray, k: int, threshold: int) -> DataFrame:
-    known = documents.sparkSession.sparkContext.broadcast(hot)
-
-    def work(batches):
-        last = known.value
-        for b in tk.slices(batches):
-            g, r, bounds = _sets(b.column(1), k)
-            n = np.diff(bounds)
-            mark1 = np.add.reduceat(np.append(tk.mix(g.copy()), np.uint64(0)), bounds[:-1]) if len(g) else np.zeros(len(n), np.uint64)
-            mark2 = np.bitwise_xor.reduceat(np.append(tk.mix(g * np.uint64(0xC2B2AE3D27D4EB4F)), np.uint64(0)), bounds[:-1]) if len(g) else np.zeros(len(n), np.uint64)
-            mark1[n == 0] = mark2[n == 0] = 0
-            late = np.zeros(len(g), bool)
-            if len(last) and len(g):
-                i = np.minimum(np.searchsorted(last, g), len(last) - 1)
-                late = last[i] == g
-            parts = np.bincount(r[late] * PARTS + (g[late] >> np.uint64(59)).astype(np.int64), minlength=len(n) * PARTS)
-            warm = np.bincount(r[late], minlength=len(n))
-            order = np.lexsort((g, late, r)) if late.any() else np.arange(len(g))
-            g, late = g[order], late[order]
-            first = np.arange(len(g)) - bounds[r] < _prefix_size(n, threshold)[r]
-            ends = np.concatenate([[0], np.cumsum(_prefix_size(n, threshold))])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(mark1.view(np.int64)), pa.array(mark2.view(np.int64)), tk.lists(g[first].view(np.int64), ends, pa.int64()), pa.array(np.bincount(r[first & ~late], minlength=len(n)), pa.int64()), pa.array(warm, pa.int64()), tk.lists(parts, np.arange(len(n) + 1) * PARTS, pa.int32())],
-                ["doc_id", "n", "mark1", "mark2", "prefix", "cold", "warm", "parts"],
-            )
-
-    return documents.select("doc_id", "text").mapInArrow(work, "doc_id bigint, n bigint, mark1 bigint, mark2 bigint, prefix array<bigint>, cold bigint, warm bigint, parts array<int>")
-
-
-def _fragments(documents: DataFrame, ids: DataFrame, k: int, fragments: int) -> DataFrame:
-    """(id, fragment, hashes): sets cut by hash range, of the documents whose doc_id a bitmap of fixed size lets through."""
-    known = documents.sparkSession.sparkContext.broadcast(_bitmap(ids.select(F.xxhash64("id").alias("h"))))
-    # the join with ids is exact; the bitmap only spares sets that it would drop
-    docs = documents.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("slot"))
+def _alive_sets(documents: DataFrame, alive: DataFrame, k: int) -> DataFrame:
+    """(id, n, hashes) of the classes in ``alive``; a bitmap of fixed size spares other documents the work."""
+    known = documents.sparkSession.sparkContext.broadcast(bitmap(alive.select(F.xxhash64("rep").alias("h"))))
 
     def work(batches):
         for big in batches:
-            slot = big.column(2).to_numpy().view(np.uint64)
-            word = known.value[((slot >> np.uint64(6)) & np.uint64((1 << (MAP_BITS - 6)) - 1)).astype(np.int64)]
-            for b in tk.slices([big.filter(pa.array((word >> (slot & np.uint64(63))) & np.uint64(1) > 0))]):
+            near = in_bitmap(known.value, big.column(2).to_numpy().view(np.uint64))
+            for b in tk.slices([big.filter(pa.array(near))]):
                 g, _, bounds = _sets(b.column(1), k)
-                n = len(bounds) - 1
-                part = (g >> np.uint64(32)).astype(np.int64) * fragments >> 32  # rising along each sorted set
-                at = np.searchsorted(np.repeat(np.arange(n), np.diff(bounds)) * fragments + part, np.arange(n * fragments + 1))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(n), fragments))), pa.array(np.tile(np.arange(fragments, dtype=np.int32), n)), tk.lists(g.view(np.int64), at, pa.int64())], ["id", "fragment", "hashes"])
-
-    return docs.mapInArrow(work, "id bigint, fragment int, hashes array<bigint>")
-
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_marks(g, bounds)[0].view(np.int64)), tk.lists(g.view(np.int64), bounds, pa.int64())], ["rep", "id", "hashes"])
 
-def _overlaps(batches):
-    """Rows (a, salt, fragment, b, hashes) in that order, the centre (b null) first: (a, b, both) of every other row."""
-    key, own = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, salt, fragment = (batch.column(i).to_numpy() for i in range(3))
-        centre = pc.is_null(batch.column(3)).to_numpy(zero_copy_only=False)
-        off = batch.column(4).offsets.to_numpy()
-        flat = batch.column(4).values.to_numpy().view(np.uint64)
-        cut = np.flatnonzero((a[1:] != a[:-1]) | (salt[1:] != salt[:-1]) | (fragment[1:] != fragment[:-1])) + 1
-        both = np.zeros(len(a), np.int64)
-        for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(a)]):
-            if key != (a[s], salt[s], fragment[s]):
-                key, own = (a[s], salt[s], fragment[s]), []
-            first = s + int(centre[s:e].sum())
-            own += [flat[off[i] : off[i + 1]].copy() for i in range(s, first)]
-            part = flat[off[first] : off[e]]
-            for mine in own:  # one, unless a doc_id has several rows
-                hit = np.concatenate([[0], np.cumsum(_among(part, mine))])
-                both[first:e] = np.maximum(both[first:e], hit[off[first + 1 : e + 1] - off[first]] - hit[off[first:e] - off[first]])
-        yield pa.RecordBatch.from_arrays([pa.array(a[~centre]), batch.column(3).filter(pa.array(~centre)), pa.array(fragment[~centre]), pa.array(both[~centre])], ["a", "b", "fragment", "both"])
-
-
-def _verified(pairs: DataFrame, documents: DataFrame, k: int, threshold: int, fragments: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that are similar enough: overlaps counted per fragment, summed per pair.
-
-    Each set goes once to the partitions of its partners and is compared there with the set of ``a``, which
-    is all that a task holds. Centres of more than ``STAR`` pairs are salted.
-    """
-    width = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
-    members = pairs.join(width, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
-    centres = width.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
-    sent = stored(members.union(centres).distinct())
-    rows = _fragments(documents, sent.select("id").distinct(), k, fragments).join(sent, "id").select("a", "salt", "fragment", "b", "hashes")
-    rows = rows.repartition("a", "salt", "fragment").sortWithinPartitions("a", "salt", "fragment", F.col("b").asc_nulls_first())
-    part = rows.mapInArrow(_overlaps, "a bigint, b bigint, fragment int, both bigint")
-    part = part.groupBy("a", "b", "fragment").agg(F.max("both").alias("both"))  # a doc_id may have several rows
-    both = stored(part.groupBy("a", "b").agg(F.sum("both").alias("both")))
-    return pairs.join(both, ["a", "b"]).where(100 * F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    docs = documents.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("slot"))
+    rows = docs.mapInArrow(work, "rep bigint, id bigint, hashes array<bigint>")
+    return rows.join(alive.select("rep", "id", "n"), ["rep", "id"]).dropDuplicates(["id"]).select("id", "n", "hashes")
+
+
+def _need(a, b, threshold: int):
+    """Common shingles that sets of these sizes must have."""
+    return F.ceil((a + b) * threshold / (100 + threshold))
+
+
+def _may_link(x, y, threshold: int):
+    """For a shingle that both prefixes hold: sizes fit, and what stands before and behind it leaves room for enough common ones."""
+    room = F.least(x["pos"] - x["lone"], y["pos"] - y["lone"]) + F.least(x["n"] - x["pos"], y["n"] - y["pos"])
+    return (100 * F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"])) & (room >= _need(x["n"], y["n"], threshold))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: int, fragments: int) -> DataFrame:
+    """The pairs (a, b) that are similar enough: overlaps counted per fragment, summed per pair."""
+    each = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment"))
+    left = each.join(sets.select(F.col("id").alias("a"), "fragment", F.col("n").alias("na"), F.col("hashes").alias("ha")), ["a", "fragment"])
+    both = left.join(sets.select(F.col("id").alias("b"), "fragment", F.col("n").alias("nb"), F.col("hashes").alias("hb")), ["b", "fragment"])
+    part = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("both"))
+    total = part.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
+    return total.where(100 * F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+
+
+def _links(sets: DataFrame, threshold: int, fragments: int) -> DataFrame:
+    """Linked pairs (a, b) of class ids: enough of them to connect every component."""
+    each = sets.select("id", "n", F.explode("hashes").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("id")
+    ranked = each.join(often, "h").select("id", "n", "h", (F.col("n") - F.count("*").over(own)).alias("lone"), F.row_number().over(own.orderBy("df", "h")).alias("rank"))
+    prefix = ranked.select("id", "n", "h", "lone", (F.col("lone") + F.col("rank")).alias("pos")).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1)
+    prefix = stored(prefix)
+    member = F.struct("id", "n", "lone", "pos")
+    pivots = prefix.groupBy("h").agg(F.count("*").alias("size"), *(F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("by"), member.alias("x")))["x"].alias(f"p{i}") for i in range(PIVOTS))).where("size > 1")
+    star = prefix.join(pivots.select("h", F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("to")), "h").select(member.alias("x"), F.explode("to").alias("y"))
+    ordered = lambda rows: rows.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    tried = stored(ordered(star.where((F.col("x.id") != F.col("y.id")) & _may_link(F.col("x"), F.col("y"), threshold))))
+    cut = F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment")
+    of = lambda h: F.pmod(F.shiftrightunsigned(h, 40), F.lit(fragments))
+    cut_sets = stored(sets.join(prefix.select("id").distinct(), "id", "left_semi").select("id", "n", "hashes", cut).select("id", "n", "fragment", F.filter("hashes", lambda h: of(h) == F.col("fragment")).alias("hashes")))
+    links = stored(_verified(tried, cut_sets, threshold, fragments))
+    label = components(links)
+    # what the pivots left open: members of a group in different components
+    named = prefix.join(label.withColumnRenamed("node", "id"), "id", "left").select("h", member.alias("x"), F.coalesce("component", "id").alias("c"))
+    mixed = named.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("h")
+    open_ = stored(named.join(mixed, "h"))
+    x, y = open_.select("h", "x", F.col("c").alias("cx")), open_.select("h", F.col("x").alias("y"), F.col("c").alias("cy"))
+    cross = x.join(y, "h").where((F.col("cx") != F.col("cy")) & (F.col("x.id") < F.col("y.id")) & _may_link(F.col("x"), F.col("y"), threshold))
+    more = stored(_verified(ordered(cross).join(tried, ["a", "b"], "left_anti"), cut_sets, threshold, fragments))
+    out = stored(links.union(more))
+    drop(prefix, tried, cut_sets, links, label, open_, more)
+    return out
 
 
 def link_documents(documents: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, fragments: int = FRAGMENTS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``documents``."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(_prefixes(docs, hot_shingles(docs, k), k, threshold))
-    full = sets.where("n > 0 and doc_id is not null")
-    same = stored(full.groupBy("n", "mark1", "mark2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
-    copies = full.select("doc_id", "n", "mark1", "mark2").join(same.where("size > 1").select("n", "mark1", "mark2", "rep"), ["n", "mark1", "mark2"]).where("rep < doc_id")
-    copies = stored(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), "mark1", "mark2"))
-    # the smallest doc_id of each class carries on
-    reps = full.join(copies.select(F.col("b").alias("doc_id"), "mark1", "mark2"), ["doc_id", "mark1", "mark2"], "left_anti")
-    grams = reps.select(F.posexplode("prefix").alias("pos", "h"), F.col("doc_id").alias("id"), "n", "cold").select("h", "id", "n", (F.col("pos") >= F.col("cold")).alias("hot"))
-    groups = stored(grams.groupBy("h").agg(F.min("id").alias("low"), F.min_by("n", "id").alias("nlow"), F.count("*").alias("size")).where("size > 1").drop("size"))
-    shared = stored(grams.join(groups, "h"))
-    fits = lambda a, b: 100 * F.least(a, b) >= threshold * F.greatest(a, b)
-
-    def may_link(x, y):
-        """Sizes fit; and if only hot shingles can be common, their numbers per part of the hash range leave room for enough."""
-        need = threshold * (x["n"] + y["n"])
-        room = sum((F.least(x["parts"][i], y["parts"][i]) for i in range(1, PARTS)), F.least(x["parts"][0], y["parts"][0]))
-        enough = lambda both: (100 + threshold) * both >= need
-        return fits(x["n"], y["n"]) & (~F.col("hot") | enough(F.least(x["warm"], y["warm"])) & enough(room))
-
-    star = shared.where((F.col("id") != F.col("low")) & fits(F.col("n"), F.col("nlow"))).select(F.col("low").alias("a"), F.col("id").alias("b"), F.col("nlow").alias("na"), F.col("n").alias("nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
-    # what lies behind both prefixes cannot make up for too few common shingles within them
-    behind = F.ceil(F.greatest("na", "nb") * threshold / 100) - 1
-    star = stored(star.where((100 + threshold) * (F.col("common") + behind) >= threshold * (F.col("na") + F.col("nb"))).drop("common"))
-    links = stored(_verified(star, docs, k, threshold, fragments))
-    label = components(links)
-    # what the star left open: members of a group in different components
-    named = stored(shared.join(label.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "hot", F.coalesce("component", "id").alias("c")))
-    mixed = stored(named.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("h"))
-    room = sets.where("n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct(F.col("doc_id").alias("id"), "n", "warm", "parts")).alias("x"))
-    open_ = stored(named.join(mixed, "h", "left_semi"))
-    open_ = stored(open_.join(room.join(open_.select("id").distinct(), "id", "left_semi"), "id").select("h", "hot", "c", F.explode("x").alias("x")).withColumn("x", F.when(F.col("hot"), F.col("x")).otherwise(F.col("x").withField("parts", F.lit(None).cast("array<int>")))))
-    x, y = open_.select("h", "x", "hot", F.col("c").alias("cx")), open_.select("h", F.col("x").alias("y"), F.col("c").alias("cy"))
-    cross = x.join(y, (x["h"] == y["h"]) & (F.col("cx") != F.col("cy")) & (F.col("x.id") < F.col("y.id")) & may_link(F.col("x"), F.col("y"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-    cross = stored(cross.join(star.select("a", "b"), ["a", "b"], "left_anti"))
-    more = _verified(cross, docs, k, threshold, fragments)
-    label = components(links.union(more).union(copies.select("a", "b")))
-    return sets.join(label, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    rows = stored(_classes(docs, k))
+    full = rows.where("n > 0 and doc_id is not null")
+    classes = stored(full.groupBy("n", "m1", "m2", "n1").agg(F.min("doc_id").alias("rep")))
+    first = _first_fragment(docs, k).repartition("h").sortWithinPartitions("h", "id")
+    hits = first.mapInArrow(_repeated, "id bigint, hits bigint").groupBy("id").agg(F.sum("hits").alias("hits"))
+    spare = F.col("n") - F.ceil(F.col("n") * threshold / 100)
+    alive = stored(classes.withColumnRenamed("m1", "id").join(hits, "id", "left").where(F.col("n1") - F.coalesce("hits", F.lit(0)) <= spare).select("id", "rep", "n"))
+    sets = stored(_alive_sets(docs, alive, k))
+    links = _links(sets, threshold, fragments)
+    name = alive.select("id", "rep")
+    edges = links.join(name.select(F.col("id").alias("a"), F.col("rep").alias("x")), "a").join(name.select(F.col("id").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # a doc_id with several texts links their classes
+    several = full.groupBy("doc_id").agg(F.min("m1").alias("lo"), F.max("m1").alias("hi")).where("lo < hi").select("doc_id")
+    tied = full.join(several, "doc_id").join(classes.drop("n1"), ["n", "m1", "m2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    label = components(edges.union(tied))
+    drop(alive, sets, links)
+    shown = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("n", "m1", "m2", F.coalesce("component", "rep").alias("component_id"))
+    out = rows.join(shown, ["n", "m1", "m2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,9 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import stored, table
+from .shared import MAP_BITS, bitmap as _bitmap, stored, table
 
-LENGTH, GRAM, MAP_BITS, CHUNK, HOT_GROUP = 50, 16, 26, 1 << 22, 200_000
+LENGTH, GRAM, CHUNK, HOT_GROUP = 50, 16, 1 << 22, 200_000
 _SPAN = LENGTH - GRAM + 1
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -106,15 +106,6 @@ def _anchors(docs: DataFrame, bitmap=None) -> DataFrame:
     return docs.mapInArrow(work, "h bigint, lo bigint, hi bigint" if bitmap is None else "h bigint, ctx bigint, doc bigint, tid bigint, j bigint, n int, a int")
 
 
-def _bitmap(shared: DataFrame) -> np.ndarray:
-    """One bit per hashed minimizer; 2 ** MAP_BITS bits whatever the input."""
-    slot = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit((1 << (MAP_BITS - 6)) - 1)).cast("int")
-    words = shared.select(slot.alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
-    return out
-
-
 def expand_intervals(h, doc, left, right, n_left, n_right):
     """For each row and step t whether the window that starts t bytes before the suffix also occurs at a smaller doc.
 

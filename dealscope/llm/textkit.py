@@ -148,3 +148,19 @@ def sequence_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(mix(values.copy()) * up[: len(values)], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    i = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return known[i] == values
+
+
+def starts(*keys: np.ndarray) -> np.ndarray:
+    """Flags of the first row of each run of equal keys."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
