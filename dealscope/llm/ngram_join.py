@@ -10,8 +10,8 @@ shuffled once, and documents with too many shingles of their own are done. Only
 global order is by document frequency, then hash, and the first (1 - t) n + 1 of
 each set form its prefix.
 
-Candidate pairs: every member of a prefix group with ``PIVOTS`` members of the
-group; then, once those links have merged classes into components, members of different
+Candidate pairs: every member of a prefix group with three pivots of the
+group, two of them those with the fewest shingles of their own; then, once those links have merged classes into components, members of different
 components only, less those that sizes and positions in the order rule out. Pairs are verified exactly: the
 overlap of a pair is counted in each of ``FRAGMENTS`` fragments apart and summed per pair.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .shared import bitmap, components, drop, in_bitmap, stored, table
 
-SHINGLE, THRESHOLD, UNIT, SHARE, FRAGMENTS, PIVOTS = 4, 85, 2_000_000, 1 / 3, 4, 3
+SHINGLE, THRESHOLD, UNIT, SHARE, FRAGMENTS = 4, 85, 2_000_000, 1 / 3, 4
 
 
 def _sets(column, k: int):
@@ -195,8 +195,10 @@ def _links(sets: DataFrame, threshold: int, fragments: int) -> DataFrame:
     prefix = ranked.select("id", "n", "h", "lone", (F.col("lone") + F.col("rank")).alias("pos")).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1)
     prefix = stored(prefix)
     member = F.struct("id", "n", "lone", "pos")
-    pivots = prefix.groupBy("h").agg(F.count("*").alias("size"), *(F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("by"), member.alias("x")))["x"].alias(f"p{i}") for i in range(PIVOTS))).where("size > 1")
-    star = prefix.join(pivots.select("h", F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("to")), "h").select(member.alias("x"), F.explode("to").alias("y"))
+    # near copies of a text have shingles of their own, the text itself has none: the members with the fewest are hubs
+    order = [F.struct("lone", "id"), F.struct("lone", F.xxhash64("id")), F.struct(F.xxhash64("id", F.lit(1)), "id")]
+    pivots = prefix.groupBy("h").agg(F.count("*").alias("size"), *(F.min(F.struct(o.alias("by"), member.alias("x")))["x"].alias(f"p{i}") for i, o in enumerate(order))).where("size > 1")
+    star = prefix.join(pivots.select("h", F.array_distinct(F.array(*(f"p{i}" for i in range(len(order))))).alias("to")), "h").select(member.alias("x"), F.explode("to").alias("y"))
     ordered = lambda rows: rows.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     tried = stored(ordered(star.where((F.col("x.id") != F.col("y.id")) & _may_link(F.col("x"), F.col("y"), threshold))))
     cut = F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment")
@@ -205,11 +207,16 @@ def _links(sets: DataFrame, threshold: int, fragments: int) -> DataFrame:
     links = stored(_verified(tried, cut_sets, threshold, fragments))
     label = components(links)
     # what the pivots left open: members of a group in different components
-    named = prefix.join(label.withColumnRenamed("node", "id"), "id", "left").select("h", member.alias("x"), F.coalesce("component", "id").alias("c"))
+    named = prefix.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "h", member.alias("x"), F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("h")
-    open_ = stored(named.join(mixed, "h"))
-    x, y = open_.select("h", "x", F.col("c").alias("cx")), open_.select("h", F.col("x").alias("y"), F.col("c").alias("cy"))
-    cross = x.join(y, "h").where((F.col("cx") != F.col("cy")) & (F.col("x.id") < F.col("y.id")) & _may_link(F.col("x"), F.col("y"), threshold))
+    rest = named.join(mixed, "h")
+    first = prefix.join(rest.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "h")))["h"].alias("first"))
+    open_ = stored(rest.join(first, "id").select("h", "x", "c", "first"))
+    x, y = (open_.select("h", F.col("x").alias(v), F.col("c").alias(f"c{v}"), F.col("first").alias(f"first_{v}")) for v in "xy")
+    # a pair is emitted once, at its first common shingle, which must stand early in the smaller set
+    early = lambda v: F.col(f"{v}.pos") <= F.col(f"{v}.n") - F.ceil(2 * F.col(f"{v}.n") * threshold / (100 + threshold)) + 1
+    once = (F.array_intersect("first_x", "first_y")[0] == F.col("h")) & F.when(F.col("x.n") < F.col("y.n"), early("x")).otherwise(early("y"))
+    cross = x.join(y, "h").where((F.col("cx") != F.col("cy")) & (F.col("x.id") < F.col("y.id")) & _may_link(F.col("x"), F.col("y"), threshold) & once)
     more = stored(_verified(ordered(cross).join(tried, ["a", "b"], "left_anti"), cut_sets, threshold, fragments))
     out = stored(links.union(more))
     drop(prefix, tried, cut_sets, links, label, open_, more)

@@ -6,13 +6,18 @@ whose length is all that matters. The histogram of item lengths (at most
 LENGTH - 1 numbers, whatever the size of the corpus) goes to the driver, where
 a linear program over patterns is solved by column generation: the restricted
 master is a revised simplex with an explicit basis inverse, a knapsack dynamic
-program prices new patterns. The rounded-down solution is completed by
-knapsack patterns over what is left. Patterns then become slots, documents are
-ranked within their length by per-bucket counts and prefix sums (no window
-over a whole length), and rank and length give sequence and offset.
+program prices new patterns until none improves or the bound of the prices shows the
+program to be within ``GAP`` of its optimum. Patterns rounded from its solution are completed by
+knapsack patterns over what is left. Patterns then become slots. Documents are
+ranked within their length by the task that reads them, in buckets of ``BUCKET_ROWS`` rows, and prefix sums over the buckets (no window
+over documents); rank and length give sequence and offset.
+
+Words between single spaces are tokenized once per task while they stay in a cache of ``CACHE`` words, from which the
+least recently used half goes when it is full.
 
 Defined results: null text is empty (one id: the closing 0); an empty table gives
-no rows; repeated rows are packed each; extra columns are ignored.
+no rows; repeated rows are packed each; very long texts give a sequence for each full stretch and
+one piece for the rest; ties between documents of a length are settled by their place in the table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,19 +28,67 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .shared import stored, table
 
-LENGTH, CACHE, BUCKET_ROWS = 1024, 400_000, 20_000
+LENGTH, CACHE, BUCKET_ROWS, SLICE, GAP = 1024, 400_000, 20_000, 1 << 21, 2e-3
+_BUCKETS = 1 << 20  # numbers that a task has for its buckets
 _state: dict = {}
 #: white space before which or after which a single space does not begin a new word of the tokenizer
 _ODD = re.compile(r"\s (?:\s|$)")
 
 
+class _Words:
+    """Ids of words, end to end; words are found by a dictionary of their numbers."""
+
+    def __init__(self, encode):
+        self.encode = encode
+        self.clear([], np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def clear(self, words: list[str], size: np.ndarray, ids: np.ndarray) -> None:
+        self.number = {w: i for i, w in enumerate(words)}
+        self.size, self.ids = size, ids
+        self.start = np.cumsum(size) - size
+        self.used = np.zeros(len(size), np.int64)
+        self.clock = 0
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        self.clock += 1
+        new = [w for w in words if w not in self.number]
+        if len(self.number) + len(new) > CACHE and len(self.number) > CACHE // 2:
+            self._forget()
+            new = [w for w in words if w not in self.number]
+        if new:
+            got = [np.array(e, np.uint32) for e in self.encode(new)]
+            n, at = len(self.number), len(self.ids)
+            self.number.update((w, n + i) for i, w in enumerate(new))
+            size = np.array([len(g) for g in got], np.int64)
+            self.size = np.concatenate([self.size, size])
+            self.start = np.concatenate([self.start, at + np.cumsum(size) - size])
+            self.ids = np.concatenate([self.ids, *got])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        out = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        self.used[out] = self.clock
+        return out
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: CACHE // 2])
+        words = list(self.number)
+        size = self.size[keep]
+        self.clear([words[i] for i in keep], size, self.ids[_ranges(self.start[keep], size)])
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Concatenated ranges."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 def _encoder(path: str):
-    """Ids of whole texts by tokenizers; words between single spaces are looked up in a bounded cache first."""
+    """Texts to their ids, end to end, and n + 1 bounds: as the tokenizer gives for whole texts."""
     if path not in _state:
         import os
 
@@ -43,47 +96,68 @@ def _encoder(path: str):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _state[path] = (t, {}, {})
-    tok, first, rest = _state[path]
-    as_bytes = lambda e: np.array(e.ids, "<u4").tobytes()
-
-    def encode(texts: list[str]) -> list[bytes]:
-        if len(rest) > CACHE:
-            rest.clear()
-        if len(first) > CACHE // 4:
-            first.clear()
-        whole = [i for i, t in enumerate(texts) if _ODD.search(t)]
-        odd = set(whole)
-        parts = [[] if i in odd else t.split(" ") for i, t in enumerate(texts)]
-        new = {p for x in parts for p in x[1:]}.difference(rest)
-        new_first = {x[0] for x in parts if x}.difference(first)
-        new, new_first = list(new), list(new_first)
-        for p, e in zip(new, tok.encode_batch_fast([" " + p for p in new], add_special_tokens=False)):
-            rest[p] = as_bytes(e)
-        for p, e in zip(new_first, tok.encode_batch_fast(new_first, add_special_tokens=False)):
-            first[p] = as_bytes(e)
-        out = [first[x[0]] + b"".join(map(rest.__getitem__, x[1:])) if x else b"" for x in parts]
-        for i, e in zip(whole, tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
-            out[i] = as_bytes(e)
-        return out
+        plain = lambda texts: (e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False))
+        added = re.compile("|".join(re.escape(x.content) for x in t.get_added_tokens_decoder().values()) or r"(?!)")
+        _state[path] = plain, added, _Words(plain), _Words(lambda words: plain([" " + w for w in words]))
+    plain, added, first, rest = _state[path]
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        n = len(texts)
+        odd = np.array([bool(_ODD.search(t) or added.search(t)) for t in texts.to_pylist()], bool)
+        parts = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        lead = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
+        flat = pc.list_flatten(parts).dictionary_encode()
+        code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        known = rest.numbers(flat.dictionary.to_pylist())[code]
+        size, start = rest.size[known], rest.start[known]
+        heads = pc.list_flatten(parts).take(pa.array(lead)).to_pylist()
+        head = first.numbers(heads)
+        # ids of both stores, then of whole texts, in one array
+        whole = [np.array(e, np.uint32) for e in plain(texts.filter(pa.array(odd)).to_pylist())]
+        pool = np.concatenate([rest.ids, first.ids, *whole])
+        size[lead], start[lead] = first.size[head], first.start[head] + len(rest.ids)
+        of = np.zeros(n, np.int64)  # words of each text
+        of[~odd], of[odd] = np.diff(np.append(lead, len(code))), 1
+        at = np.cumsum(of) - of
+        sizes, starts = np.zeros(int(of.sum()), np.int64), np.zeros(int(of.sum()), np.int64)
+        fast = np.repeat(~odd, of)
+        sizes[fast], starts[fast] = size, start
+        own = np.array([len(w) for w in whole], np.int64)
+        sizes[at[odd]], starts[at[odd]] = own, len(rest.ids) + len(first.ids) + np.cumsum(own) - own
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        return pool[_ranges(starts, sizes)], bounds[np.append(at, len(sizes))]
 
     return encode
 
 
 def token_lengths(documents: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
-    """doc_id, doc_tokens and the crc32 of the ids of each full stretch and of the rest."""
+    """doc_id, doc_tokens, the crc32 of the ids of each full stretch and of the rest, and the row's bucket with its rank among
+    the rests of that length and the full stretches before it."""
 
     def work(batches):
         encode = _encoder(tokenizer)
-        for big in batches:
-            for i in range(0, big.num_rows, 256):
-                b = big.slice(i, 256)
-                ids = [x + b"\0\0\0\0" for x in encode(pc.fill_null(b.column(1), "").to_pylist())]
-                crc = [[zlib.crc32(x[j : j + 4 * length]) for j in range(0, len(x), 4 * length)] for x in ids]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crc, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id bigint, doc_tokens bigint, crcs array<bigint>")
+        bucket, seen, full, rows = TaskContext.get().partitionId() * _BUCKETS, np.zeros(length, np.int64), 0, 0
+        for b in tk.slices(batches, limit=SLICE):
+            ids, bounds = encode(pc.fill_null(b.column(1), "").cast(pa.string()))
+            ids, bounds = np.insert(ids, bounds[1:], 0).astype("<u4"), bounds + np.arange(len(bounds))
+            size = np.diff(bounds)
+            data = memoryview(ids).cast("B")
+            pieces = -(-size // length)
+            cut = np.repeat(bounds[:-1] - length * (np.cumsum(pieces) - pieces), pieces) + length * np.arange(pieces.sum())
+            end = np.minimum(cut + length, np.repeat(bounds[1:], pieces))
+            crc = [zlib.crc32(data[4 * s : 4 * e]) for s, e in zip(cut.tolist(), end.tolist())]
+            where, rank, run = [], [], []
+            for item, whole in zip((size % length).tolist(), (size // length).tolist()):
+                if rows == BUCKET_ROWS:
+                    bucket, full, rows = bucket + 1, 0, 0
+                    seen[:] = 0
+                where.append(bucket), rank.append(int(seen[item])), run.append(full)
+                seen[item] += 1
+                full += whole
+                rows += 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), tk.lists(crc, np.concatenate([[0], np.cumsum(pieces)]), pa.int64()), pa.array(where, pa.int64()), pa.array(rank, pa.int64()), pa.array(run, pa.int64())], ["doc_id", "doc_tokens", "crcs", "bucket", "rn", "run"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id bigint, doc_tokens bigint, crcs array<bigint>, bucket bigint, rn bigint, run bigint")
 
 
 def _knapsack(size: np.ndarray, value: np.ndarray, limit: np.ndarray, cap: int) -> np.ndarray:
@@ -124,50 +198,51 @@ def _greedy(sizes: np.ndarray, demand: np.ndarray, cap: int) -> list[np.ndarray]
     return out
 
 
-def cutting_stock(sizes: np.ndarray, demand: np.ndarray, cap: int = LENGTH, gap: float = 2e-3, max_columns: int = 300) -> list[tuple[np.ndarray, int]]:
+def _priced(sizes: np.ndarray, demand: np.ndarray, cap: int, gap: float) -> list[tuple[np.ndarray, float]]:
+    """Patterns and fractions of the linear program: min sum x, patterns x = demand, x >= 0."""
+    n = len(sizes)
+    a = np.diag(cap // sizes).astype(float)  # first basis: one size per pattern
+    inv = np.diag(1 / np.diag(a))
+    x = inv @ demand
+    low = float((sizes * demand).sum()) / cap
+    pool = np.stack(_greedy(sizes, demand, cap), axis=1).astype(float)
+    while x.sum() > low * (1 + gap):
+        dual = inv.sum(axis=0)
+        gain = dual @ pool
+        if gain.max() > 1 + 1e-6:
+            col = pool[:, int(gain.argmax())]
+        else:
+            col = _knapsack(sizes, dual, np.full(n, cap), cap).astype(float)
+            worth = dual @ col
+            low = max(low, x.sum() / worth)  # no solution is below the value over the best price
+            if worth <= 1 + 1e-6:
+                break
+            pool = np.concatenate([pool, col[:, None]], axis=1)
+        d = inv @ col
+        up = d > 1e-9
+        ratio = np.where(up, x / np.where(up, d, 1), np.inf)
+        r = int(np.argmin(ratio))
+        a[:, r] = col
+        step = ratio[r]
+        x = np.maximum(x - step * d, 0)
+        x[r] = step
+        row = inv[r] / d[r]
+        inv -= np.outer(d, row)
+        inv[r] = row
+    return [(a[:, j].astype(np.int64), float(x[j])) for j in np.argsort(-x) if x[j] > 1e-9]
+
+
+def cutting_stock(sizes: np.ndarray, demand: np.ndarray, cap: int = LENGTH, gap: float = GAP) -> list[tuple[np.ndarray, int]]:
     """Patterns (copies of each size) and how often each is used; every item is covered exactly."""
     n = len(sizes)
     if not n:
         return []
     left = demand.astype(np.int64).copy()
     out: list[tuple[np.ndarray, int]] = []
-    if n > 1 and demand.sum() > 4 * n:
-        # master: min sum x, A x = demand, x >= 0; first basis: one size per pattern
-        a = np.diag(cap // sizes).astype(float)
-        inv = np.diag(1 / np.diag(a))
-        x = inv @ demand
-        bound = float((sizes * demand).sum()) / cap
-        pool = np.stack(_greedy(sizes, demand, cap), axis=1).astype(float)
-        priced = 0
-        for _ in range(20 * n):
-            if x.sum() <= bound * (1 + gap):
-                break
-            dual = inv.sum(axis=0)
-            gain = dual @ pool
-            if gain.max() > 1 + 1e-7:
-                col = pool[:, int(gain.argmax())]
-            elif priced < max_columns:
-                priced += 1
-                col = _knapsack(sizes, dual, np.full(n, cap), cap).astype(float)
-                if dual @ col <= 1 + 1e-7:
-                    break
-                pool = np.concatenate([pool, col[:, None]], axis=1)
-            else:
-                break
-            d = inv @ col
-            up = d > 1e-9
-            ratio = np.where(up, x / np.where(up, d, 1), np.inf)
-            r = int(np.argmin(ratio))
-            a[:, r] = col
-            step = ratio[r]
-            x = np.maximum(x - step * d, 0)
-            x[r] = step
-            row = inv[r] / d[r]
-            inv -= np.outer(d, row)
-            inv[r] = row
-        for j in np.argsort(-x):
-            col = a[:, j].astype(np.int64)
-            times = int(min(np.floor(x[j] + 1e-9), (left[col > 0] // col[col > 0]).min()))
+    columns = _priced(sizes, demand, cap, gap) if n > 1 else []
+    for whole in (True, False):  # rounded down, then the largest fractions that still fit
+        for col, x in sorted(columns, key=lambda c: c[1] if whole else c[1] % 1, reverse=True):
+            times = int(min(np.floor(x + 1e-9) if whole else x % 1 > 0.5, (left[col > 0] // col[col > 0]).min()))
             if times > 0:
                 out.append((col, times))
                 left -= col * times
@@ -205,11 +280,7 @@ def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFram
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = documents.sparkSession
     docs = stored(token_lengths(documents, tokenizer, length)).withColumn("item", (F.col("doc_tokens") % length).cast("int")).withColumn("full", F.floor(F.col("doc_tokens") / length))
-    n = docs.count()
-    buckets = max(1, -(-n // BUCKET_ROWS))
-    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "crcs"), F.lit(buckets)))
-    by = docs.groupBy("bucket", "item").agg(F.count("*").alias("n"), F.sum("full").alias("full"))
-    by = stored(by)
+    by = stored(docs.groupBy("bucket", "item").agg(F.count("*").alias("n"), F.sum("full").alias("full")))
     hist = by.where("item > 0").groupBy("item").agg(F.sum("n").alias("n")).orderBy("item").collect()  # at most length - 1 rows
     sizes, demand = np.array([r["item"] for r in hist], np.int64), np.array([r["n"] for r in hist], np.int64)
     slots = _slots(sizes, cutting_stock(sizes, demand, length))
@@ -217,14 +288,11 @@ def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFram
     slots = spark.sparkContext.broadcast(slots)
     # where each bucket begins: in the ranks of a length, and among the full sequences
     first = by.withColumn("rank0", F.coalesce(F.sum("n").over(Window.partitionBy("item").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    whole = by.groupBy("bucket").agg(F.sum("full").alias("full"))
-    block = whole.withColumn("group", F.floor(F.col("bucket") / 1000))
-    groups = block.groupBy("group").agg(F.sum("full").alias("g")).withColumn("g0", F.sum("g").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)))  # one row per 1000 buckets
+    block = by.groupBy("bucket").agg(F.sum("full").alias("full")).withColumn("group", F.floor(F.col("bucket") / (64 * _BUCKETS)))
+    groups = block.groupBy("group").agg(F.sum("full").alias("g")).withColumn("g0", F.sum("g").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)))  # one row per 64 tasks
     seq0 = block.join(groups, "group").withColumn("seq0", F.coalesce("g0", F.lit(0)) + F.coalesce(F.sum("full").over(Window.partitionBy("group").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = (
-        docs.withColumn("rn", F.row_number().over(Window.partitionBy("bucket", "item").orderBy("doc_id", "crcs")) - 1)
-        .withColumn("run", F.coalesce(F.sum("full").over(Window.partitionBy("bucket").orderBy("item", "doc_id", "rn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .join(first.select("bucket", "item", "rank0"), ["bucket", "item"])
+        docs.join(first.select("bucket", "item", "rank0"), ["bucket", "item"])
         .join(seq0.select("bucket", "seq0"), "bucket")
         .select("doc_id", "doc_tokens", "crcs", "item", (F.col("rn") + F.col("rank0")).cast("long").alias("rank"), (F.col("run") + F.col("seq0") + packed).cast("long").alias("seq"))
     )

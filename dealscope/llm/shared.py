@@ -82,18 +82,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bitmap(hashes: DataFrame, column: str = "h") -> np.ndarray:
-    """One bit per hash, 2 ** MAP_BITS bits whatever the input: lets through every hash of the table, and some others."""
-    h = F.col(column)
-    slot = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit((1 << (MAP_BITS - 6)) - 1)).cast("int")
+def bitmap(hashes: DataFrame, column: str = "h", bits: int = MAP_BITS) -> np.ndarray:
+    """One bit per hash, 2 ** bits bits whatever the input: lets through every hash of the table, and some others."""
+    slot = F.shiftrightunsigned(F.col(column), 6).bitwiseAND(F.lit((1 << (bits - 6)) - 1)).cast("int")
     words = hashes.select(slot.alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return out
 
 
-def in_bitmap(known: np.ndarray, h: np.ndarray) -> np.ndarray:
-    word = known[((h >> np.uint64(6)) & np.uint64((1 << (MAP_BITS - 6)) - 1)).astype(np.int64)]
+def in_bitmap(known: np.ndarray, h: np.ndarray, bits: int = MAP_BITS) -> np.ndarray:
+    word = known[((h >> np.uint64(6)) & np.uint64((1 << (bits - 6)) - 1)).astype(np.int64)]
     return (word >> (h & np.uint64(63))) & np.uint64(1) > 0
 
 

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,7 +111,6 @@ def encoder():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return public_tokenizers.path("byte_bpe_50k.json"), lambda s: t.encode(s or "", add_special_tokens=False).ids + [0]
 
 
@@ -144,8 +144,33 @@ def test_packing(spark, odd):
 def test_encoder_equals_whole_texts():
     path, ids = encoder()
     odd = ["", " ", "  ", "a  b", "a   b", " a", "a ", "a\n b", "a\n\n b", "\n \nx", "x \n y", "x  y", "\t a\t b ", "it's  we'll 'd 12 345,6", "<|endoftext|> x", "é è\r\n ü 　 z"]
-    got = packing._encoder(path)(odd)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids(t)[:-1] for t in odd]
+    odd += ["x <|endoftext|> y", "x<|endoftext|>y z"]
+    for texts in (odd, odd[::-1], ["plain words"], [], ["x  ", " "]):
+        got, bounds = packing._encoder(path)(pa.array(texts, pa.string()))
+        assert [got[s:e].tolist() for s, e in zip(bounds, bounds[1:])] == [ids(t)[:-1] for t in texts]
+
+
+def test_cache_forgets_the_least_used(monkeypatch):
+    path, ids = encoder()
+    monkeypatch.setattr(packing, "CACHE", 60)
+    monkeypatch.setattr(packing, "_state", {})
+    encode = packing._encoder(path)
+    for i in range(12):
+        text = " ".join(f"w{i}x{j} the" for j in range(25))
+        got, _ = encode(pa.array([text, "the end"]))
+        assert got.tolist() == ids(text)[:-1] + ids("the end")[:-1]
+    assert len(packing._state[path][3].number) <= 90 and "the" in packing._state[path][3].number
+
+
+def test_columns_are_priced_at_every_size(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    priced = []
+    real = packing._knapsack
+    monkeypatch.setattr(packing, "_priced", lambda *a, f=packing._priced: priced.append(f(*a)) or priced[-1])
+    monkeypatch.setattr(packing, "_knapsack", real)
+    rows = packing.pack(docs, encoder()[0]).agg(F.max("sequence_id").alias("n"), F.sum("length").alias("ids")).first()
+    assert priced and any((c > 0).sum() > 1 for c, _ in priced[0])
+    assert rows.ids >= 0.985 * 1024 * (rows.n + 1)
 
 
 def test_cutting_stock_covers_demand():
