@@ -58,10 +58,10 @@ class _Words:
 
     def numbers(self, words: list[str]) -> np.ndarray:
         self.clock += 1
-        new = [w for w in words if w not in self.number]
+        new = [w for w in dict.fromkeys(words) if w not in self.number]
         if len(self.number) + len(new) > CACHE and len(self.number) > CACHE // 2:
             self._forget()
-            new = [w for w in words if w not in self.number]
+            new = [w for w in dict.fromkeys(words) if w not in self.number]
         if new:
             got = [np.array(e, np.uint32) for e in self.encode(new)]
             n, at = len(self.number), len(self.ids)
