@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .shared import stored, table
 
-LENGTH, CACHE, BUCKET_ROWS, SLICE, GAP = 1024, 400_000, 20_000, 1 << 21, 2e-3
+LENGTH, CACHE, BUCKET_ROWS, SLICE, RUN, GAP = 1024, 600_000, 20_000, 1 << 22, 100, 2e-3
 _BUCKETS = 1 << 20  # numbers that a task has for its buckets
 _state: dict = {}
 #: white space before which or after which a single space does not begin a new word of the tokenizer
@@ -57,21 +57,23 @@ class _Words:
         self.clock = 0
 
     def numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of words that are all different."""
         self.clock += 1
-        new = [w for w in dict.fromkeys(words) if w not in self.number]
-        if len(self.number) + len(new) > CACHE and len(self.number) > CACHE // 2:
+        found = list(map(self.number.get, words))
+        if found.count(None) + len(self.number) > CACHE and len(self.number) > CACHE // 2:
             self._forget()
-            new = [w for w in dict.fromkeys(words) if w not in self.number]
+            found = list(map(self.number.get, words))
+        new = [i for i, n in enumerate(found) if n is None]
         if new:
-            got = [np.array(e, np.uint32) for e in self.encode(new)]
+            ids, size = self.encode([words[i] for i in new])
             n, at = len(self.number), len(self.ids)
-            self.number.update((w, n + i) for i, w in enumerate(new))
-            size = np.array([len(g) for g in got], np.int64)
+            for k, i in enumerate(new):
+                self.number[words[i]] = found[i] = n + k
             self.size = np.concatenate([self.size, size])
             self.start = np.concatenate([self.start, at + np.cumsum(size) - size])
-            self.ids = np.concatenate([self.ids, *got])
+            self.ids = np.concatenate([self.ids, ids])
             self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
-        out = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        out = np.array(found, np.int64)
         self.used[out] = self.clock
         return out
 
@@ -84,7 +86,8 @@ class _Words:
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Concatenated ranges."""
-    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    kind = np.int32 if len(start) and int((start + size).max()) < 2**31 else np.int64
+    return np.repeat((start - np.cumsum(size) + size).astype(kind), size) + np.arange(int(size.sum()), dtype=kind)
 
 
 def _encoder(path: str):
@@ -96,9 +99,31 @@ def _encoder(path: str):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        plain = lambda texts: (e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False))
+        plain = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
         added = re.compile("|".join(re.escape(x.content) for x in t.get_added_tokens_decoder().values()) or r"(?!)")
-        _state[path] = plain, added, _Words(plain), _Words(lambda words: plain([" " + w for w in words]))
+        begins = np.zeros(max(t.get_vocab().values()) + 1, bool)  # tokens that begin with a space
+        begins[[i for w, i in t.get_vocab().items() if w.startswith("\u0120")]] = True
+
+        def one_by_one(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            got = plain(words)
+            return np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
+
+        def spaced(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Words after a single space: many in one text, whose ids are cut where a token begins with a space."""
+            simple = [len(w.split()) == 1 and w.strip() == w for w in words]
+            run = [w for w, ok in zip(words, simple) if ok]
+            ids = np.array([i for x in plain([" " + " ".join(run[i : i + RUN]) for i in range(0, len(run), RUN)]) for i in x], np.uint32)
+            first = np.flatnonzero(begins[ids])
+            if len(first) != len(run):  # not a tokenizer that splits there
+                return one_by_one([" " + w for w in words])
+            rest_ids, rest_size = one_by_one([" " + w for w, ok in zip(words, simple) if not ok])
+            size, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+            simple = np.array(simple, bool)
+            size[simple], start[simple] = np.diff(np.append(first, len(ids))), first
+            size[~simple], start[~simple] = rest_size, len(ids) + np.cumsum(rest_size) - rest_size
+            return np.concatenate([ids, rest_ids])[_ranges(start, size)], size
+
+        _state[path] = plain, added, _Words(one_by_one), _Words(spaced)
     plain, added, first, rest = _state[path]
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,12 +131,13 @@ def _encoder(path: str):
         odd = np.array([bool(_ODD.search(t) or added.search(t)) for t in texts.to_pylist()], bool)
         parts = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         lead = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
-        flat = pc.list_flatten(parts).dictionary_encode()
-        code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        known = rest.numbers(flat.dictionary.to_pylist())[code]
-        size, start = rest.size[known], rest.start[known]
-        heads = pc.list_flatten(parts).take(pa.array(lead)).to_pylist()
-        head = first.numbers(heads)
+        words = pc.list_flatten(parts)
+        coded = words.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        number = rest.numbers(coded.dictionary.to_pylist())
+        size, start = rest.size[number][code], rest.start[number][code]
+        heads = words.take(pa.array(lead)).dictionary_encode()
+        head = first.numbers(heads.dictionary.to_pylist())[heads.indices.to_numpy(zero_copy_only=False)]
         # ids of both stores, then of whole texts, in one array
         whole = [np.array(e, np.uint32) for e in plain(texts.filter(pa.array(odd)).to_pylist())]
         pool = np.concatenate([rest.ids, first.ids, *whole])

@@ -184,17 +184,40 @@ def test_cutting_stock_covers_demand():
             assert sum(t for _, t in got) <= 1.02 * (sizes @ demand) / 1024 + 1
 
 
+def brute_force(documents: list[tuple], benchmark: list[tuple], size: int = decontaminate.SIZE) -> dict:
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    cut = lambda t: word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    wins: dict[tuple, set] = {}
+    for item, text in benchmark:
+        w = cut(text)
+        for i in range(max(1, len(w) - size + 1)) if w else ():
+            wins.setdefault(tuple(w[i : i + size]), set()).add(str(item))
+    sizes = {len(x) for x in wins}
+    out = {}
+    for doc, text in documents:
+        w, hit, items = cut(text), set(), set()
+        for k in sizes:
+            for i in range(len(w) - k + 1):
+                if found := wins.get(tuple(w[i : i + k])):
+                    hit.update(range(i, i + k))
+                    items |= found
+        out[doc] = (len(w), sorted(hit), sorted(items))
+    return out
+
+
 def test_decontamination(spark, odd):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").cast("string"), "text")
-    bench = bench.union(spark.createDataFrame([("a", "Two three"), ("b", None), ("c", " .,"), ("d", "a b c d e f g h i j k l m")], "item_id string, text string"))
-    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1200").select("doc_id", "text").union(odd.where("doc_id <> 5").select(F.col("doc_id") + 10**6, "text"))
-    docs = docs.union(spark.createDataFrame([(7_000_000, "x A B, c d e f g h i j! k a b c"), (7_000_001, "c b a e d f g h i j k l")], "doc_id long, text string"))
-    want = decontaminate.brute_force([tuple(r) for r in docs.collect()], [tuple(r) for r in bench.collect()])
-    assert sum(w[4] for w in want.values()) > 0
-    path = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench).collect()}
-    for doc, w in want.items():
-        assert (path[doc].n_words, path[doc].n_hit, len(path[doc]["items"]), path[doc].n_hit > 0) == (w[0], w[1], w[2], w[4]), doc
-    assert set(path[7_000_001].near_items) == {"d"}
+    bench = bench.union(spark.createDataFrame([("a", "Two three"), ("b", None), ("c", " .,"), ("d", "a b c d e f g h i j k l m"), ("d", "a b c d e f g h i j k l m"), ("e", "a b c d e f g h i j")], "item_id string, text string"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.select(F.col("doc_id") + 10**6, "text"))
+    docs = docs.union(spark.createDataFrame([(7_000_000, "x A B, c d e f g h i j! k a b c"), (7_000_001, "c b a e d f g h i j k l")], "doc_id long, text string")).withColumn("rows", F.lit("clash"))
+    want = brute_force([tuple(r)[:2] for r in docs.collect()], [tuple(r) for r in bench.collect()])
+    assert sum(bool(w[1]) for w in want.values()) > 5
+    rows = decontaminate.decontaminate(docs, bench).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert (r.n_words, r.hit, r["items"], r.n_hit) == (*want[r.doc_id], len(want[r.doc_id][1])), r.doc_id
+    path = {r.doc_id: r for r in rows}
+    assert set(path[7_000_001].near_items) == {"d", "e"}
     old, decontaminate.BLOCK = decontaminate.BLOCK, 50  # several blocks of windows give the same
     try:
         again = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench).collect()}
