@@ -1,26 +1,25 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Every task turns its documents into term postings (distinct benchmark terms of
-a document and their sorted word positions), stored as a table that stays
-partitioned by document, so neither posting lists nor hot terms are shuffled.
-Term frequencies over all documents order the terms of each benchmark window;
+The index is cut into shards of about one slice of documents each. A shard maps each of its terms to its postings: the
+documents of the shard and the positions of the term in them, in that order. Shards are rows of a stored table, so
+neither posting lists nor hot terms are shuffled, and no list is longer than a shard. Terms that no benchmark text holds are left out by a bitmap of fixed size, at every
+number of windows. Term frequencies over all documents order the terms of each benchmark window;
 a window is looked up from its rarest term, and the offset-adjusted lists of
 the next rarest terms are intersected until all terms agree (exact phrase).
 The same postings give proximity matches: the rarest terms of a window within
 ``slop`` words of each other in any order.
 
 Benchmark windows are the query set. They reach the tasks in blocks of at most
-``BLOCK`` windows, so the broadcast is bounded and no window is left out.
+``BLOCK`` windows, so the broadcast is bounded and no window is left out; the items of the windows found are joined afterwards.
 
 Defined results: null or empty texts have no words and are clean; items of
-1 to ``size`` - 1 words are one window; an empty benchmark hits nothing; repeated
-document rows are reported row by row; extra columns are ignored.
+1 to ``size`` - 1 words are one window; an empty benchmark hits nothing, an empty table gives no rows; repeated
+document rows are reported row by row; a null doc_id is kept; a very long text is a shard of its own; terms of equal frequency are taken
+in the order of the window; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import stored, table
+from .shared import bitmap, drop, in_bitmap, stored, table
 
 SIZE, SLOP, NEAR_TERMS, BLOCK = 10, 20, 5, 200_000
 
@@ -59,56 +58,36 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(work, "item_id string, terms array<bigint>").distinct()
 
 
-def posting_index(documents: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, n_words, terms, sizes, positions): per document its distinct terms, ascending, how often each occurs, and all their positions in that order; only terms of ``vocabulary`` if given."""
-    sc = documents.sparkSession.sparkContext
-    kept = sc.broadcast(vocabulary) if vocabulary is not None else None
+def posting_index(documents: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """One row per shard: docs, n_words (per document), terms (ascending), sizes (postings of each term), rows and positions (of the postings, in the order of terms)."""
+    known = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches):
-        v = kept.value if kept else None
-        if v is not None:
-            quick = np.zeros(1 << 20, bool)
-            quick[(v & np.uint64(0xFFFFF)).astype(np.int64)] = True
         for b in tk.slices(batches):
             h, row = _terms(b.column(1))
             bounds = tk.row_bounds(row, b.num_rows)
-            pos = np.arange(len(h)) - bounds[row]
-            if v is not None:
-                at = np.flatnonzero(quick[(h & np.uint64(0xFFFFF)).astype(np.int64)])
-                if len(v) and len(at):
-                    i = np.minimum(np.searchsorted(v, h[at]), len(v) - 1)
-                    at = at[v[i] == h[at]]
-                else:
-                    at = at[:0]
-                h, row, pos = h[at], row[at], pos[at]
-            order = np.lexsort((h, row))
-            h, r, pos = h[order], row[order], pos[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-            first = np.flatnonzero(new)
-            run = np.diff(np.append(first, len(h)))
-            tb, pb = tk.row_bounds(r[first], b.num_rows), tk.row_bounds(r, b.num_rows)
+            at = np.flatnonzero(in_bitmap(known.value, h))
+            order = at[np.argsort(h[at], kind="stable")]
+            h, r, pos = h[order], row[order], (np.arange(len(row)) - bounds[row])[order]
+            first = np.flatnonzero(tk.starts(h))
+            one = lambda v, kind: pa.array([v], pa.list_(kind))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.diff(bounds), pa.int64()), tk.lists(h[first].view(np.int64), tb, pa.int64()), tk.lists(run, tb, pa.int32()), tk.lists(pos, pb, pa.int32())],
-                ["doc_id", "n_words", "terms", "sizes", "positions"],
+                [pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0)), one(np.diff(bounds), pa.int64()), one(h[first].view(np.int64), pa.int64()), one(np.diff(np.append(first, len(h))), pa.int32()), one(r, pa.int32()), one(pos, pa.int32())],
+                ["docs", "n_words", "terms", "sizes", "rows", "positions"],
             )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id bigint, n_words bigint, terms array<bigint>, sizes array<int>, positions array<int>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "docs array<bigint>, n_words array<bigint>, terms array<bigint>, sizes array<int>, rows array<int>, positions array<int>")
 
 
-def _plan(rows, count: dict[int, int], size: int) -> dict:
-    """A block of windows as arrays: distinct windows, their terms from the rarest on, and the items of each."""
-    items: dict[tuple, list] = {}
-    for item, terms in rows:
-        items.setdefault(tuple(terms), []).append(item)
-    wins = [w for w in items if all(count.get(t) for t in w)]
-    n = len(wins)
-    terms, offs = np.zeros((n, size), np.int64), np.full((n, size), -1, np.int64)
-    for i, w in enumerate(wins):
-        order = sorted(range(len(w)), key=lambda j: (count[w[j]], j))
-        terms[i, : len(w)], offs[i, : len(w)] = [w[j] for j in order], order
+def _plan(windows: list, count: dict[int, int], size: int) -> dict:
+    """A block of windows as arrays: their numbers and terms from the rarest on."""
+    live = [(w, t) for w, t in windows if all(count.get(x) for x in t)]
+    terms, offs = np.zeros((len(live), size), np.int64), np.full((len(live), size), -1, np.int64)
+    for i, (_, t) in enumerate(live):
+        order = sorted(range(len(t)), key=lambda j: (count[t[j]], j))
+        terms[i, : len(t)], offs[i, : len(t)] = [t[j] for j in order], order
     lead = np.argsort(terms[:, 0].view(np.uint64), kind="stable")
-    return {"terms": terms[lead].view(np.uint64), "offs": offs[lead], "items": [items[wins[i]] for i in lead], "size": size}
+    return {"terms": terms[lead].view(np.uint64), "offs": offs[lead], "windows": np.array([w for w, _ in live], np.int64)[lead], "size": size}
 
 
 def _ranges(starts, counts):
@@ -117,27 +96,22 @@ def _ranges(starts, counts):
     return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(total)
 
 
-def _lookup(batch: pa.RecordBatch, plan: dict, slop: int):
+def _lookup(shard: dict, plan: dict, slop: int):
     """Rows, first words and windows of exact matches; rows and windows of proximity matches."""
     z = np.zeros(0, np.int64)
-    n = batch.num_rows
-    t_off = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    term = pc.list_flatten(batch.column(2)).to_numpy(zero_copy_only=False).view(np.uint64)
-    run = pc.list_flatten(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)
-    pos = pc.list_flatten(batch.column(4)).to_numpy(zero_copy_only=False).astype(np.int64)
+    n = len(shard["docs"])
+    term, run, posted, pos = shard["terms"].view(np.uint64), shard["sizes"].astype(np.int64), shard["rows"].astype(np.int64), shard["positions"].astype(np.int64)
     T = plan["terms"]
     if not len(T) or not len(term):
         return z, z, z, z, z
     voc = np.unique(T)
     t = np.searchsorted(voc, term)
     t = np.where(voc[np.minimum(t, len(voc) - 1)] == term, t, len(voc))
-    row_of = np.repeat(np.arange(n), np.diff(t_off))
     start = np.cumsum(run) - run
+    # a posting is a number: term, document, position; postings are in that order
     width = np.int64(pos.max() + 2) + 2 * np.int64(slop)
-    pair = row_of * np.int64(len(voc) + 1) + t
-    key = np.repeat(pair, run) * width + pos + slop
-    ok = np.repeat(t < len(voc), run)
-    key = np.sort(key[ok])
+    key = (np.repeat(t, run) * n + posted) * width + pos + slop
+    key = key[np.repeat(t < len(voc), run)]
     wt = np.searchsorted(voc, T)
     # every posting of a rarest term starts a candidate for each window that it leads
     lo, hi = np.searchsorted(wt[:, 0], t, "left"), np.searchsorted(wt[:, 0], t, "right")
@@ -146,94 +120,84 @@ def _lookup(batch: pa.RecordBatch, plan: dict, slop: int):
     at = _ranges(start[lead], each)
     src = np.repeat(lead, each)
     n_win = (hi - lo)[src]
-    win, src2, p = _ranges(lo[src], n_win), np.repeat(src, n_win), np.repeat(pos[at], n_win)
-    row = row_of[src2]
-    base = row * np.int64(len(voc) + 1)
+    win, p = _ranges(lo[src], n_win), np.repeat(pos[at], n_win)
+    row = posted[np.repeat(at, n_win)]
     first = p - plan["offs"][win, 0]
     alive = np.flatnonzero(first >= 0)
     for j in range(1, plan["size"]):
         w, off = win[alive], plan["offs"][win[alive], j]
-        want = (base[alive] + wt[w, j]) * width + first[alive] + off + slop
+        want = (wt[w, j] * n + row[alive]) * width + first[alive] + off + slop
         i = np.minimum(np.searchsorted(key, want), len(key) - 1)
         alive = alive[(off < 0) | (key[i] == want)]
     near = np.arange(len(win))
     for j in range(1, min(NEAR_TERMS, plan["size"])):
         w = win[near]
-        want = (base[near] + wt[w, j]) * width + p[near]
+        want = (wt[w, j] * n + row[near]) * width + p[near]
         i = np.minimum(np.searchsorted(key, want), len(key) - 1)
         near = near[(plan["offs"][w, j] < 0) | ((key[i] >= want) & (key[i] <= want + 2 * slop))]
     return row[alive], first[alive], win[alive], row[near], win[near]
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int = SLOP) -> DataFrame:
-    """Matches per document row: doc_id, n_words, n_hit, items (sorted strings), near_items (proximity), spans (word ranges that are hit)."""
+    """Matches per document row: doc_id, n_words, n_hit, hit (word numbers), items (sorted strings), near_items (proximity)."""
     spark = documents.sparkSession
-    windows = stored(benchmark_windows(benchmark, size))
-    n = windows.count()
-    blocks = max(1, -(-n // BLOCK))
-    block = lambda k: windows.where(F.pmod(F.xxhash64("terms"), F.lit(blocks)) == k)
-    vocabulary = None
-    if blocks == 1:
-        vocabulary = np.unique(np.array([r[0] for r in windows.select(F.explode("terms")).distinct().collect()], np.int64).view(np.uint64))
-    index = stored(posting_index(documents, vocabulary))
+    windows = stored(benchmark_windows(benchmark, size).withColumn("window", F.xxhash64("terms")))
+    wanted = stored(windows.groupBy("window").agg(F.first("terms").alias("terms")))
+    blocks = max(1, -(-wanted.count() // BLOCK))
+    terms = wanted.select(F.explode("terms").alias("term")).distinct()
+    index = stored(posting_index(documents, bitmap(terms, "term")).withColumn("shard", F.monotonically_increasing_id()))
     seen = index.select(F.explode(F.arrays_zip("terms", "sizes")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.sizes").alias("n"))
-    out = index.select("doc_id", "n_words", "terms", "sizes", "positions", *(F.array().cast(k).alias(c) for c, k in (("hit", "array<int>"), ("items", "array<string>"), ("near_items", "array<string>"))))
-    schema = out.schema
+    seen = stored(terms.join(seen, "term"))
+    found = None
     for k in range(blocks):
-        wanted = block(k)
-        counts = wanted.select(F.explode("terms").alias("term")).distinct().join(seen, "term").collect()
-        plan = spark.sparkContext.broadcast(_plan([(r.item_id, r.terms) for r in wanted.collect()], {r.term: r.n for r in counts}, size))
+        block = wanted.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
+        counts = block.select(F.explode("terms").alias("term")).distinct().join(seen, "term").collect()
+        plan = spark.sparkContext.broadcast(_plan([(r["window"], r["terms"]) for r in block.collect()], {r["term"]: r["n"] for r in counts}, size))
 
         def work(batches, plan=plan):
-            for b in _cut(batches):
-                p = plan.value
-                row, first, win, nrow, nwin = _lookup(b, p, slop)
-                length = (p["offs"][win] >= 0).sum(axis=1) if len(win) else win
-                cols = [b.column(c).to_pylist() for c in (5, 6, 7)]
-                hits, items, near = ({} for _ in range(3))
-                for r, f, w, ln in zip(row.tolist(), first.tolist(), win.tolist(), length.tolist() if len(win) else []):
-                    hits.setdefault(r, set()).update(range(f, f + ln))
-                    items.setdefault(r, set()).update(p["items"][w])
-                for r, w in set(zip(nrow.tolist(), nwin.tolist())):
-                    near.setdefault(r, set()).update(p["items"][w])
-                new = [[sorted(have.get(r, set()).union(c[r])) for r in range(b.num_rows)] for have, c in zip((hits, items, near), cols)]
-                yield pa.RecordBatch.from_arrays([b.column(i) for i in range(5)] + [pa.array(new[0], pa.list_(pa.int32())), pa.array(new[1], pa.list_(pa.string())), pa.array(new[2], pa.list_(pa.string()))], b.schema.names)
-
-        out = out.mapInArrow(work, schema)
-    return out.select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), "hit", "items", "near_items")
-
-
-def _cut(batches, rows: int = 512):
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+            for b in batches:
+                for i in range(b.num_rows):
+                    p = plan.value
+                    shard = {c: b.column(j)[i].values.to_numpy(zero_copy_only=False) for j, c in enumerate(b.schema.names[:5])}
+                    row, first, win, nrow, nwin = _lookup(shard, p, slop)
+                    near = np.unique(np.stack([nrow, nwin], axis=1), axis=0) if len(nrow) else np.zeros((0, 2), np.int64)
+                    length = (p["offs"][win] >= 0).sum(axis=1) if len(win) else win
+                    rows = np.concatenate([row, near[:, 0]])
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(5).slice(i, 1).take(pa.array(np.zeros(len(rows), np.int64))), pa.array(rows, pa.int32()), pa.array(p["windows"][np.concatenate([win, near[:, 1]])] if len(rows) else rows, pa.int64()), pa.array(np.concatenate([first, np.full(len(near), -1)]), pa.int32()), pa.array(np.concatenate([length, np.zeros(len(near), np.int64)]), pa.int32())],
+                        ["shard", "row", "window", "first", "length"],
+                    )
+
+        part = index.select("docs", "terms", "sizes", "rows", "positions", "shard").mapInArrow(work, "shard bigint, row int, window bigint, first int, length int")
+        found = part if found is None else found.union(part)
+    found = stored(found)
+    exact = F.col("first") >= 0
+    words = found.where(exact).select("shard", "row", F.explode(F.sequence("first", F.col("first") + F.col("length") - 1)).alias("word")).groupBy("shard", "row").agg(F.sort_array(F.collect_set("word")).alias("hit"))
+    named = found.select("shard", "row", "window", exact.alias("exact")).distinct().join(windows.select("window", "item_id"), "window")
+    items = named.groupBy("shard", "row").agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item_id")))).alias("items"), F.sort_array(F.collect_set(F.when(~F.col("exact"), F.col("item_id")))).alias("near_items"))
+    docs = index.select("shard", F.posexplode(F.arrays_zip("docs", "n_words")).alias("row", "d")).select("shard", "row", F.col("d.docs").alias("doc_id"), F.col("d.n_words").alias("n_words"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    out = docs.join(stored(items.join(words, ["shard", "row"], "left")), ["shard", "row"], "left")
+    drop(wanted, seen, found)
+    return out.select("doc_id", "n_words", F.coalesce(F.size("hit"), F.lit(0)).cast("long").alias("n_hit"), none("hit", "int"), none("items", "string"), none("near_items", "string"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"),
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
-def brute_force(documents: list[tuple], benchmark: list[tuple], size: int = SIZE) -> dict:
-    """The same digests by direct search, for tests."""
-    import re
-
-    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-    cut = lambda t: word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-    wins = []
-    for item, text in benchmark:
-        w = cut(text)
-        wins += [(str(item), w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
-    out = {}
-    for doc, text in documents:
-        w, hit, items = cut(text), set(), set()
-        for item, x in wins:
-            for i in range(len(w) - len(x) + 1):
-                if w[i : i + len(x)] == x:
-                    hit.update(range(i, i + len(x)))
-                    items.add(item)
-        out[doc] = (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit))
-    return out
+ORACLE = """
+with w as (select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as l from benchmark),
+wins as (select distinct item_id, k, array_to_string(l[i:i + k - 1], ' ') as g from (select item_id, l, least(len(l), 10) as k, unnest(range(1, len(l) - least(len(l), 10) + 2)) as i from w where len(l) > 0)),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as l from documents),
+grams as (select doc_id, k, i, array_to_string(l[i:i + k - 1], ' ') as g from (select doc_id, l, k, unnest(range(1, len(l) - k + 2)) as i from d, (select distinct k from wins) where len(l) >= k)),
+hits as (select doc_id, grams.k, i, item_id from grams join wins on grams.k = wins.k and grams.g = wins.g),
+n as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from hits) group by doc_id),
+it as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct doc_id, item_id from hits) group by doc_id)
+select d.doc_id, len(l)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (doc_id) left join it using (doc_id)
+"""

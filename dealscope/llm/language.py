@@ -3,8 +3,8 @@
 Blended-spectrum presence kernel: a text is the set of its byte 1- to 4-grams
 (lower case, hashed to ``BUCKETS``); k(x, y) = |x and y| / sqrt(|x| |y|).
 A Nystroem map over landmark texts and a one-versus-rest kernel ridge
-regression are fitted on a bounded sample (``PER_LANG`` texts of each language
-and ``LANDMARKS`` landmarks, lowest hash of the id). Scoring is one matrix
+regression are fitted on a bounded sample (``PER_LANG`` texts of each language, fewer where that is over ``SAMPLE`` in
+all, but at least ``FEW``, and ``LANDMARKS`` landmarks; drawn by a hash of id and text). Every language is learned, however many there are. Scoring is one matrix
 product per block of texts: landmarks, Nystroem map and ridge weights are
 folded into one weight per bucket and language, which is algebraically the
 same as going through the landmarks.
@@ -13,7 +13,8 @@ Only rows whose crc32(doc_id as text) mod 4 is not 2 and whose lang is not null
 are learned from; lang, source and doc_id are no inputs of a prediction.
 
 Defined results: null text or text without a letter gives ``und`` and score 0;
-with nothing to learn from every text is ``und``; null doc_id is not held out.
+with nothing to learn from every text is ``und``; null doc_id is not held out; repeated rows are one example and are predicted row by row; an empty table
+gives no rows; very long texts are read whole; ties go to the language that sorts first; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .shared import table
 
-BUCKETS, PER_LANG, LANDMARKS, RIDGE, ROWS, MAX_LANGS = 1 << 14, 400, 256, 1e-3, 256, 200
+BUCKETS, PER_LANG, LANDMARKS, RIDGE, ROWS, SAMPLE, FEW = 1 << 14, 400, 256, 1e-3, 256, 12_000, 8
 
 
 def presence(column) -> np.ndarray:
@@ -60,29 +61,33 @@ def held_out(doc_id):
 def fit(documents: DataFrame) -> dict:
     """Languages and the folded weights, learned from a bounded sample of the rows that are not held out."""
     pool = documents.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = pool.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    slot = F.xxhash64("doc_id", "text")
+    counts = pool.groupBy("lang").count().collect()  # one row per language
     if not counts:
         return {"langs": []}
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * PER_LANG / r["count"])))))
-    drawn = pool.select("doc_id", "lang", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    per = max(FEW, min(PER_LANG, SAMPLE // len(counts)))
+    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * per / r["count"])))))
+    drawn = pool.select("lang", "text", slot.alias("slot")).where(F.pmod("slot", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    drawn = drawn.groupBy("lang", "slot").agg(F.first("text").alias("text"))  # repeated rows once
 
     def work(batches):
         for b in tk.slices(batches):
             for i in range(0, b.num_rows, ROWS):
                 c = b.slice(i, ROWS)
-                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array([np.packbits(r).tobytes() for r in presence(c.column(2))], pa.binary())], ["doc_id", "lang", "bits"])
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array([np.packbits(r).tobytes() for r in presence(c.column(2))], pa.binary())], ["slot", "lang", "bits"])
 
-    got = drawn.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(work, "doc_id bigint, lang string, bits binary").toPandas()
-    got = got.sort_values(["lang", "doc_id"]).groupby("lang").head(2 * PER_LANG)
+    got = drawn.select("slot", "lang", "text").mapInArrow(work, "slot bigint, lang string, bits binary").toPandas()
+    got = got.sort_values(["lang", "slot"]).groupby("lang").head(2 * per)
     langs = sorted(got["lang"].unique())
-    x = _unit(np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in got["bits"]]).astype(np.float32))
+    bits = np.stack([np.frombuffer(b, np.uint8) for b in got["bits"]])
+    rows = lambda at: _unit(np.unpackbits(bits[at], axis=1).astype(np.float32))
     y = (got["lang"].to_numpy()[:, None] == np.array(langs)[None, :]).astype(np.float32)
-    pick = np.unique(np.linspace(0, len(x) - 1, min(LANDMARKS, len(x))).astype(int))
-    land = x[pick]
+    pick = np.unique(np.linspace(0, len(bits) - 1, min(LANDMARKS, len(bits))).astype(int))
+    land = rows(pick)
     vals, vecs = np.linalg.eigh((land @ land.T).astype(np.float64))
     good = vals > vals.max() * 1e-6
     root = vecs[:, good] / np.sqrt(vals[good])  # K_mm ** -1/2
-    z = (x @ land.T).astype(np.float64) @ root
+    z = np.concatenate([rows(slice(i, i + 512)) @ land.T for i in range(0, len(bits), 512)]).astype(np.float64) @ root  # a block of rows at a time
     balance = 1 / y.sum(axis=0)[y.argmax(axis=1)]
     zw = z * balance[:, None]
     w = np.linalg.solve(zw.T @ z + RIDGE * np.eye(z.shape[1]), zw.T @ y)

@@ -1,7 +1,7 @@
 """Quality rules: hashed word and character n-gram logistic regression.
 
 A base of plain text statistics rejects texts outright; the verdict on the rest
-comes from a logistic regression over hashed word 1- and 2-grams, hashed byte
+comes from a logistic regression over hashed word 1- and 2-grams, hashed character (code point)
 4-grams and a few dense statistics. It is fitted on a bounded sample of the
 labelled rows (``MAX_LABELLED``, lowest hash of the id; a fifth of them is held
 out for Platt calibration) and applied in Arrow batches to every text with the
@@ -10,7 +10,8 @@ fixed threshold ``THRESHOLD`` on the calibrated probability of good quality.
 Defined results: null and empty texts have zero words, so base_failed; without
 labels of both classes the model keeps everything; repeated label rows count
 once with their lowest quality; null labels are ignored; repeated document rows
-are scored row by row.
+are scored row by row, and a labelled doc_id with several texts is learned from by the one that sorts first; a null doc_id is scored; an empty table gives no rows; very long texts
+are scored whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,21 +77,17 @@ def text_statistics(column) -> dict[str, np.ndarray]:
 
 
 def _features(x: dict) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, row) of the word n-grams and of the byte n-grams."""
+    """(bucket, row) of the word n-grams and of the character n-grams."""
     m = np.uint64((1 << BITS) - 1)
     h, row, data, off = x["h"], x["row"], x["data"], x["off"]
     pair = tk.ngram_hash(h, 2)
     inside = np.flatnonzero(row[: len(pair)] == row[1:]) if len(pair) else np.zeros(0, np.int64)
     word = np.concatenate([h & m, pair[inside] & m]).astype(np.int64), np.concatenate([row, row[inside]])
-    if len(data) >= 4:
-        d = data.astype(np.uint32)
-        q = d[:-3] | d[1:-2] << np.uint32(8) | d[2:-1] << np.uint32(16) | d[3:] << np.uint32(24)
-        q = (q * np.uint32(2654435761)) >> np.uint32(32 - BITS)
-        rows = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        whole = rows[: len(q)] == rows[3:]
-        char = q[whole].astype(np.int64) + (1 << BITS), rows[: len(q)][whole]
-    else:
-        char = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero((data & 0xC0) != 0x80)  # where characters begin
+    rows = np.searchsorted(off, first, side="right") - 1
+    whole = np.flatnonzero(rows[: max(len(rows) - 3, 0)] == rows[3:])
+    end = np.append(first, len(data))[whole + 4]
+    char = (tk.span_hash(data, first[whole], end) >> np.uint64(64 - BITS)).astype(np.int64) + (1 << BITS), rows[whole]
     return [word, char]
 
 
@@ -132,7 +129,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     named = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").cast("int").alias("y"))
     named = named.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    t = _training_rows(docs.join(F.broadcast(named), docs.doc_id == named.label_id).select("doc_id", "text", "y"))  # at most max_labelled ids
+    own = docs.join(F.broadcast(named), docs.doc_id == named.label_id)  # at most max_labelled ids
+    t = _training_rows(own.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")))
     y = t["y"].to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         return {"w": None}

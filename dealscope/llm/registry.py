@@ -44,4 +44,4 @@ QUERIES = {
     )
 }
 
-ORACLE = {"op4_suffix_dedup": suffix_dedup.ORACLE, "op9_ngram_join": ngram_join.ORACLE}
+ORACLE = {"op4_suffix_dedup": suffix_dedup.ORACLE, "op9_ngram_join": ngram_join.ORACLE, "op10_decontaminate": decontaminate.ORACLE}

@@ -17,3 +17,24 @@ def test_short_regions_and_links_stay():
 
 def test_ids_of_headings_do_not_mark():
     assert main_text("<article><h2 id='related'>Related work</h2><p class='notice'>Text</p><div class='related'>gone</div></article>") == "Related work\n\nText"
+
+
+def test_names_that_only_sound_like_boilerplate():
+    page = "<article><p class='share-price'>a</p><h2 class='section-header'>b</h2><ul class='related-work'><li>c</ul><div class='product-notice'>d</div><div class='cookie-notice'>x</div><div class='site-header'>x</div><p>Choose <label>this</label> one</p></article>"
+    assert main_text(page) == "a\n\nb\n\nc\n\nd\n\nChoose this one"
+
+
+def test_unclosed_advert_ends_at_the_next_block():
+    assert main_text("<article><p>one</p><div class='ad'>buy<p>two</p><p>three</p></article>") == "one\n\ntwo\n\nthree"
+    assert main_text("<article><p>one</p><div class='ad'>buy<p>now</p></div><p>three</p></article>") == "one\n\nthree"
+
+
+def test_odd_tables(spark):
+    from dealscope.llm import html_text
+
+    long = "<div>" + "<p>word</p>" * 20_000
+    rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>a</p>"), (3, "u", "<p>a</p>"), (None, "u", "<p x='unclosed>b"), (4, "u", long)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "'x' as n_chars")
+    got = sorted(((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract(df).collect()))
+    assert [g[:2] for g in got[:-1]] == [(0, got[0][1]), (1, ""), (2, ""), (3, "a"), (3, "a")] and got[-1][2] == 20_000 * 6 - 2
+    assert html_text.extract(df.limit(0)).count() == 0
