@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("operators.kpi", "operators.profile", "operators.clean", "operators.series", "operators.points", "operators.leads", "sources.files")
+MODULES = ("operators.kpi", "operators.profile", "operators.clean", "operators.series", "operators.points", "operators.leads", "operators.outliers", "operators.pipelines", "operators.forecast", "operators.factor", "operators.cluster", "operators.scorers", "sources.files")
 _books = [importlib.import_module(f"dealscope.{m}").book for m in MODULES]
 
 
