@@ -6,38 +6,41 @@ many times the input, so suffixes are sampled by content: each LENGTH-byte windo
 is filed under its minimizer, the least hash among its ``GRAM``-byte strings.
 Equal windows have equal minimizers at the same place, so only suffixes that
 start at minimizers are compared, with others of the same string, and no
-equal pair is lost.
+equal pair is lost. Two thin passes find the suffixes that can matter: the minimizer must occur in another document, and
+so must the minimizer with ``SIDE`` bytes more to the left or to the right, as a window has that many on one side.
 
-Whole runs of windows that recur are settled by their hash. For the rest, at
-the edges of repeats, every bucket sorts its sampled suffixes; intervals of rows
+Suffixes of a minimizer meet with the bytes around them. Those with equal surroundings need no comparison but for the one of the smallest doc_id.
+The others are sorted; intervals of rows
 with a common prefix are expanded breadth first: at step t the suffix start moves
 back by one byte (the character of the Burrows-Wheeler column splits an
 interval) while the prefix that must agree ahead shrinks to LENGTH - t (intervals
-merge), so common strings of exactly LENGTH bytes come out for each t.
+merge), so common strings of exactly LENGTH bytes come out for each t. Groups of more than ``HOT`` such rows go on as
+single windows, which Spark counts without bringing a group together.
 
-Copies of whole texts collapse to their smallest doc_id first. A fixed-size
-bitmap of shared minimizers thins the second pass; it only skips work.
+Copies of whole texts collapse to their smallest doc_id first. Bitmaps of bounded size tell the tasks what the thin passes
+found; what they let through beyond that is compared and removes nothing.
 
 Defined results: null text is empty, empty and short texts lose nothing;
 rows with the same doc_id do not remove from each other; null doc_id loses and
-removes nothing; extra columns are ignored.
+removes nothing; an empty table gives no rows; texts of over ``CHUNK`` bytes are searched in overlapping pieces that hold every window; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import MAP_BITS, bitmap as _bitmap, stored, table
+from .shared import bitmap, drop, in_bitmap, stored, table
 
-LENGTH, GRAM, CHUNK, HOT_GROUP = 50, 16, 1 << 22, 200_000
+LENGTH, GRAM, CHUNK, UNIT, HOT, ROWS = 50, 24, 1 << 22, 1_000_000, 20_000, 20_000
 _SPAN = LENGTH - GRAM + 1
+SIDE = (LENGTH - GRAM + 1) // 2
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -58,7 +61,7 @@ def _runs(data: np.ndarray, off: np.ndarray):
     x = x[:-1] | x[1:] << np.uint64(8)
     x = x[:-2] | x[2:] << np.uint64(16)
     x = x[:-4] | x[4:] << np.uint64(32)
-    g = tk.mix(x[:-8] * np.uint64(0x9E3779B97F4A7C15) + (x[8:] ^ np.uint64(0xA0761D6478BD642F)) * np.uint64(0xE7037ED1A0B428DB))
+    g = tk.mix(x[:-16] * np.uint64(0x9E3779B97F4A7C15) + (x[8:-8] ^ np.uint64(0xA0761D6478BD642F)) * np.uint64(0xE7037ED1A0B428DB) + (x[16:] ^ np.uint64(0x8EBC6AF09C88C6E3)) * np.uint64(0x589965CC75374CC3))
     m = (g & ~_LOW) | np.arange(len(g), dtype=np.uint64)
     k = 1
     while 2 * k <= _SPAN:
@@ -78,32 +81,105 @@ def _runs(data: np.ndarray, off: np.ndarray):
     return np.searchsorted(off, first, side="right") - 1, first, last - first, pos[first] - first, g[pos[first]]
 
 
-def _anchors(docs: DataFrame, bitmap=None) -> DataFrame:
-    """Without a bitmap (h, lo, hi): minimizers with the least and greatest doc_id in a slice; with one, all runs that it lets through."""
-    known = docs.sparkSession.sparkContext.broadcast(bitmap) if bitmap is not None else None
+def _side_keys(data, off, row, at):
+    """Hashes of the minimizers at ``at`` with SIDE bytes more to the left and to the right, and whether the text has these."""
+    left, right = at - SIDE >= off[row], at + GRAM + SIDE <= off[row + 1]
+    keys = np.zeros((2, len(at)), np.uint64)
+    if len(at):
+        keys[0, left] = tk.span_hash(data, at[left] - SIDE, at[left] + GRAM)
+        keys[1, right] = tk.mix(tk.span_hash(data, at[right], at[right] + GRAM + SIDE) + np.uint64(1))
+    return keys, np.stack([left, right])
+
+
+def _shared_keys(docs: DataFrame, known=None, bits: int = 0) -> DataFrame:
+    """(h): minimizers that several documents hold, or, of the minimizers that the bitmap lets through, such keys with one side."""
+    near = docs.sparkSession.sparkContext.broadcast(known) if known is not None else None
+
+    def combined(parts):
+        h, d = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((d, h))
+        hs, ds = h[order], d[order]
+        first = np.flatnonzero(tk.starts(hs))
+        last = np.append(first[1:], len(hs)) - 1
+        several = ds[first] != ds[last]
+        keep = np.sort(np.concatenate([order[first], order[last[several]]]))  # in the order of documents, which compresses well
+        return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(d[keep])], ["h", "doc"])
+
+    def keys(batches):
+        parts, size = [], 0
+        for b in tk.slices(batches):
+            data, off = tk.raw(b.column(1))
+            row, j, _, a, h = _runs(data, off)
+            if near is not None:
+                ok = in_bitmap(near.value, h, bits)
+                row, at = row[ok], (j + a)[ok]
+                k, there = _side_keys(data, off, row, at)
+                h, row = np.concatenate([k[i][there[i]] for i in (0, 1)]), np.concatenate([row[there[i]] for i in (0, 1)])
+            if len(h):
+                parts.append((h, b.column(0).to_numpy()[row]))
+                size += len(h)
+            if size > UNIT:
+                yield combined(parts)
+                parts, size = [], 0
+        if parts:
+            yield combined(parts)
+
+    def several(batches):
+        """Of rows sorted by h: each h with more than one doc."""
+        last_h, last_d, told = None, None, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, d = b.column(0).to_numpy(), b.column(1).to_numpy()
+            first = np.flatnonzero(tk.starts(h))
+            lo, hi = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
+            many = lo != hi
+            if last_h is not None and h[0] == last_h:
+                many[0] = not told and (many[0] or lo[0] != last_d)
+                told = told or bool(many[0])
+            else:
+                told = False
+            yield pa.RecordBatch.from_arrays([pa.array(h[first][many])], ["h"])
+            if len(first) > 1 or h[-1] != last_h:
+                told = bool(many[-1])
+            last_h, last_d = h[-1], d[-1]
+
+    rows = docs.select("doc_id", "text").mapInArrow(keys, "h bigint, doc bigint").repartition("h").sortWithinPartitions("h")
+    return rows.mapInArrow(several, "h bigint")
+
+
+def _as_bitmap(found: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap with room for the hashes: of 8 to 128 MB, whatever their number."""
+    found = stored(found)
+    bits = min(30, max(26, math.ceil(math.log2(8 * max(found.count(), 1)))))
+    out = bitmap(found, bits=bits), bits
+    drop(found)
+    return out
+
+
+def _suffixes(docs: DataFrame, known: tuple[np.ndarray, int], sides: tuple[np.ndarray, int]) -> DataFrame:
+    """(h, ctx, doc, tid, j, n, a, bytes): runs of windows whose minimizer and one side pass the bitmaps."""
+    near = docs.sparkSession.sparkContext.broadcast((known, sides))
 
     def work(batches):
+        (bits1, n1), (bits2, n2) = near.value
         for b in tk.slices(batches):
             data, off = tk.raw(b.column(2))
             row, j, n, a, h = _runs(data, off)
-            doc = b.column(0).to_numpy()
-            if known is None:
-                order = np.argsort(h, kind="stable")
-                h, d = h[order], doc[row[order]]
-                at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-                lo, hi = (np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)) if len(h) else (d[:0], d[:0])
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(lo), pa.array(hi)], ["h", "lo", "hi"])
-                continue
-            word = known.value[((h >> np.uint64(6)) & np.uint64((1 << (MAP_BITS - 6)) - 1)).astype(np.int64)]
-            hit = (word >> (h & np.uint64(63))) & np.uint64(1) > 0
-            row, j, n, a, h = row[hit], j[hit], n[hit], a[hit], h[hit]
-            ctx = tk.mix(tk.span_hash(data, j, j + n + LENGTH - 1) + a.astype(np.uint64)) if len(j) else h
+            ok = np.flatnonzero(in_bitmap(bits1, h, n1))
+            k, there = _side_keys(data, off, row[ok], (j + a)[ok])
+            ok = ok[(there[0] & in_bitmap(bits2, k[0], n2)) | (there[1] & in_bitmap(bits2, k[1], n2))]
+            row, j, n, a, h = row[ok], j[ok], n[ok], a[ok], h[ok]
+            size = n + LENGTH - 1
+            ctx = tk.mix(tk.span_hash(data, j, j + size) + a.astype(np.uint64)) if len(j) else h
+            flat = data[np.repeat(j - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+            blob = pa.Array.from_buffers(pa.binary(), len(j), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(doc[row]), b.column(1).take(pa.array(row)), pa.array((j - off[row]).astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(a.astype(np.int32))],
-                ["h", "ctx", "doc", "tid", "j", "n", "a"],
+                [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(j - off[row]), pa.array(n.astype(np.int32)), pa.array(a.astype(np.int32)), blob],
+                ["h", "ctx", "doc", "tid", "j", "n", "a", "bytes"],
             )
 
-    return docs.mapInArrow(work, "h bigint, lo bigint, hi bigint" if bitmap is None else "h bigint, ctx bigint, doc bigint, tid bigint, j bigint, n int, a int")
+    return docs.select("doc_id", "tid", "text").mapInArrow(work, "h bigint, ctx bigint, doc bigint, tid bigint, j bigint, n int, a int, bytes binary")
 
 
 def expand_intervals(h, doc, left, right, n_left, n_right):
@@ -141,60 +217,104 @@ def expand_intervals(h, doc, left, right, n_left, n_right):
     return out[back]
 
 
-def _edge_windows(edges: DataFrame) -> DataFrame:
-    """(doc, tid, s, e): windows s..e of edge runs that occur at a smaller doc, from rows (h, doc, tid, j, a, bytes)."""
+_KINDS = "doc bigint, tid bigint, s bigint, e bigint, w binary"
 
-    def work(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        b = pa.Table.from_batches(rows).combine_chunks()
-        h, doc, tid, j, a = (b.column(i).to_numpy() for i in range(5))
-        blob = b.column(5).combine_chunks()
-        blob = blob if isinstance(blob, pa.Array) else blob.chunk(0)
-        size = pc.binary_length(blob).to_numpy(zero_copy_only=False).astype(np.int64)
-        data = np.frombuffer(b"".join(blob.to_pylist()), np.uint8)
-        begin = np.cumsum(size) - size
-        a = a.astype(np.int64)
-        step = np.arange(LENGTH)
-        n_right = np.minimum(size - a, LENGTH)
-        right = np.where(step < n_right[:, None], data[np.minimum((begin + a)[:, None] + step, len(data) - 1)], 0).astype(np.uint8)
-        back = np.arange(LENGTH - GRAM)
-        left = np.where(back < a[:, None], data[np.maximum((begin + a)[:, None] - 1 - back, 0)], 0).astype(np.uint8)
-        hit = expand_intervals(h, doc, left, right, a, n_right)
-        r, t = np.nonzero(hit)
-        at = j[r] + a[r] - t
-        by = np.lexsort((at, r))
-        r, at = r[by], at[by]
-        if len(r):
-            new = np.concatenate([[True], (r[1:] != r[:-1]) | (at[1:] != at[:-1] + 1)])
-            s = np.flatnonzero(new)
-            e = np.append(s[1:], len(r)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(doc[r[s]]), pa.array(tid[r[s]]), pa.array(at[s]), pa.array(at[e])], ["doc", "tid", "s", "e"])
-
-    size = edges.groupBy("h").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_GROUP).select("h")
-    hot = stored(size)
-    calm = edges.join(hot, "h", "left_anti").repartition("h").select("h", "doc", "tid", "j", "a", "bytes").mapInArrow(work, "doc bigint, tid bigint, s bigint, e bigint")
-    # groups too large for a task: windows one by one, which Spark can split at will
-    each = edges.join(hot, "h", "left_semi").select("doc", "tid", "j", "bytes", F.explode(F.sequence(F.lit(0), F.length("bytes") - LENGTH)).alias("i")).select("doc", "tid", (F.col("j") + F.col("i")).alias("s"), F.substring("bytes", F.col("i") + 1, F.lit(LENGTH)).alias("w"))
-    least = each.groupBy("w").agg(F.min("doc").alias("lo"))
-    return calm.union(each.join(least, "w").where("lo < doc").select("doc", "tid", "s", F.col("s").alias("e")))
-
-
-def _cut_runs(docs: DataFrame) -> DataFrame:
-    """The bytes of runs, from rows (doc_id, tid, text, runs)."""
 
-    def work(batches):
-        for b in batches:
-            h, doc, tid, j, a, blob = [], [], [], [], [], []
-            for d, t, text, runs in zip(*(b.column(i).to_pylist() for i in range(4))):
-                raw = (text or "").encode()
-                for r in runs:
-                    h.append(r["h"]), doc.append(d), tid.append(t), j.append(r["j"]), a.append(r["a"])
-                    blob.append(raw[r["j"] : r["j"] + r["n"] + LENGTH - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(tid, pa.int64()), pa.array(j, pa.int64()), pa.array(a, pa.int32()), pa.array(blob, pa.binary())], ["h", "doc", "tid", "j", "a", "bytes"])
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]], off - off[0]
+
+
+def _rows_out(doc, tid, s, e, w=None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tid), pa.array(s), pa.array(e), pa.nulls(len(doc), pa.binary()) if w is None else w], ["doc", "tid", "s", "e", "w"])
+
+
+def _expanded(h, doc, tid, j, a, data, off) -> pa.RecordBatch:
+    """Ranges of windows that a smaller doc of the group holds."""
+    begin, size, a = off[:-1], np.diff(off), a.astype(np.int64)
+    step, back = np.arange(LENGTH), np.arange(LENGTH - GRAM)
+    n_right = np.minimum(size - a, LENGTH)
+    right = np.where(step < n_right[:, None], data[np.minimum((begin + a)[:, None] + step, len(data) - 1)], 0).astype(np.uint8)
+    left = np.where(back < a[:, None], data[np.maximum((begin + a)[:, None] - 1 - back, 0)], 0).astype(np.uint8)
+    r, t = np.nonzero(expand_intervals(h, doc, left, right, a, n_right))
+    at = j[r] + a[r] - t
+    by = np.lexsort((at, r))
+    r, at = r[by], at[by]
+    s = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (at[1:] != at[:-1] + 1)])) if len(r) else r
+    e = np.append(s[1:], len(r)) - 1 if len(r) else r
+    return _rows_out(doc[r[s]], tid[r[s]], at[s], at[e])
 
-    return docs.mapInArrow(work, "h bigint, doc bigint, tid bigint, j bigint, a int, bytes binary")
+
+def _windows_of(doc, tid, j, n, data, off) -> pa.RecordBatch:
+    """Every window of the runs by itself."""
+    n = n.astype(np.int64)
+    run = np.repeat(np.arange(len(n)), n)
+    i = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    flat = data[(off[:-1][run] + i)[:, None] + np.arange(LENGTH)]
+    w = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(run), [None, pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+    at = j[run] + i
+    return _rows_out(doc[run], tid[run], at, at, w)
+
+
+def _settled(batches, most: int, at_once: int):
+    """(doc, tid, s, e, w) from suffixes sorted by h, ctx and doc: repeated ranges of windows, or single windows (w) of groups of over ``most`` rows.
+
+    Rows whose surroundings a smaller doc has are settled at once. The others wait, ``at_once`` at a time, until their group is whole.
+    """
+    wait, hot, key, least = [], None, None, 0  # waiting rows, the group that goes on as windows, the last h and ctx with their least doc
+
+    def packed(rows):
+        cols = [np.concatenate(c) for c in zip(*(r[:6] for r in rows))]
+        data = np.concatenate([r[6] for r in rows])
+        return (*cols, data, np.concatenate([[0], np.cumsum(np.concatenate([np.diff(r[7]) for r in rows]))]))
+
+    def some(rows, at):
+        h, doc, tid, j, n, a, data, off = rows
+        size = np.diff(off)[at]
+        flat = data[np.repeat(off[:-1][at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+        return h[at], doc[at], tid[at], j[at], n[at], a[at], flat, np.concatenate([[0], np.cumsum(size)])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h, ctx, doc, tid, j, n, a = (b.column(i).to_numpy() for i in range(7))
+        data, off = _bytes_of(b.column(7))
+        new = tk.starts(h, ctx)
+        if key == (h[0], ctx[0]):
+            new[0] = False
+        first = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        lo = np.where(run >= 0, doc[first[np.maximum(run, 0)]] if len(first) else 0, least)
+        key, least = (h[-1], ctx[-1]), lo[-1]
+        done = doc > lo
+        if done.any():
+            yield _rows_out(doc[done], tid[done], j[done], j[done] + n[done] - 1)
+        rows = some((h, doc, tid, j, n, a, data, off), np.flatnonzero(~done))
+        if hot is not None and len(rows[0]):
+            own = rows[0] == hot
+            if own.any():
+                part = some(rows, np.flatnonzero(own))
+                yield _windows_of(part[1], part[2], part[3], part[4], part[6], part[7])
+                rows = some(rows, np.flatnonzero(~own))
+            if h[-1] != hot:
+                hot = None
+        if len(rows[0]):
+            wait.append(rows)
+        if sum(len(r[0]) for r in wait) < at_once:
+            continue
+        rows = packed(wait)
+        last = np.flatnonzero(rows[0] == rows[0][-1])  # sorted by h: the end, whose group may go on
+        whole = np.arange(last[0])
+        if len(whole):
+            part = some(rows, whole)
+            yield _expanded(part[0], part[1], part[2], part[3], part[5], part[6], part[7])
+        wait = [some(rows, last)]
+        if len(last) > most:
+            part, wait, hot = wait[0], [], rows[0][-1]
+            yield _windows_of(part[1], part[2], part[3], part[4], part[6], part[7])
+    if wait:
+        part = packed(wait)
+        yield _expanded(part[0], part[1], part[2], part[3], part[5], part[6], part[7])
 
 
 def repeated_spans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -204,17 +324,18 @@ def repeated_spans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = stored(named.select("doc_id", "tid", F.sha2(F.col("text").cast("binary"), 256).alias("sha")).groupBy("sha").agg(F.min("doc_id").alias("lo"), F.count("*").alias("size"), F.any_value("tid").alias("tid")).where("size > 1").select("tid", "lo"))
     copies = stored(named.select("doc_id", "tid").join(first, "tid").where("lo < doc_id").select("doc_id", "tid").distinct())
     reps = named.join(copies, ["doc_id", "tid"], "left_anti")
-    shared = stored(_anchors(reps).groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("h"))
-    runs = stored(_anchors(reps, _bitmap(shared)).join(shared, "h"))
-    least = stored(runs.groupBy("h", "ctx").agg(F.min("doc").alias("lo")))
-    many = least.groupBy("h").agg(F.count("*").alias("ctxs")).where("ctxs > 1").select("h")
-    marked = stored(runs.join(least, ["h", "ctx"]).drop("ctx"))
-    whole = marked.where("lo < doc").select("doc", "tid", F.col("j").alias("s"), (F.col("j") + F.col("n") - 1).alias("e"))
-    edge = stored(marked.where("lo = doc").join(many, "h", "left_semi").groupBy(F.col("doc").alias("doc_id"), "tid").agg(F.collect_list(F.struct("h", "j", "n", "a")).alias("runs")))
-    cut = stored(_cut_runs(reps.join(edge, ["doc_id", "tid"]).select("doc_id", "tid", "text", "runs")))
-    spans = whole.union(_edge_windows(cut)).groupBy("doc", "tid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    known = _as_bitmap(_shared_keys(reps))
+    sides = _as_bitmap(_shared_keys(reps, *known))
+    most, at_once = HOT, ROWS
+    found = stored(_suffixes(reps, known, sides).repartition("h").sortWithinPartitions("h", "ctx", "doc").mapInArrow(lambda batches: _settled(batches, most, at_once), _KINDS))
+    single = found.where("w is not null")
+    least = single.groupBy("w").agg(F.min("doc").alias("lo"))
+    windows = single.join(least, "w").where("lo < doc").select("doc", "tid", "s", "e")
+    spans = found.where("w is null").select("doc", "tid", "s", "e").union(windows).groupBy("doc", "tid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     full = copies.select(F.col("doc_id").alias("doc"), "tid", F.array(F.struct(F.lit(0).cast("long").alias("s"), F.lit(-1).cast("long").alias("e"))).alias("spans"))
-    return rows, stored(spans.union(full))
+    out = stored(spans.union(full))
+    drop(first, found, copies)
+    return rows, out
 
 
 def dedup_substrings(documents: DataFrame) -> DataFrame:

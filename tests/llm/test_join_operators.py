@@ -52,6 +52,35 @@ def test_substrings(docs):
     assert suffix_dedup.dedup_substrings(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", (20_000, 1))
+def test_substrings_of_families(spark, monkeypatch, hot):
+    """Edited copies, shared passages at many places, repeats inside a text, and groups that go on as single windows."""
+    import random
+
+    rng = random.Random(hot)
+    letters = lambda n: "".join(rng.choice("abcd \u00e9") for _ in range(n))
+    base, rows = letters(900), []
+    for d in range(30):
+        t = list(base)
+        for _ in range(rng.randint(0, 12)):
+            t[rng.randrange(len(t))] = rng.choice("xyz")
+        at = rng.randrange(900)
+        rows.append((d, letters(rng.randint(0, 90)) + "".join(t)[at:] + letters(40) + base[: rng.randint(40, 70)] + letters(60) + base[: rng.randint(40, 70)]))
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "ROWS", 200 if hot > 1 else 20)
+    monkeypatch.setattr(suffix_dedup, "UNIT", 500)
+    first, want = {}, {}
+    for d, t in rows:
+        raw = t.encode()
+        for i in range(len(raw) - 49):
+            first.setdefault(raw[i : i + 50], d)
+    for d, t in rows:
+        raw = t.encode()
+        want[d] = len({p for i in range(len(raw) - 49) if first[raw[i : i + 50]] < d for p in range(i, i + 50)})
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.dedup_substrings(df).collect()} == want
+
+
 def test_ngram_components(docs):
     rows = texts(docs)
     sets = []
