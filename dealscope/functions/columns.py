@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,9 +47,64 @@ def kurtosis_corrected(c: str) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6))
 
 
-def quantile(c, q: float, approx: bool = False) -> Column:
-    """Exact with linear interpolation; ``approx`` for high-cardinality columns at scale."""
-    return F.percentile_approx(c, q, 100_000) if approx else F.percentile(c, F.lit(q))
+def quantile(c, q: float) -> Column:
+    """Exact with linear interpolation, for groups of moderate size; ``quantile_row`` is for whole tables."""
+    return F.percentile(c, F.lit(q))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder (a temporary one only where none is set)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def quantile_row(df: DataFrame, wanted: dict) -> DataFrame:
+    """One row of exact quantiles with linear interpolation: alias -> (column name or expression, q).
+
+    Values are counted, dealt by range and summed per partition; the partition sums (variables x partitions) tell where each
+    rank lies, and only the values at these ranks are read. No task holds more than its range.
+    """
+    sources = {}
+    for c, _ in wanted.values():
+        sources.setdefault(str(c), F.col(c) if isinstance(c, str) else c)
+    names = {k: f"v{i}" for i, k in enumerate(sources)}
+    cells = F.array(*(F.struct(F.lit(names[k]).alias("k"), v.cast("double").alias("v")) for k, v in sources.items()))
+    values = df.select(F.explode(cells).alias("c")).select("c.k", "c.v").where("v is not null").groupBy("k", "v").agg(F.count("*").alias("n"))
+    values = cut(values.repartitionByRange("k", "v").select("k", "v", "n", F.spark_partition_id().alias("part")))
+    sums: dict[str, list] = {}
+    for r in values.groupBy("k", "part").agg(F.sum("n").alias("n")).orderBy("k", "part").collect():
+        sums.setdefault(r["k"], []).append((r["part"], r["n"]))
+    places, ranks = [], {}
+    for alias, (c, q) in wanted.items():
+        own = sums.get(names[str(c)], [])
+        n = sum(x for _, x in own)
+        at = q * (n - 1)
+        ranks[alias] = [(names[str(c)], r) for r in (math.floor(at), math.ceil(at))] if n else []
+        for k, r in ranks[alias]:
+            before = 0
+            for part, x in own:
+                if r < before + x:
+                    places.append((k, part, r, r - before))
+                    break
+                before += x
+    spark = df.sparkSession
+    found = {}
+    if places:
+        targets = F.broadcast(spark.createDataFrame(sorted(set(places)), "k string, part int, rank long, inside long"))  # two for each quantile
+        run = values.join(targets.select("k", "part").distinct(), ["k", "part"], "left_semi").withColumn("upto", F.sum("n").over(Window.partitionBy("k", "part").orderBy("v")))
+        hit = run.join(targets, ["k", "part"]).where((F.col("inside") < F.col("upto")) & (F.col("inside") >= F.col("upto") - F.col("n")))
+        found = {(r["k"], r["rank"]): r["v"] for r in hit.select("k", "rank", "v").collect()}
+    row = []
+    for alias, (c, q) in wanted.items():
+        if not ranks[alias]:
+            row.append(None)
+            continue
+        lo, hi = (found[x] for x in ranks[alias])
+        at = q * (sum(x for _, x in sums[names[str(c)]]) - 1)
+        row.append(float(lo + (hi - lo) * (at - math.floor(at))))
+    return spark.createDataFrame([tuple(row)], ", ".join(f"`{a}` double" for a in wanted))
 
 
 def wide_to_long(df: DataFrame, columns: list[str], stats: dict, key: str = "variable") -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import any_flag, days, flag, quantile
-from ..plans.roles import AMOUNTS, DATES, Book
+from ..functions.columns import any_flag, days, flag, quantile_row
+from ..plans.roles import AMOUNTS, DATES, LEVELS, Book, read
 
 book = Book()
 LO, HI = "1993-01-01", "1998-06-30"
@@ -95,7 +95,9 @@ def indicators(df: DataFrame) -> DataFrame:
 
 def impute(df: DataFrame, amounts: list[str], levels: list[str], text: str = "Non renseigné") -> DataFrame:
     """Medians for amounts, a literal for text."""
-    med = df.agg(*(quantile(c, 0.5).alias(f"_{c}") for c in amounts))
+    if not amounts:
+        return df.withColumns({c: F.coalesce(c, F.lit(text)) for c in levels})
+    med = quantile_row(df, {f"_{c}": (c, 0.5) for c in amounts})
     out = df.crossJoin(F.broadcast(med)).withColumns({c: F.coalesce(c, f"_{c}") for c in amounts} | {c: F.coalesce(c, F.lit(text)) for c in levels})
     return out.drop(*(f"_{c}" for c in amounts))
 
@@ -127,7 +129,7 @@ def zscores(df: DataFrame) -> DataFrame:
     return standardise(df, ["revenue", "cost"]).select("code", *(F.round(c, 6).alias(c) for c in ("revenue", "cost")))
 
 
-@book.on_view("B17_active_variables", "select v as variable, kind from (values ('revenue', 'quantitative'), ('revenue_updated', 'quantitative'), ('budget', 'quantitative'), ('cost', 'quantitative'), ('entity', 'qualitative'), ('opp_type', 'qualitative'), ('category', 'qualitative'), ('status', 'qualitative'), ('client', 'qualitative')) t(v, kind) where v <> 'client' or (select count(distinct client) * 1.0 / count(*) <= 0.8 and count(distinct client) > 1 from opp)")
+@book.on_view("B17_active_variables", " union all ".join(f"select '{c}' as variable, 'quantitative' as kind from opp having count(distinct {c}) > 1" for c in AMOUNTS) + " union all " + " union all ".join(f"select '{c}', 'qualitative' from opp having count(distinct {c}) > 1 and count(distinct {c}) <= 0.8 * count(*)" for c in (*LEVELS, "client")))
 def active_variables(df: DataFrame) -> DataFrame:
     """One profile aggregate decides which columns stay: no ids, dates, constants, or near-unique texts."""
     kinds = {c: t for c, t in df.dtypes if c != "code" and not t.startswith("timestamp")}
@@ -152,7 +154,8 @@ _MED = "med as (select quantile_cont(floor((epoch_us(real_end_at) - epoch_us(sta
 
 @book.on_view("B21_median_duration", f"with {_MED} select round(d, 4) as median_days from med")
 def median_duration(df: DataFrame) -> DataFrame:
-    return df.where("real_end_at is not null and start_at is not null").agg(F.round(quantile(days("real_end_at", "start_at"), 0.5), 4).alias("median_days"))
+    d = df.where("real_end_at is not null and start_at is not null").select(days("real_end_at", "start_at").alias("d"))
+    return quantile_row(d, {"m": ("d", 0.5)}).select(F.round("m", 4).alias("median_days"))
 
 
 def copy_real_ends(df: DataFrame) -> DataFrame:
@@ -207,7 +210,7 @@ def chronological_split(df: DataFrame, date: str, start: str, end: str) -> DataF
 
 @book.on_view("B30_winsorised", "with q as (select quantile_cont(revenue, 0.01) as lo, quantile_cont(revenue, 0.99) as hi from opp where registered_at < timestamp '1996-01-01') select code, round(least(greatest(revenue, lo), hi), 4) as revenue from opp, q")
 def winsorised(df: DataFrame, col: str = "revenue") -> DataFrame:
-    q = df.where("registered_at < timestamp '1996-01-01'").agg(quantile(col, 0.01).alias("lo"), quantile(col, 0.99).alias("hi"))
+    q = quantile_row(df.where("registered_at < timestamp '1996-01-01'"), {"lo": (col, 0.01), "hi": (col, 0.99)})
     return df.crossJoin(F.broadcast(q)).select("code", F.round(F.least(F.greatest(col, "lo"), "hi"), 4).alias(col))
 
 
@@ -229,3 +232,90 @@ def onehot_long(df: DataFrame) -> DataFrame:
     z = standardise(df, ["cost"])
     cells = F.array(F.struct(F.concat(F.lit("category="), "category").alias("feature"), F.lit(1.0).alias("value")), F.struct(F.lit("cost").alias("feature"), F.round("cost", 6).alias("value")))
     return z.select("code", F.explode(cells).alias("c")).select("code", "c.*")
+
+
+@book.on_view("B2_nulled_dates", "select code, " + ", ".join(f"strftime(case when not {_OUT[c]} then {c} end, '%Y-%m-%d') as {c}" for c in DATES) + " from opp")
+def nulled_dates(df: DataFrame) -> DataFrame:
+    out = null_dates(df, DATES)
+    return out.select("code", *(F.date_format(c, "yyyy-MM-dd").alias(c) for c in DATES))
+
+
+@book.on_view("B3_review_stats", " union all ".join(f"select '{c}' as variable, count(*) as n, strftime(min({c}), '%Y-%m-%d') as lo, strftime(max({c}), '%Y-%m-%d') as hi, round(quantile_cont(epoch_us({c}) / 86400000000.0, 0.5), 4) as median_day from opp where {_OUT[c]}" for c in DATES))
+def review_stats(df: DataFrame) -> DataFrame:
+    """Out-of-range dates per column: how many, first, last, and the median as days since 1970."""
+    days_of = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 86_400_000_000
+    out = df.select(*(F.when(outside(c), F.col(c)).alias(c) for c in DATES))
+    med = quantile_row(out.select(*(days_of(c).alias(c) for c in DATES)), {c: (c, 0.5) for c in DATES})
+    wide = out.agg(*(F.struct(F.count(c).alias("n"), F.date_format(F.min(c), "yyyy-MM-dd").alias("lo"), F.date_format(F.max(c), "yyyy-MM-dd").alias("hi")).alias(f"s_{c}") for c in DATES)).crossJoin(med)
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(f"s_{c}.n").alias("n"), F.col(f"s_{c}.lo").alias("lo"), F.col(f"s_{c}.hi").alias("hi"), F.round(c, 4).alias("median_day")) for c in DATES))).alias("r")).select("r.*")
+
+
+@book.on_view("B5_rare_off", "select client, count(*) as n from (select case when (select count(*) from opp) < 1000000000 or count(*) over (partition by client) >= 1000000000 then client else 'Autre' end as client from opp) group by 1")
+def rare_off(df: DataFrame, count: int = 1_000_000_000) -> DataFrame:
+    """Rare levels by count, left alone when the table has fewer rows than the threshold."""
+    out = df if df.count() < count else bucket_rare(df, "client", count=count, other="Autre")
+    return out.groupBy("client").agg(F.count("*").alias("n"))
+
+
+@book.on_view("B13_complete", "select code from opp where start_at is not null and closing_at is not null")
+def complete(df: DataFrame) -> DataFrame:
+    return impute(df, AMOUNTS, ["entity"]).dropna(subset=["start_at", "closing_at"]).select("code")
+
+
+@book.on_view("B14_excluded", "select code, 'status: ' || status as reason from opp where regexp_matches(status, '(?i)perdu|annul|aband|lost')")
+def excluded(df: DataFrame, pattern: str = "(?i)perdu|annul|aband|lost") -> DataFrame:
+    """What is left out, and why."""
+    return df.where(flag(F.col("status").rlike(pattern))).select("code", F.concat(F.lit("status: "), "status").alias("reason"))
+
+
+@book.on_view("B18_margins", "select code, round(revenue - cost, 4) as margin, round(revenue / nullif(budget, 0), 6) as budget_ratio from opp")
+def margins(df: DataFrame) -> DataFrame:
+    return df.select("code", F.round(F.col("revenue") - F.col("cost"), 4).alias("margin"), F.round(F.try_divide("revenue", F.expr("nullif(budget, 0)")), 6).alias("budget_ratio"))
+
+
+@book.on_view("B20_copied_rows", "select code, strftime(case when status = 'won' and real_end_at is not null then real_end_at else closing_at end, '%Y-%m-%d') as closing_at from opp")
+def copied_rows(df: DataFrame) -> DataFrame:
+    return copy_real_ends(df).select("code", F.date_format("closing_at", "yyyy-MM-dd").alias("closing_at"))
+
+
+def few_valued(df: DataFrame, most: int = 2, key: str | None = None) -> DataFrame:
+    """(variable, n_distinct, lo, hi) of all columns with at most ``most`` distinct values but the key: one row per value first, then counts."""
+    cols = [c for c in df.columns if c != key]
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("v")) for c in cols)))
+    return df.select(cells.alias("c")).select("c.*").where("v is not null").distinct().groupBy("variable").agg(F.count("*").alias("n_distinct"), F.min("v").alias("lo"), F.max("v").alias("hi")).where(F.col("n_distinct") <= most)
+
+
+@book.on_tables("B32_discovered", " union all ".join(f"select '{c}' as variable, count(distinct {c}) as n_distinct, min({c}::varchar) as lo, max({c}::varchar) as hi from labels having count(distinct {c}) between 1 and 2" for c in ("quality", "toxic")))
+def discovered(spark, sf_dir) -> DataFrame:
+    """Binary targets of the label table, found by their values."""
+    return few_valued(read(spark, sf_dir, "labels"), key="doc_id")
+
+
+class Encoder:
+    """Z-scores of numbers and one-hot levels, fitted on one table and applied to others: unseen levels are all 0, missing numbers 0."""
+
+    def __init__(self, amounts: list[str], levels: list[str]) -> None:
+        self.amounts, self.levels = amounts, levels
+
+    def fit(self, df: DataFrame) -> "Encoder":
+        s = df.agg(*(f(c).alias(f"{n}_{c}") for c in self.amounts for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+        self.scale = {c: (s[f"m_{c}"] or 0.0, s[f"s_{c}"] or 0.0) for c in self.amounts}
+        rows = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in self.levels))).alias("x")).select("x.*").where("v is not null").distinct().collect()  # one row per level
+        self.known = sorted((r["c"], r["v"]) for r in rows)
+        return self
+
+    def transform(self, df: DataFrame, *keep: str) -> DataFrame:
+        z = [F.coalesce((F.col(c) - m) / s if s else F.lit(0.0), F.lit(0.0)).alias(c) for c, (m, s) in self.scale.items()]
+        return df.select(*keep, *z, *(flag(F.col(c) == v).cast("double").alias(f"{c}={v}") for c, v in self.known))
+
+
+_TRAIN = "registered_at < timestamp '1996-01-01'"
+
+
+@book.on_view("B33_encoded", f"with t as (select * from opp where {_TRAIN}), r as (select * from opp where not {_TRAIN}) select code, " + ", ".join(f"round(coalesce(({c} - (select avg({c}) from t)) / (select stddev_pop({c}) from t), 0), 5) as {c}" for c in ("revenue", "budget")) + ", category || case when category in (select category from t) then '' else '?' end as category from r")
+def encoded(df: DataFrame) -> DataFrame:
+    """Fitted on the older rows, applied to the newer ones; the indicators read back as the level."""
+    e = Encoder(["revenue", "budget"], ["category"]).fit(df.where(_TRAIN))
+    out = e.transform(df.where(f"not {_TRAIN}"), "code")
+    level = F.coalesce(*(F.when(F.col(f"`category={v}`") == 1, F.lit(v)) for _, v in e.known), F.lit("?"))
+    return out.select("code", *(F.round(c, 5).alias(c) for c in ("revenue", "budget")), level.alias("category"))

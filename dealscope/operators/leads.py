@@ -22,11 +22,15 @@ def internal_features(df: DataFrame) -> DataFrame:
     return df.select("code", F.coalesce(F.month("closing_at"), F.lit(0)).alias("month"), F.coalesce(F.year("closing_at"), F.lit(0)).alias("year"), F.coalesce(days("real_end_at", "start_at"), F.lit(0)).cast("long").alias("duration"), (F.size(F.filter(F.split(history, "[>|;/]"), lambda t: F.trim(t) != "")) - 1).cast("long").alias("changes"))
 
 
-@book.on_tables("I2_enrichment", "select c_custkey, coalesce(n_name, 'inconnu') as sector, coalesce(r_name, 'nc') as region from customer left join (select * from nation where n_nationkey % 2 = 0) on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey")
+@book.on_tables("I2_enrichment", "select c_custkey, coalesce(n_name, 'inconnu') as sector, coalesce(r_name, 'nc') as region from customer left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey")
 def enrichment(spark, sf_dir) -> DataFrame:
     """Lookup tables joined on the key; Spark broadcasts them where their size allows."""
-    n = read(spark, sf_dir, "nation").where("n_nationkey % 2 = 0")
-    out = read(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return enriched(read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation"), read(spark, sf_dir, "region"))
+
+
+def enriched(customers: DataFrame, nations: DataFrame, regions: DataFrame) -> DataFrame:
+    """Sector and region of every customer; keys without an entry get ``inconnu`` and ``nc``."""
+    out = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return out.select("c_custkey", F.coalesce("n_name", F.lit("inconnu")).alias("sector"), F.coalesce("r_name", F.lit("nc")).alias("region"))
 
 
@@ -88,10 +92,10 @@ def confusion(spark, sf_dir) -> DataFrame:
     return scores(spark, sf_dir).groupBy("y", (F.col("p") > 0.5).cast("int").alias("pred")).agg(F.count("*").alias("n"))
 
 
-@book.on_tables("I3_geo", "select c_custkey, coalesce(n, 0)::bigint as population, coalesce(r_name, 'nc') as region from customer left join (select s_nationkey, count(*) as n from supplier where s_nationkey % 3 <> 0 group by 1) on c_nationkey = s_nationkey left join nation on n_nationkey = s_nationkey left join region on n_regionkey = r_regionkey")
+@book.on_tables("I3_geo", "select c_custkey, coalesce(n, 0)::bigint as population, coalesce(r_name, 'nc') as region from customer left join (select s_nationkey, count(*) as n from supplier group by 1) on c_nationkey = s_nationkey left join nation on n_nationkey = s_nationkey left join region on n_regionkey = r_regionkey")
 def geo(spark, sf_dir) -> DataFrame:
     """Population (suppliers) and region by place; places without an entry get 0 and ``nc``."""
-    places = read(spark, sf_dir, "supplier").where("s_nationkey % 3 <> 0").groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    places = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
     places = places.join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     out = read(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("s_nationkey"), "left")
     return out.select("c_custkey", F.coalesce("n", F.lit(0)).cast("long").alias("population"), F.coalesce("r_name", F.lit("nc")).alias("region"))
@@ -109,3 +113,12 @@ def report(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def fixed_report(spark, sf_dir) -> DataFrame:
     gap = F.col("p") - F.col("y")
     return report(scores(spark, sf_dir).agg(F.round(F.avg(F.abs(gap)), 6).alias("mae"), F.round(F.avg(gap**2), 6).alias("brier")))
+
+
+@book.on_tables("I12_balanced", f"with {_S}, m as (select {_C.format(y=0, op='p <= 0.5')} as tn, {_C.format(y=0, op='p > 0.5')} as fp, {_C.format(y=1, op='p <= 0.5')} as fn, {_C.format(y=1, op='p > 0.5')} as tp from s) select round((tp * 1.0 / nullif(tp + fn, 0) + tn * 1.0 / nullif(tn + fp, 0)) / 2, 6) as balanced_accuracy, round((tp + tn) * 1.0 / (tp + tn + fp + fn), 6) as accuracy from m")
+def balanced(spark, sf_dir) -> DataFrame:
+    """Mean of the recalls of both classes, and plain accuracy."""
+    hit, y = F.col("p") > 0.5, F.col("y")
+    n = lambda c: F.count(F.when(c, 1))
+    tp, tn = n((y == 1) & hit), n((y == 0) & ~hit)
+    return scores(spark, sf_dir).agg(F.round((F.try_divide(tp, n(y == 1)) + F.try_divide(tn, n(y == 0))) / 2, 6).alias("balanced_accuracy"), F.round((tp + tn) / F.count("*"), 6).alias("accuracy"))

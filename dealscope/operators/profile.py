@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import flag, kurtosis_corrected, level_rows, quantile, rounded, skew_corrected, wide_to_long
+from ..functions.columns import flag, kurtosis_corrected, level_rows, quantile, quantile_row, rounded, skew_corrected, wide_to_long
 from ..plans.roles import AMOUNTS, DATES, LEVELS, Book
 from .kpi import top
 
@@ -30,13 +30,21 @@ def samples(df: DataFrame, cols: list[str] | None = None, n: int = 5) -> DataFra
     return ranked.groupBy("variable").agg(F.array_join(F.array_sort(F.collect_list("level")), " | ").alias("samples"))
 
 
-_STATS = {"mean": F.avg, "std": F.stddev, "min": F.min, "q1": lambda c: quantile(c, 0.25), "median": lambda c: quantile(c, 0.5), "q3": lambda c: quantile(c, 0.75), "max": F.max, "skew": skew_corrected, "kurtosis": kurtosis_corrected}
+_STATS = {"mean": F.avg, "std": F.stddev, "min": F.min, "max": F.max, "skew": skew_corrected, "kurtosis": kurtosis_corrected}
 _SQL = {"mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})", "q1": "quantile_cont({c}, 0.25)", "median": "quantile_cont({c}, 0.5)", "q3": "quantile_cont({c}, 0.75)", "max": "max({c})", "skew": "skewness({c})", "kurtosis": "kurtosis({c})"}
 
 
+def quantiles(df: DataFrame, cols: list[str], qs: dict[str, float]) -> DataFrame:
+    """One row per column with its quantiles."""
+    wide = quantile_row(df, {f"{c}__{n}": (c, q) for c in cols for n, q in qs.items()})
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), *(F.col(f"{c}__{n}").alias(n) for n in qs)) for c in cols))).alias("r")).select("r.*")
+
+
 @book.on_view("C2_numeric_overview", _each(AMOUNTS, "select '{c}' as variable, count({c}) as n, count(*) - count({c}) as missing, " + ", ".join(f"round({v}, 4) as {k}" for k, v in _SQL.items()) + " from opp"))
 def numeric_overview(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    return rounded(wide_to_long(df, cols or AMOUNTS, {"n": F.count, "missing": lambda c: F.count("*") - F.count(c), **_STATS}))
+    cols = cols or AMOUNTS
+    stats = wide_to_long(df, cols, {"n": F.count, "missing": lambda c: F.count("*") - F.count(c), **_STATS})
+    return rounded(stats.join(F.broadcast(quantiles(df, cols, {"q1": 0.25, "median": 0.5, "q3": 0.75})), "variable"))
 
 
 @book.on_view("C3_categorical_overview", _each(LEVELS, "select '{c}' as variable, count(distinct {c}) as n_distinct, (select {c} from opp where {c} is not null group by 1 order by count(*) desc, 1 limit 1) as top_level, (select count(*) from opp where {c} is not null group by {c} order by 1 desc limit 1) as top_freq, count(*) - count({c}) as missing from opp"))
@@ -112,11 +120,14 @@ def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 @book.on_view("C12_cleaning_impact", _each(AMOUNTS, "select '{c}' as variable, round(avg({c}), 4) as mean_before, round(avg({c}) filter (cost >= 0), 4) as mean_after, round(quantile_cont({c}, 0.5), 4) as median_before, round(quantile_cont({c}, 0.5) filter (cost >= 0), 4) as median_after, round(stddev_samp({c}), 4) as std_before, round(stddev_samp({c}) filter (cost >= 0), 4) as std_after from opp"))
 def cleaning_impact(df: DataFrame, keep=None, cols: list[str] | None = None) -> DataFrame:
     keep = F.col("cost") >= 0 if keep is None else keep
-    stats = {}
-    for name, f in (("mean", F.avg), ("median", lambda c: quantile(c, 0.5)), ("std", F.stddev)):
+    cols, stats = cols or AMOUNTS, {}
+    for name, f in (("mean", F.avg), ("std", F.stddev)):
         stats[f"{name}_before"] = lambda c, f=f: f(F.col(c))
         stats[f"{name}_after"] = lambda c, f=f: f(F.when(keep, F.col(c)))
-    return rounded(wide_to_long(df, cols or AMOUNTS, stats))
+    both = df.select(*cols, *(F.when(keep, F.col(c)).alias(f"{c}__kept") for c in cols))
+    med = quantile_row(both, {c: (c, 0.5) for c in both.columns})
+    med = med.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).alias("median_before"), F.col(f"{c}__kept").alias("median_after")) for c in cols))).alias("r")).select("r.*")
+    return rounded(wide_to_long(df, cols, stats).join(F.broadcast(med), "variable"))
 
 
 _REGION = "case when {a} = 0 and {b} = 0 then 'origin' when {b} = 0 then 'x-axis' when {a} = 0 then 'y-axis' when {a} = {b} then 'diagonal' else 'normal' end"
@@ -133,7 +144,8 @@ _BOX = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 @book.on_view("C14_positive_box", _each(AMOUNTS, "select '{c}' as variable, " + ", ".join(f"round(quantile_cont({{c}}, {q}) filter ({{c}} > 0), 4) as p{int(q * 100)}" for q in _BOX) + " from opp"))
 def positive_box(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    return rounded(wide_to_long(df, cols or AMOUNTS, {f"p{int(q * 100)}": lambda c, q=q: quantile(F.when(F.col(c) > 0, F.col(c)), q) for q in _BOX}))
+    cols = cols or AMOUNTS
+    return rounded(quantiles(df.select(*(F.when(F.col(c) > 0, F.col(c)).alias(c) for c in cols)), cols, {f"p{int(q * 100)}": q for q in _BOX}))
 
 
 @book.on_view("C15_histogram", "with b as (select min(revenue) as lo, max(revenue) as hi from opp) select least(floor((revenue - lo) / (hi - lo) * 20), 19)::bigint as bin, count(*) as n from opp, b group by 1")
@@ -152,7 +164,7 @@ def ecdf(df: DataFrame, col: str = "cost") -> DataFrame:
 
 
 def fences(df: DataFrame, cols: list[str], k: float = 1.5) -> DataFrame:
-    q = df.agg(*(quantile(c, v).alias(f"{c}__{n}") for c in cols for n, v in (("q1", 0.25), ("q3", 0.75))))
+    q = quantile_row(df, {f"{c}__{n}": (c, v) for c in cols for n, v in (("q1", 0.25), ("q3", 0.75))})
     return q.select(*(x for c in cols for x in ((F.col(f"{c}__q1") - k * (F.col(f"{c}__q3") - F.col(f"{c}__q1"))).alias(f"{c}__lo"), (F.col(f"{c}__q3") + k * (F.col(f"{c}__q3") - F.col(f"{c}__q1"))).alias(f"{c}__hi"))))
 
 
@@ -171,7 +183,7 @@ def iqr_outliers(df: DataFrame, cols: list[str] | None = None, k: float = 1.5) -
 def iqr_sensitivity(df: DataFrame, cols: list[str] | None = None, ks=(1.5, 2.5, 3.0)) -> DataFrame:
     """Counts for several fences from one quartile table."""
     cols = cols or AMOUNTS
-    q = df.agg(*(quantile(c, v).alias(f"{c}__{n}") for c in cols for n, v in (("q1", 0.25), ("q3", 0.75))))
+    q = quantile_row(df, {f"{c}__{n}": (c, v) for c in cols for n, v in (("q1", 0.25), ("q3", 0.75))})
     wide = df.crossJoin(F.broadcast(q))
     hit = lambda c, k: F.count(F.when((F.col(c) < F.col(f"{c}__q1") - k * (F.col(f"{c}__q3") - F.col(f"{c}__q1"))) | (F.col(c) > F.col(f"{c}__q3") + k * (F.col(f"{c}__q3") - F.col(f"{c}__q1"))), 1))
     wide = wide.agg(*(hit(c, k).alias(f"{c}__{i}") for c in cols for i, k in enumerate(ks)))
@@ -181,7 +193,7 @@ def iqr_sensitivity(df: DataFrame, cols: list[str] | None = None, ks=(1.5, 2.5,
 @book.on_view("E8_extreme_records", "with m as (select " + ", ".join(f"quantile_cont({c}, 0.5) as m_{c}" for c in AMOUNTS) + " from opp), d as (select code, round(greatest(" + ", ".join(f"coalesce(abs({c} - m_{c}), 0)" for c in AMOUNTS) + "), 2) as deviation from opp, m order by 2 desc, 1 limit 20) select code, deviation, 'Record ' || code || ' deviates most' as sentence from d")
 def extreme_records(df: DataFrame, cols: list[str] | None = None, n: int = 20) -> DataFrame:
     cols = cols or AMOUNTS
-    med = df.agg(*(quantile(c, 0.5).alias(f"m_{c}") for c in cols))
+    med = quantile_row(df, {f"m_{c}": (c, 0.5) for c in cols})
     dev = F.round(F.greatest(*(F.coalesce(F.abs(F.col(c) - F.col(f"m_{c}")), F.lit(0.0)) for c in cols)), 2)
     return top(df.crossJoin(F.broadcast(med)).select("code", dev.alias("deviation")), ["deviation"], n, "code").withColumn("sentence", F.format_string("Record %d deviates most", "code"))
 
