@@ -270,3 +270,51 @@ def minmax_metrics(df: DataFrame, cols=("mae", "rmse")) -> DataFrame:
     g = forecast_metrics(rule_forecasts(df), ["model", "series"])
     ends = g.agg(*(f(c).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))))
     return g.crossJoin(F.broadcast(ends)).select("model", "series", *(F.round(F.coalesce(F.try_divide(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.lit(0.0)), 4).alias(c) for c in cols))
+
+
+@book.on_view("D2_reconciled_revenue", f"with q as (select {_Q.format(c='closing_at')} as quarter, count(*) as n, sum(revenue) as r from opp group by 1) select (select count(*) from opp) as n, sum(n)::bigint as n_by_quarter, round((select sum(revenue) from opp), 2) as revenue, round(sum(r), 2) as revenue_by_quarter, (select count(*) from opp) = sum(n) and abs((select sum(revenue) from opp) - sum(r)) < 0.01 * count(*) as reconciled from q")
+def reconciled_revenue(df: DataFrame) -> DataFrame:
+    """Counts and revenue of the quarters against those of the table."""
+    q = df.groupBy(quarter("closing_at").alias("quarter")).agg(F.count("*").alias("n"), F.sum("revenue").alias("r"))
+    by = q.agg(F.sum("n").alias("n_by_quarter"), F.sum("r").alias("rq"), F.count("*").alias("k"))
+    out = df.agg(F.count("*").alias("n"), F.sum("revenue").alias("rt")).crossJoin(by)
+    ok = (F.col("n") == F.col("n_by_quarter")) & (F.abs(F.col("rt") - F.col("rq")) < 0.01 * F.col("k"))
+    return out.select("n", "n_by_quarter", F.round("rt", 2).alias("revenue"), F.round("rq", 2).alias("revenue_by_quarter"), ok.alias("reconciled"))
+
+
+@book.on_view("D11_line_points", "with p as (select ln(budget) as x, ln(revenue) as y from opp where budget > 0 and revenue > 0), l as (select regr_slope(y, x) as a, regr_intercept(y, x) as b, min(x) as lo, max(x) as hi from p) select i, round(exp(lo + (hi - lo) * i / 10.0), 3) as budget, round(exp(b + a * (lo + (hi - lo) * i / 10.0)), 3) as revenue from l, unnest(range(0, 11)) t(i)")
+def line_points(df: DataFrame, n: int = 10) -> DataFrame:
+    """Points of the fitted line from the least to the greatest budget."""
+    p = df.where("budget > 0 and revenue > 0").select(F.ln("budget").alias("x"), F.ln("revenue").alias("y"))
+    fit = p.agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("b"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    at = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / n
+    return fit.select("*", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("i")).select(F.col("i").cast("long").alias("i"), F.round(F.exp(at), 3).alias("budget"), F.round(F.exp(F.col("b") + F.col("a") * at), 3).alias("revenue"))
+
+
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@book.on_view("D24_performance_full", f"with {_FC} select model, " + ", ".join(f"round(max({m}) filter (series = '{s}'), 2) as \"{m}_{s[2:].lower()}\"" for s in _PRIORITIES for m in ("mae", "rmse", "mape")) + " from g group by 1")
+def performance_full(df: DataFrame) -> DataFrame:
+    """Every metric of every series, one row per model; the series are those that the data have."""
+    g = forecast_metrics(rule_forecasts(df), ["model", "series"])
+    names = [r["series"] for r in g.select("series").distinct().orderBy("series").collect()]
+    return g.groupBy("model").agg(*(F.round(F.max(F.when(F.col("series") == s, F.col(m))), 2).alias(f"{m}_{s[2:].lower()}") for s in names for m in ("mae", "rmse", "mape")))
+
+
+def _granular(g: str) -> str:
+    end = {"month": "last_day(closing_at::date)", "quarter": "last_day((date_trunc('quarter', closing_at) + interval 2 month)::date)", "year": "last_day((date_trunc('year', closing_at) + interval 11 month)::date)"}[g]
+    return f"select '{g}' as granularity, {end} as p, round(sum(revenue), 2) as y from opp where closing_at is not null group by 2"
+
+
+@book.on_view("D25_best_per_granularity", "with s as (" + " union all ".join(map(_granular, GRANULARITIES)) + "), f as (select *, lag(y, 1) over w as naive, (lag(y, 1) over w + lag(y, 2) over w) / 2 as mean2 from s window w as (partition by granularity order by p)), l as (select granularity, 'naive' as model, y, naive as pred from f where naive is not null union all select granularity, 'mean2', y, mean2 from f where mean2 is not null), g as (select granularity, model, sqrt(avg((pred - y) ** 2)) as rmse from l group by 1, 2) select granularity, arg_min(model, rmse) as model, round(min(rmse), 2) as rmse from g group by 1")
+def best_per_granularity(df: DataFrame) -> DataFrame:
+    """The simple forecast with the lowest RMSE for each granularity."""
+    out = None
+    for g in GRANULARITIES:
+        s = df.where("closing_at is not null").groupBy(period_end("closing_at", g).alias("p")).agg(F.round(F.sum("revenue"), 2).alias("y")).withColumn("granularity", F.lit(g))
+        out = s if out is None else out.union(s)
+    w = Window.partitionBy("granularity").orderBy("p")
+    f = out.select("granularity", "y", F.lag("y", 1).over(w).alias("naive"), ((F.lag("y", 1).over(w) + F.lag("y", 2).over(w)) / 2).alias("mean2"))
+    g = forecast_metrics(f.unpivot(["granularity", "y"], ["naive", "mean2"], "model", "pred").where("pred is not null"), ["granularity", "model"])
+    return g.groupBy("granularity").agg(F.min_by("model", "rmse").alias("model"), F.round(F.min("rmse"), 2).alias("rmse"))

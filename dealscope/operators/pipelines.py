@@ -202,3 +202,11 @@ def preprocessed(df: DataFrame) -> DataFrame:
     for r in rows[1:]:
         out = out.union(r)
     return out
+
+
+@book.on_view("D27_before_repaired", f"with {_REPAIR}, x as (select last_day(closing_at::date) as m, sum(revenue) as before from opp where status = 'won' and closing_at is not null group by 1), y as (select last_day(closing_at::date) as m, sum(revenue) as after from w group by 1) select strftime(m, '%Y-%m-%d') as period_end, round(before, 2) as before, round(after, 2) as after from x full join y using (m)")
+def before_repaired(df: DataFrame) -> DataFrame:
+    """Monthly revenue by the dates as they are and by the repaired ones."""
+    by = lambda d, name: d.groupBy(F.last_day(F.to_date("closing_at")).alias("m")).agg(F.sum("revenue").alias(name))
+    both = by(df.where("status = 'won' and closing_at is not null"), "before").join(by(repaired(df, _BAD), "after"), "m", "full")
+    return both.select(F.date_format("m", "yyyy-MM-dd").alias("period_end"), F.round("before", 2).alias("before"), F.round("after", 2).alias("after"))

@@ -179,3 +179,58 @@ def drift(df: DataFrame, cols: list[str] | None = None, date: str = "registered_
     gap = np.array([(means[f"{c}_1"] or 0.0) - (means[f"{c}_0"] or 0.0) for c in cols])
     rows = [(a + 1, axis_similarity(v, w), float(gap @ v[:, a])) for a in range(min(2, len(cols)))]
     return df.sparkSession.createDataFrame(rows, "axis int, axis_similarity double, mean_shift double")
+
+
+@book.on_tables("H13_angles", f"with {_P}, c as (select label, var_samp(x) as a, var_samp(y) as d, covar_samp(x, y) as b from p group by 1) select label, round(degrees(0.5 * atan2(2 * b, a - d)), 4) as angle from c")
+def angles(spark, sf_dir) -> DataFrame:
+    """Direction of the major half-axis of every ellipse in degrees."""
+    c = points(spark, sf_dir).groupBy("label").agg(F.var_samp("x").alias("a"), F.var_samp("y").alias("d"), F.covar_samp("x", "y").alias("b"))
+    return c.select("label", F.round(F.degrees(0.5 * F.atan2(2 * F.col("b"), F.col("a") - F.col("d"))), 4).alias("angle"))
+
+
+@book.on_view("G4_individual_cos2")
+def individual_cos2(df: DataFrame, cols: list[str] | None = None, k: int = 2) -> DataFrame:
+    """Squared cosines of the rows on the first axes: squared scores over the squared length."""
+    cols = cols or AMOUNTS
+    _, v = pca(df, cols)
+    z = standardise(df.dropna(subset=cols), cols)
+    length = sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))
+    score = lambda a: sum((F.col(c) * float(v[i, a]) for i, c in enumerate(cols)), F.lit(0.0))
+    return z.select("code", *(F.round(F.coalesce(F.try_divide(score(a) * score(a), length), F.lit(0.0)), 6).alias(f"cos2_F{a + 1}") for a in range(k)))
+
+
+def distance_discrepancy(df: DataFrame, cols: list[str], v: np.ndarray, w: np.ndarray, k: int = 2) -> float:
+    """Mean relative difference of the distances to the centre in two projections."""
+    z = standardise(df.dropna(subset=cols), cols)
+    away = lambda m: F.sqrt(sum((sum((F.col(c) * float(m[i, a]) for i, c in enumerate(cols)), F.lit(0.0)) ** 2 for a in range(k)), F.lit(0.0)))
+    return z.agg(F.avg(F.try_divide(F.abs(away(v) - away(w)), away(v)))).first()[0] or 0.0
+
+
+@book.on_view("G14_fold_summary")
+def fold_summary(df: DataFrame, cols: list[str] | None = None, splits: int = 5) -> DataFrame:
+    """Mean and deviation over the folds of axis similarity, first-axis share and distance discrepancy. All folds come from one pass of sums per fold, which are subtracted from the total."""
+    cols = cols or AMOUNTS
+    d = df.dropna(subset=cols)
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    sums = d.groupBy(F.pmod(F.xxhash64("code"), F.lit(splits)).alias("fold")).agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)), *(F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"q{i}_{j}") for i, j in pairs)).collect()
+
+    def axes_of(rows):
+        n = sum(r["n"] for r in rows)
+        s = np.array([sum(r[f"s{i}"] for r in rows) for i in range(len(cols))]) / n
+        q = np.zeros((len(cols), len(cols)))
+        for i, j in pairs:
+            q[i, j] = q[j, i] = sum(r[f"q{i}_{j}"] for r in rows) / n - s[i] * s[j]
+        scale = np.sqrt(np.maximum(np.diag(q), 1e-12))
+        vals, vecs = np.linalg.eigh(q / np.outer(scale, scale))
+        vals, vecs = vals[::-1], vecs[:, ::-1]
+        return vals, vecs * np.sign(vecs[np.abs(vecs).argmax(axis=0), np.arange(len(cols))])
+
+    _, whole = axes_of(sums)
+    found = []
+    for r in sums:
+        ev, v = axes_of([x for x in sums if x["fold"] != r["fold"]])
+        found.append((axis_similarity(whole, v), float(ev[0] / ev.sum()), distance_discrepancy(d, cols, whole, v)))
+    a = np.array(found)
+    spread = a.std(axis=0, ddof=1) if len(a) > 1 else np.zeros(3)
+    rows = [(name, round(float(m), 6), round(float(s), 6)) for name, m, s in zip(("axis_similarity", "first_share", "distance_discrepancy"), a.mean(axis=0), spread)]
+    return df.sparkSession.createDataFrame(rows, "measure string, mean double, std double")

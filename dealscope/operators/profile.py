@@ -230,3 +230,109 @@ def outlier_families(df: DataFrame) -> DataFrame:
     return fam.crossJoin(F.broadcast(fam.agg(F.sum("n").alias("t")))).select("family", "n", F.round(F.col("n") * 100.0 / F.col("t"), 2).alias("share"))
 
 
+_TYPES = {"double": "DOUBLE", "string": "VARCHAR", "timestamp": "TIMESTAMP", "bigint": "BIGINT"}
+
+
+@book.on_view("C1_types", " union all ".join(f"select '{c}' as variable, case when typeof(max({c})) like 'TIMESTAMP%' then 'timestamp' when typeof(max({c})) = 'VARCHAR' then 'string' when typeof(max({c})) = 'BIGINT' then 'bigint' else 'double' end as dtype from opp" for c in ["code", *AMOUNTS, *LEVELS, *DATES]))
+def types(df: DataFrame) -> DataFrame:
+    kinds = {c: "timestamp" if t.startswith("timestamp") else t for c, t in df.dtypes}
+    return df.limit(1).select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.lit(kinds[c]).alias("dtype")) for c in ["code", *AMOUNTS, *LEVELS, *DATES]))).alias("r")).select("r.*")
+
+
+@book.on_view("C2_missing_and_distinct", _each(AMOUNTS, "select '{c}' as variable, round((count(*) - count({c})) * 100.0 / count(*), 4) as missing_pct, count(distinct {c}) as n_distinct from opp"))
+def missing_and_distinct(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Values counted first, so no column needs a distinct count of its own."""
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).alias("v")) for c in cols or AMOUNTS)))
+    n = df.select(cells.alias("c")).select("c.*").groupBy("variable", "v").agg(F.count("*").alias("n"))
+    missing = F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0))
+    return n.groupBy("variable").agg(F.round(missing * 100.0 / F.sum("n"), 4).alias("missing_pct"), F.count("v").alias("n_distinct"))
+
+
+@book.on_view("C3_missing_pct", _each(LEVELS, "select '{c}' as variable, round((count(*) - count({c})) * 100.0 / count(*), 4) as missing_pct from opp"))
+def level_missing(df: DataFrame) -> DataFrame:
+    return wide_to_long(df, LEVELS, {"missing_pct": lambda c: F.round((F.count("*") - F.count(c)) * 100.0 / F.count("*"), 4)})
+
+
+@book.on_view("C9_rare_combo_rows", "select code, coalesce(count(*) over (partition by client, opp_type) < 3 and client is not null and opp_type is not null, false) as flag_combo_rare from opp")
+def rare_combo_rows(df: DataFrame, a: str = "client", b: str = "opp_type", threshold: int = 3) -> DataFrame:
+    rare = rare_pairs(df, a, b, threshold).select(a, b, F.lit(True).alias("flag_combo_rare"))
+    return df.select("code", a, b).join(rare, [a, b], "left").select("code", F.coalesce("flag_combo_rare", F.lit(False)).alias("flag_combo_rare"))
+
+
+@book.on_view("C10_rare_counts", "with r as (select 'client' as variable, client as level from opp group by 2 having count(*) < 12 union all select 'entity', entity from opp group by 2 having count(*) < 12) select variable, count(*) as n_rare from r group by 1 order by 2 desc, 1 limit 16")
+def rare_counts(df: DataFrame, cols=("client", "entity", "status"), excluded=("status",), threshold: int = 12, n: int = 16) -> DataFrame:
+    """Rare levels per variable, the 16 variables with most, some left out."""
+    r = rare_levels(df, [c for c in cols if c not in excluded], threshold)
+    return top(r.groupBy("variable").agg(F.count("*").alias("n_rare")), ["n_rare"], n, "variable")
+
+
+@book.on_view("C11_raw_and_clean", "select * from (" + " union all ".join(f"select '{a}' as x, '{b}' as y, round(corr({a}, {b}), 6) as raw, round(corr({a}, {b}) filter (cost >= 0), 6) as clean from opp" for a, b in _PAIRS) + ")")
+def raw_and_clean(df: DataFrame) -> DataFrame:
+    """Correlations before and after cleaning, side by side, in one scan; constant columns have none and are left out."""
+    both = lambda a, b, ok: F.corr(F.when(ok & F.col(b).isNotNull(), F.col(a)), F.when(ok & F.col(a).isNotNull(), F.col(b)))
+    wide = df.agg(*(both(a, b, ok).alias(f"{n}_{i}") for i, (a, b) in enumerate(_PAIRS) for n, ok in (("raw", F.lit(True)), ("clean", F.col("cost") >= 0))))
+    rows = wide.select(F.explode(F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.round(f"raw_{i}", 6).alias("raw"), F.round(f"clean_{i}", 6).alias("clean")) for i, (a, b) in enumerate(_PAIRS)))).alias("r")).select("r.*")
+    return rows.where("raw is not null")
+
+
+@book.on_view("C13_positive_regions", " union all ".join(f"select '{a}/{b}' as pair, case when {a} = {b} then 'diagonal' when {a} > {b} then 'above' else 'below' end as region, count(*) as n from opp where {a} > 0 and {b} > 0 group by 2" for a, b in _PAIRS))
+def positive_regions(df: DataFrame) -> DataFrame:
+    """Regions of pairs of which both are positive."""
+    rows = F.array(*(F.when((F.col(a) > 0) & (F.col(b) > 0), F.struct(F.lit(f"{a}/{b}").alias("pair"), F.when(F.col(a) == F.col(b), "diagonal").when(F.col(a) > F.col(b), "above").otherwise("below").alias("region"))) for a, b in _PAIRS))
+    return df.select(F.explode(rows).alias("r")).where("r is not null").groupBy("r.pair", "r.region").agg(F.count("*").alias("n"))
+
+
+@book.on_view("C14_positive_box_clean", _each(AMOUNTS, "select '{c}' as variable, " + ", ".join(f"round(quantile_cont({{c}}, {q}) filter ({{c}} > 0 and cost >= 0), 4) as p{int(q * 100)}" for q in _BOX) + " from opp"))
+def positive_box_clean(df: DataFrame) -> DataFrame:
+    return positive_box(df.where("cost >= 0"))
+
+
+@book.on_view("C15_histograms", " union all ".join(f"select '{c}' as variable, version, least(floor(({c} - lo) / nullif(hi - lo, 0) * 20), 19)::bigint as bin, count(*) as n from (select {c}, cost, v as version from opp, unnest(['raw', 'clean']) t(v) where {c} is not null and (v = 'raw' or cost >= 0)), (select min({c}) as lo, max({c}) as hi from opp) group by 2, 3" for c in AMOUNTS))
+def histograms(df: DataFrame, bins: int = 20) -> DataFrame:
+    """Equal-width bins of every amount over its raw range, before and after cleaning."""
+    ends = df.agg(*(f(c).alias(f"{n}_{c}") for c in AMOUNTS for n, f in (("lo", F.min), ("hi", F.max))))
+    at = lambda c: F.least(F.floor((F.col(c) - F.col(f"lo_{c}")) / F.expr(f"nullif(hi_{c} - lo_{c}, 0)") * bins), F.lit(bins - 1)).cast("long")
+    cells = F.array(*(F.struct(F.lit(c).alias("variable"), F.lit(v).alias("version"), F.when(F.col(c).isNotNull() & ok, F.lit(True)).alias("use"), at(c).alias("bin")) for c in AMOUNTS for v, ok in (("raw", F.lit(True)), ("clean", F.col("cost") >= 0))))
+    return df.crossJoin(F.broadcast(ends)).select(F.explode(cells).alias("r")).where("r.use").groupBy("r.variable", "r.version", "r.bin").agg(F.count("*").alias("n"))
+
+
+#: coefficients of a rational approximation of the normal quantile (central part, then tails)
+_NORMAL = ((-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239), (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572), (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783), (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416))
+
+
+def normal_quantile(p):
+    """The value below which a standard normal lies with probability p, as a column expression."""
+    a, b, c, d = _NORMAL
+    poly = lambda q, ks: sum((F.lit(k) * F.pow(q, F.lit(len(ks) - 1 - i)) for i, k in enumerate(ks)), F.lit(0.0))
+    tail = lambda q: poly(q, c) / poly(q, (*d, 1.0))
+    mid, low, high = p - 0.5, F.sqrt(-2 * F.ln(p)), F.sqrt(-2 * F.ln(1 - p))
+    r = mid * mid
+    return F.when(p < 0.02425, tail(low)).when(p > 1 - 0.02425, -tail(high)).otherwise(mid * poly(r, a) / poly(r, (*b, 1.0)))
+
+
+@book.on_view("C16_qq")
+def qq(df: DataFrame, col: str = "revenue", points: int = 100) -> DataFrame:
+    """Normal QQ points of the logarithm: as many quantiles as points, against the normal ones, from the range-partitioned counts."""
+    logs = df.where(F.col(col) > 0).select(F.ln(col).alias("v"))
+    wide = quantile_row(logs, {f"q{i}": ("v", (i + 0.5) / points) for i in range(points)})
+    rows = wide.select(F.explode(F.array(*(F.struct(F.lit((i + 0.5) / points).alias("p"), F.col(f"q{i}").alias("sample")) for i in range(points)))).alias("r")).select("r.*")
+    return rows.select("p", F.round(normal_quantile(F.col("p")), 6).alias("normal"), F.round("sample", 6).alias("sample"))
+
+
+@book.on_view("E1_side_counts", "with " + ", ".join(_F(c, 1.5) for c in AMOUNTS) + " " + _each(AMOUNTS, "select '{c}' as variable, count(*) filter ({c} < lo) as low, count(*) filter ({c} > hi) as high from opp, f_{c}"))
+def side_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    cols = cols or AMOUNTS
+    n = lambda cond: F.count(F.when(cond, 1))
+    wide = df.crossJoin(F.broadcast(fences(df, cols))).agg(*(x for c in cols for x in (n(F.col(c) < F.col(f"{c}__lo")).alias(f"{c}__low"), n(F.col(c) > F.col(f"{c}__hi")).alias(f"{c}__high"))))
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(f"{c}__low").alias("low"), F.col(f"{c}__high").alias("high")) for c in cols))).alias("r")).select("r.*")
+
+
+@book.on_view("E1_cleaned", "with " + ", ".join(_F(c, 1.5) for c in AMOUNTS) + " select code, revenue from opp" + "".join(f", f_{c}" for c in AMOUNTS) + " where " + " and ".join(f"coalesce({c} between f_{c}.lo and f_{c}.hi, true)" for c in AMOUNTS))
+def without_outliers(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """The table less the rows with an outlying amount."""
+    cols = cols or AMOUNTS
+    inside = [F.coalesce(F.col(c).between(F.col(f"{c}__lo"), F.col(f"{c}__hi")), F.lit(True)) for c in cols]
+    out = df.crossJoin(F.broadcast(fences(df, cols)))
+    for ok in inside:
+        out = out.where(ok)
+    return out.select("code", "revenue")

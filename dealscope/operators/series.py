@@ -98,3 +98,41 @@ def folds(df: DataFrame, splits: int = 5) -> DataFrame:
 @book.on_view("F12_asof", f"with {_M} select s, p, round(last_value(y ignore nulls) over (partition by s order by p rows between unbounded preceding and current row), 4) as pred from m")
 def asof(df: DataFrame) -> DataFrame:
     return monthly(df).select("s", "p", F.round(F.last("y", True).over(Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)), 4).alias("pred"))
+
+
+_QUARTERS = """m as (select opp_type as s, last_day((date_trunc('quarter', closing_at) + interval 2 month)::date) as p, sum(revenue) as y from opp where closing_at is not null group by 1, 2)"""
+
+
+@book.on_view("F4_lags_quarter", f"with {_QUARTERS}, l as (select s, p, y, " + ", ".join(f"lag(y, {i}) over (partition by s order by p) as lag{i}" for i in (1, 2)) + " from m) select s, strftime(p, '%Y-%m-%d') as p, quarter(p)::int as quarter, round(y, 4) as y, round(lag1, 4) as lag1, round(lag2, 4) as lag2 from l where lag2 is not null")
+def lags_quarter(df: DataFrame) -> DataFrame:
+    m = df.where("closing_at is not null").groupBy(F.col("opp_type").alias("s"), period_end("closing_at", "quarter").alias("p")).agg(F.sum("revenue").alias("y"))
+    return lag_features(m, 2).select("s", F.date_format("p", "yyyy-MM-dd").alias("p"), F.quarter("p").alias("quarter"), *(F.round(c, 4).alias(c) for c in ("y", "lag1", "lag2")))
+
+
+@book.on_view("F4_lags_year", "with m as (select opp_type as s, year(closing_at)::int as year, sum(revenue) as y from opp where closing_at is not null group by 1, 2), l as (select *, lag(y) over (partition by s order by year) as lag1 from m) select s, year, round(y, 4) as y, round(lag1, 4) as lag1 from l where lag1 is not null")
+def lags_year(df: DataFrame) -> DataFrame:
+    m = df.where("closing_at is not null").groupBy(F.col("opp_type").alias("s"), F.year("closing_at").alias("year")).agg(F.sum("revenue").alias("y"))
+    return lag_features(m, 1, order="year").select("s", "year", *(F.round(c, 4).alias(c) for c in ("y", "lag1")))
+
+
+@book.on_view("F5_with_target", f"with {_I}, t as (select s, p, count(*) as n from (select opp_type as s, strftime(last_day(closing_at::date), '%Y-%m-%d') as p from opp where closing_at is not null) group by 1, 2) select s, p, n as target, round(y, 5) as exog from t join f using (s, p)")
+def with_target(df: DataFrame) -> DataFrame:
+    """Monthly counts as the target, with the interpolated revenue of the same periods beside them."""
+    target = df.where("closing_at is not null").groupBy(F.col("opp_type").alias("s"), F.date_format(period_end("closing_at", "month"), "yyyy-MM-dd").alias("p")).agg(F.count("*").alias("target"))
+    return target.join(interpolate(monthly(df)).select("s", "p", F.round("y", 5).alias("exog")), ["s", "p"])
+
+
+@book.on_view("F6_scaled_sequences", f"with {_I}, z as (select s, p, coalesce((y - min(y) over (partition by s)) / nullif(max(y) over (partition by s) - min(y) over (partition by s), 0), 0) as y from f), w as (select s, p, y, list(round(y, 4)) over (partition by s order by p rows between 6 preceding and 1 preceding) as x from z) select s, p, round(y, 4) as label, list_sum(list_transform(x, lambda v, i: round(v * i, 4))) as weighted, len(x) as width from w where len(x) = 6")
+def scaled_sequences(df: DataFrame, width: int = 6) -> DataFrame:
+    """Min-max scaled windows with the next value as label; the window is shown by its length and position-weighted sum."""
+    out = windows(df, width)
+    weighted = F.aggregate(F.transform("x", lambda v, i: F.round(v * (i + 1), 4)), F.lit(0.0), lambda a, v: a + v)
+    return out.select("s", "p", F.round("label", 4).alias("label"), weighted.alias("weighted"), F.size("x").cast("long").alias("width"))
+
+
+def windows(df: DataFrame, width: int = 6) -> DataFrame:
+    """(s, p, x, label): arrays of the scaled values before each point."""
+    own = Window.partitionBy("s")
+    z = interpolate(monthly(df)).withColumn("y", F.coalesce(F.try_divide(F.col("y") - F.min("y").over(own), F.max("y").over(own) - F.min("y").over(own)), F.lit(0.0)))
+    w = own.orderBy("p").rowsBetween(-width, -1)
+    return z.select("s", "p", F.col("y").alias("label"), F.collect_list(F.round("y", 4)).over(w).alias("x")).where(F.size("x") == width)
