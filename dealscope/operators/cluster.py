@@ -35,7 +35,8 @@ def labels(df: DataFrame, algorithm: str, k: int, seed: int = 7) -> DataFrame:
         near = neighbours(df, 10).select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst"), (1 / (1 + F.col("distance"))).alias("weight")).distinct()
         found = PowerIterationClustering(k=k, maxIter=15, weightCol="weight").assignClusters(near)
         return df.select("id", "x").join(found.select("id", F.col("cluster").cast("long").alias("label")), "id")
-    v = df.select("id", "x").withColumn("v", array_to_vector("x"))
+    # the bisecting kind splits along the length of the centre, so centred points are moved away from the origin
+    v = df.select("id", "x").withColumn("v", array_to_vector(F.transform("x", lambda c: c + 1)))
     made = {"kmeans": KMeans(featuresCol="v", k=k, seed=seed), "gmm": GaussianMixture(featuresCol="v", k=k, seed=seed, maxIter=30), "bisecting": BisectingKMeans(featuresCol="v", k=k, seed=seed)}[algorithm]
     return made.fit(v).transform(v).select("id", "x", F.col("prediction").cast("long").alias("label"))
 

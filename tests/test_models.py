@@ -61,7 +61,7 @@ def test_cluster_quality_and_sweep(blobs):
     _, df = blobs
     rows = {r[1]: r for r in cluster.curve(df, "kmeans", (2, 3, 4))}
     assert max(rows, key=lambda k: rows[k][2]) == 3 and rows[3][2] > 0.85 and rows[3][3] <= rows[3][2] <= rows[3][4]
-    for a in ("gmm", "graph"):
+    for a in ("gmm", "graph", "bisecting"):
         got = cluster.labels(df, a, 3).join(df.select("id", F.col("label").alias("true")), "id").groupBy("true").agg(F.count_distinct("label").alias("n")).collect()
         assert all(r["n"] == 1 for r in got), a
     best = cluster.best_k(df.sparkSession.createDataFrame(list(rows.values()), cluster.CURVE)).first()
