@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from dealscope.llm import decontaminate, line_templates, ngram_join, packing, quality
 from dealscope.llm.shared import drop, owned, release, stored, table
 
-OWNER = "pipeline stages"
+OWNER, BATCH = "pipeline stages", 4000
 
 
 def _stage(f):
     @functools.wraps(f)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark, OWNER)
+        # whole texts travel in these batches, and the stages share their executors with all that went before
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
         with owned(OWNER):
             return f(spark, docs, sf_dir)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .shared import bitmap, components, drop, in_bitmap, stored, table
 
-SHINGLE, THRESHOLD, UNIT, SHARE, FRAGMENTS = 4, 85, 2_000_000, 1 / 3, 4
+SHINGLE, THRESHOLD, UNIT, SHARE, FRAGMENTS = 4, 85, 500_000, 1 / 3, 4
 
 
 def _sets(column, k: int):
