@@ -158,7 +158,11 @@ def _as_bitmap(found: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _suffixes(docs: DataFrame, known: tuple[np.ndarray, int], sides: tuple[np.ndarray, int]) -> DataFrame:
-    """(h, ctx, doc, tid, j, n, a, bytes): runs of windows whose minimizer and one side pass the bitmaps."""
+    """(h, ctx, doc, tid, j, n, a, bytes): runs of windows whose minimizer and one side pass the bitmaps.
+
+    Of runs with equal surroundings in a slice only those of its smallest doc go on; the others are settled here, and travel
+    with a below 0, without bytes, under keys of their own, so that no common passage gathers its documents in one task.
+    """
     near = docs.sparkSession.sparkContext.broadcast((known, sides))
 
     def work(batches):
@@ -170,12 +174,19 @@ def _suffixes(docs: DataFrame, known: tuple[np.ndarray, int], sides: tuple[np.nd
             k, there = _side_keys(data, off, row[ok], (j + a)[ok])
             ok = ok[(there[0] & in_bitmap(bits2, k[0], n2)) | (there[1] & in_bitmap(bits2, k[1], n2))]
             row, j, n, a, h = row[ok], j[ok], n[ok], a[ok], h[ok]
-            size = n + LENGTH - 1
+            size, doc = n + LENGTH - 1, b.column(0).to_numpy()[row]
             ctx = tk.mix(tk.span_hash(data, j, j + size) + a.astype(np.uint64)) if len(j) else h
+            order = np.lexsort((doc, ctx, h))
+            first = tk.starts(h[order], ctx[order])
+            least = doc[order][first][np.cumsum(first) - 1]
+            done = np.zeros(len(j), bool)
+            done[order] = doc[order] > least
+            size, a = np.where(done, 0, size), np.where(done, -1, a)
+            h = np.where(done, tk.mix(doc.view(np.uint64) + j.astype(np.uint64)), h)
             flat = data[np.repeat(j - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
             blob = pa.Array.from_buffers(pa.binary(), len(j), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(j - off[row]), pa.array(n.astype(np.int32)), pa.array(a.astype(np.int32)), blob],
+                [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(doc), b.column(1).take(pa.array(row)), pa.array(j - off[row]), pa.array(n.astype(np.int32)), pa.array(a.astype(np.int32)), blob],
                 ["h", "ctx", "doc", "tid", "j", "n", "a", "bytes"],
             )
 
@@ -279,6 +290,13 @@ def _settled(batches, most: int, at_once: int):
             continue
         h, ctx, doc, tid, j, n, a = (b.column(i).to_numpy() for i in range(7))
         data, off = _bytes_of(b.column(7))
+        sure = a < 0
+        if sure.any():
+            yield _rows_out(doc[sure], tid[sure], j[sure], j[sure] + n[sure] - 1)
+            ctx = ctx[~sure]
+            h, doc, tid, j, n, a, data, off = some((h, doc, tid, j, n, a, data, off), np.flatnonzero(~sure))
+            if not len(h):
+                continue
         new = tk.starts(h, ctx)
         if key == (h[0], ctx[0]):
             new[0] = False
