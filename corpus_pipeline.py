@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from dealscope.llm import decontaminate, line_templates, ngram_join, packing, quality
 from dealscope.llm.shared import drop, owned, release, stored, table
 
-OWNER, BATCH = "pipeline stages", 4000
+OWNER, BATCH = "pipeline stages", 2000
 
 
 def _stage(f):

@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 19
+# batches of whole texts come and go in long-lived workers: freed memory goes back to the system, not into a pool's caches
+pa.set_memory_pool(pa.system_memory_pool())
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
