@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from pathlib import Path
 
-from . import compact_windows, decontaminate, html_text, language, line_templates, ngram_join, packing, pii, quality, suffix_dedup
+from . import compact_windows, covering_lsh, decontaminate, html_text, language, line_templates, ngram_join, packing, pii, quality, source_audit, suffix_dedup, vector_codes
 
 
 def pipeline(spark, sf_dir):
@@ -40,8 +40,17 @@ QUERIES = {
         compact_windows.op8_compact_windows,
         ngram_join.op9_ngram_join,
         decontaminate.op10_decontaminate,
+        vector_codes.op11_vector_codes,
+        source_audit.op12_source_divergence,
+        covering_lsh.op13_covering_simhash,
         pipeline,
     )
 }
 
-ORACLE = {"op4_suffix_dedup": suffix_dedup.ORACLE, "op9_ngram_join": ngram_join.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+ORACLE = {
+    "op4_suffix_dedup": suffix_dedup.ORACLE,
+    "op9_ngram_join": ngram_join.ORACLE,
+    "op10_decontaminate": decontaminate.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op12_source_divergence": source_audit.ORACLE,
+}
