@@ -151,7 +151,7 @@ def test_perfect_hash_keeps_its_keys_apart():
         return source_audit.Lexicon(shards), source_audit.Lexicon(shards).slots("en", pa.array(asked, pa.large_string()), of)
 
     rng = np.random.default_rng(4)
-    h = rng.integers(0, 2**60, 3000, dtype=np.uint64) * np.uint64(3)  # dealt to three shards + np.tile(np.arange(3, dtype=np.uint64), 1000)
+    h = rng.integers(0, 2**60, 3000, dtype=np.uint64) * np.uint64(3) + np.tile(np.arange(3, dtype=np.uint64), 1000)  # dealt to three shards
     keys = np.array([f"k{i}" for i in range(3000)], object)
     lexicon, slots = lookup(h, keys, list(keys) + ["other", "k0"], np.append(h, [h[5], h[7]]).astype(np.uint64))
     assert sorted(slots[:3000]) == list(range(3000)) and lexicon.keys.take(pa.array(slots[:3000])).to_pylist() == list(keys)
