@@ -45,8 +45,8 @@ _ODD = re.compile(r"\s (?:\s|$)")
 class _Words:
     """Ids of words, end to end; words are found by a dictionary of their numbers."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, cache: int = CACHE):
+        self.encode, self.cache = encode, cache
         self.clear([], np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
     def clear(self, words: list[str], size: np.ndarray, ids: np.ndarray) -> None:
@@ -60,7 +60,7 @@ class _Words:
         """Numbers of words that are all different."""
         self.clock += 1
         found = list(map(self.number.get, words))
-        if found.count(None) + len(self.number) > CACHE and len(self.number) > CACHE // 2:
+        if found.count(None) + len(self.number) > self.cache and len(self.number) > self.cache // 2:
             self._forget()
             found = list(map(self.number.get, words))
         new = [i for i, n in enumerate(found) if n is None]
@@ -78,7 +78,7 @@ class _Words:
         return out
 
     def _forget(self) -> None:
-        keep = np.sort(np.argsort(-self.used, kind="stable")[: CACHE // 2])
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.cache // 2])
         words = list(self.number)
         size = self.size[keep]
         self.clear([words[i] for i in keep], size, self.ids[_ranges(self.start[keep], size)])
@@ -90,9 +90,9 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat((start - np.cumsum(size) + size).astype(kind), size) + np.arange(int(size.sum()), dtype=kind)
 
 
-def _encoder(path: str):
+def _encoder(path: str, cache: int = CACHE):
     """Texts to their ids, end to end, and n + 1 bounds: as the tokenizer gives for whole texts."""
-    if path not in _state:
+    if (path, cache) not in _state:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -123,8 +123,8 @@ def _encoder(path: str):
             size[~simple], start[~simple] = rest_size, len(ids) + np.cumsum(rest_size) - rest_size
             return np.concatenate([ids, rest_ids])[_ranges(start, size)], size
 
-        _state[path] = plain, added, _Words(one_by_one), _Words(spaced)
-    plain, added, first, rest = _state[path]
+        _state[path, cache] = plain, added, _Words(one_by_one, cache), _Words(spaced, cache)
+    plain, added, first, rest = _state[path, cache]
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         n = len(texts)
@@ -156,14 +156,14 @@ def _encoder(path: str):
     return encode
 
 
-def token_lengths(documents: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
+def token_lengths(documents: DataFrame, tokenizer: str, length: int = LENGTH, cache: int = CACHE, slice_bytes: int = SLICE) -> DataFrame:
     """doc_id, doc_tokens, the crc32 of the ids of each full stretch and of the rest, and the row's bucket with its rank among
     the rests of that length and the full stretches before it."""
 
     def work(batches):
-        encode = _encoder(tokenizer)
+        encode = _encoder(tokenizer, cache)
         bucket, seen, full, rows = TaskContext.get().partitionId() * _BUCKETS, np.zeros(length, np.int64), 0, 0
-        for b in tk.slices(batches, limit=SLICE):
+        for b in tk.slices(batches, limit=slice_bytes):
             ids, bounds = encode(pc.fill_null(b.column(1), "").cast(pa.string()))
             ids, bounds = np.insert(ids, bounds[1:], 0).astype("<u4"), bounds + np.arange(len(bounds))
             size = np.diff(bounds)
@@ -302,10 +302,13 @@ def _slots(sizes: np.ndarray, patterns: list[tuple[np.ndarray, int]]) -> dict[in
     return {s: np.array(v, np.int64).reshape(-1, 3) for s, v in rows.items()} | {0: np.array([[0, seq, 0]])}
 
 
-def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, cache: int = CACHE, slice_bytes: int = SLICE) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    A task holds ``cache`` words and works on ``slice_bytes`` of text at a time: less memory for more time, the same result.
+    """
     spark = documents.sparkSession
-    docs = stored(token_lengths(documents, tokenizer, length)).withColumn("item", (F.col("doc_tokens") % length).cast("int")).withColumn("full", F.floor(F.col("doc_tokens") / length))
+    docs = stored(token_lengths(documents, tokenizer, length, cache, slice_bytes)).withColumn("item", (F.col("doc_tokens") % length).cast("int")).withColumn("full", F.floor(F.col("doc_tokens") / length))
     by = stored(docs.groupBy("bucket", "item").agg(F.count("*").alias("n"), F.sum("full").alias("full")))
     hist = by.where("item > 0").groupBy("item").agg(F.sum("n").alias("n")).orderBy("item").collect()  # at most length - 1 rows
     sizes, demand = np.array([r["item"] for r in hist], np.int64), np.array([r["n"] for r in hist], np.int64)

@@ -11,10 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
 SLICE_BYTES = 1 << 19
-# batches of whole texts come and go in long-lived workers: freed memory goes back to the system, not into a pool's caches
-pa.set_memory_pool(pa.system_memory_pool())
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -40,6 +39,8 @@ LOWER[65:91] += 32
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``limit`` bytes in each."""
+    if TaskContext.get():  # whole texts come and go in long-lived workers, whose freed memory goes back to the system; the driver's pool stays as it is
+        pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         if not batch.num_rows:
             continue
