@@ -21,17 +21,23 @@ from pyspark.sql import functions as F
 from dealscope.llm import decontaminate, line_templates, ngram_join, packing, quality
 from dealscope.llm.shared import drop, owned, release, stored, table
 
-OWNER, BATCH = "pipeline stages", 2000
+OWNER, BATCH, BATCHES = "pipeline stages", 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: packing runs last, on executors whose heaps are full: words that a task keeps, and bytes of text it works on at a time
+WORDS, SLICE = 250_000, 1 << 20
 
 
 def _stage(f):
     @functools.wraps(f)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark, OWNER)
-        # whole texts travel in these batches, and the stages share their executors with all that went before
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
-        with owned(OWNER):
-            return f(spark, docs, sf_dir)
+        # whole texts travel in these batches while the stage works, and the stages share their executors with all that went before
+        before = spark.conf.get(BATCHES)
+        spark.conf.set(BATCHES, str(BATCH))
+        try:
+            with owned(OWNER):
+                return f(spark, docs, sf_dir)
+        finally:
+            spark.conf.set(BATCHES, before)
 
     return call
 
@@ -73,7 +79,7 @@ def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row per piece of a packed sequence."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=WORDS, slice_bytes=SLICE)
 
 
 STAGES = [
