@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..plans.roles import AMOUNTS, LEVELS, Book, read
 from .factor import GROUPS, _mixed, _whole, famd, mca, mfa, trustworthiness, versions
-from .vectors import axes, centroid_scores, cut, dunn, moments, neighbours, pair_stats, projected, silhouettes
+from .density import dbscan
+from .neighbour_join import neighbours
+from .vectors import axes, centroid_scores, cut, dunn, moments, pair_stats, projected, silhouettes, squared_silhouettes
 
 book = Book()
 KS = (2, 3, 4)
@@ -107,42 +109,23 @@ def labels_by_k(spark, sf_dir) -> DataFrame:
     return out
 
 
-def spanning_labels(edges: DataFrame) -> DataFrame:
-    """(id, label): the smallest id that edges (a, b) reach; labels fall to those of neighbours, then to the labels of labels, until none falls."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")))
-    while True:
-        near = both.join(label.select(F.col("id").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("id")).agg(F.min("l").alias("l"))
-        step = label.join(near, "id").select("id", F.least("label", "l").alias("label"))
-        new = cut(step.join(label.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label")))
-        if not new.join(label.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count():
-            return new
-        label = new
+_CORE = "near as (select a.id, b.id as other from p a join p b on list_distance(a.x, b.x) <= {eps}), core as (select id from near group by 1 having count(*) >= 5) select p.id, case when p.id in (select id from core) then 'core' when exists (select 1 from near join core on core.id = near.other where near.id = p.id) then 'border' else 'noise' end as kind from p"
+_FLAT = "with p as (select vec_id as id, embedding[1:{d}]::double[] as x from embeddings), "
+_CLUSTERS = _FLAT.replace("with p", "with recursive p") + """near as (select a.id, b.id as other from p a join p b on list_distance(a.x, b.x) <= {eps}), core as (select id from near group by 1 having count(*) >= 5),
+  edge as (select n.id, n.other from near n join core a on a.id = n.id join core b on b.id = n.other), reach as (select id, id as r from core union select reach.id, edge.other from reach join edge on edge.id = reach.r),
+  label as (select id, min(r) as label from reach group by 1), border as (select n.id, min(l.label) as label from near n join label l on l.id = n.other group by 1)
+  select p.id, coalesce(l.label, b.label, -1)::bigint as label from p left join label l on l.id = p.id left join border b on b.id = p.id"""
 
+for _name, _d, _eps in (("H5_dbscan_kinds", 2, 0.2), ("H5_dbscan_kinds_5d", 5, 0.45)):
 
-def dbscan(df: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
-    """(id, x, kind, label) of points (id, x): pairs within eps from a join of neighbouring grid cells, core points by count, clusters of core points by their smallest id; border points take the least such cluster, noise is -1."""
-    cell = lambda i: F.floor(F.col("x")[i] / eps)
-    a = df.select("id", "x", cell(0).alias("c0"), cell(1).alias("c1"))
-    b = a.select(F.col("id").alias("other"), F.col("x").alias("y"), *(F.explode(F.array(*(F.col(c) + d for d in (-1, 0, 1)))).alias(c) if c == "c0" else F.col(c) for c in ("c0", "c1")))
-    b = b.select("other", "y", "c0", F.explode(F.array(*(F.col("c1") + d for d in (-1, 0, 1)))).alias("c1"))
-    gap = F.aggregate(F.zip_with("x", "y", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
-    near = cut(a.join(b, ["c0", "c1"]).where(gap <= eps * eps).select("id", "other"))
-    core = near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("id")
-    linked = near.join(core, "id").join(core.withColumnRenamed("id", "other"), "other")
-    cluster = spanning_labels(linked.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    border = near.join(cluster.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("near_label"))
-    out = df.select("id", "x").join(cluster, "id", "left").join(border, "id", "left")
-    kind = F.when(F.col("label").isNotNull(), "core").when(F.col("near_label").isNotNull(), "border").otherwise("noise")
-    return out.select("id", "x", kind.alias("kind"), F.coalesce("label", "near_label", F.lit(-1).cast("long")).alias("label"))
+    @book.on_tables(_name, _FLAT.format(d=_d) + _CORE.format(eps=_eps))
+    def dbscan_kinds(spark, sf_dir, d: int = _d, eps: float = _eps) -> DataFrame:
+        return dbscan(embedded(spark, sf_dir).withColumn("x", F.slice("x", 1, d)), eps).select("id", "kind")
 
 
-_FLAT = "p as (select vec_id as id, embedding[1]::double as x, embedding[2]::double as y from embeddings)"
-
-
-@book.on_tables("H5_dbscan_kinds", f"with {_FLAT}, near as (select a.id, b.id as other from p a join p b on (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 0.2 * 0.2), core as (select id from near group by 1 having count(*) >= 5) select p.id, case when p.id in (select id from core) then 'core' when exists (select 1 from near join core on core.id = near.other where near.id = p.id) then 'border' else 'noise' end as kind from p")
-def dbscan_kinds(spark, sf_dir, eps: float = 0.2) -> DataFrame:
-    return dbscan(embedded(spark, sf_dir).withColumn("x", F.slice("x", 1, 2)), eps).select("id", "kind")
+@book.on_tables("H5_dbscan_labels", _CLUSTERS.format(d=5, eps=0.45))
+def dbscan_labels(spark, sf_dir) -> DataFrame:
+    return dbscan(embedded(spark, sf_dir).withColumn("x", F.slice("x", 1, 5)), 0.45).select("id", "label")
 
 
 @book.on_tables("H5_dbscan_sweep")
@@ -162,7 +145,7 @@ def dbscan_sweep(spark, sf_dir, radii=(0.3, 0.4, 0.5, 0.6, 0.7, 0.8)) -> DataFra
     return _round(spark.createDataFrame([(*r, r[0] == best) for r in rows], "eps double, clusters long, noise long, silhouette double, best boolean"))
 
 
-_D = "s as (select vec_id as id, label::bigint as label, embedding::double[] as x from embeddings where label is not null order by md5(vec_id::varchar), vec_id limit 1000), d as (select a.id, a.label, b.label as other, list_distance(a.x, b.x) as d from s a join s b on a.id <> b.id)"
+_D = "s as (select vec_id as id, label::bigint as label, embedding::double[] as x from embeddings where label is not null), d as (select a.id, a.label, b.label as other, list_distance(a.x, b.x) as d from s a join s b on a.id <> b.id)"
 _SIL = f"{_D}, m as (select id, label, other, avg(d) as m from d group by 1, 2, 3), ab as (select id, label, max(m) filter (other = label) as a, min(m) filter (other <> label) as b from m group by 1, 2), sil as (select id, label, coalesce((b - a) / greatest(a, b), 0) as silhouette from ab)"
 
 
@@ -171,6 +154,18 @@ def silhouette_points(spark, sf_dir) -> DataFrame:
     return _round(silhouettes(pair_stats(embedded(spark, sf_dir))), 4)
 
 
+_SQUARED = """with e as (select vec_id as id, label::bigint as label, unnest(embedding::double[]) as v, unnest(range(len(embedding))) as j from embeddings where label is not null), p as (select id, label, sum(v * v) as q from e group by 1, 2),
+  m as (select label as other, count(*) as n, sum(q) as q from p group by 1), c as (select label as other, j, sum(v) as s from e group by 1, 2), x as (select e.id, c.other, sum(e.v * c.s) as d from e join c using (j) group by 1, 2),
+  t as (select p.id, p.label, m.other, m.n, greatest(m.n * p.q - 2 * x.d + m.q, 0) as t from p join x using (id) join m using (other)), ab as (select id, label, max(t / (n - 1)) filter (other = label and n > 1) as a, min(t / n) filter (other <> label) as b from t group by 1, 2)
+  select id, label, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 4) as silhouette from ab"""
+
+
+@book.on_tables("H7_silhouette_squared", _SQUARED)
+def squared_points(spark, sf_dir) -> DataFrame:
+    """Silhouettes with squared distances: exact for every row at any size."""
+    return _round(squared_silhouettes(embedded(spark, sf_dir)), 4)
+
+
 @book.on_tables("H7_quality", f"""with {_SIL}, e as (select vec_id as id, label, unnest(embedding::double[]) as v, unnest(range(len(embedding))) as j from embeddings), c as (select label, j, avg(v) as c from e group by 1, 2), g as (select j, avg(v) as g from e group by 1),
   n as (select label, count(*) as n from embeddings group by 1), p as (select e.id, e.label, sqrt(sum((v - c) ** 2)) as d, sum((v - c) ** 2) as w from e join c using (label, j) group by 1, 2), b as (select sum(n * (c - g) ** 2) as b from c join g using (j) join n using (label)),
   sp as (select label, avg(d) as s from p group by 1), r as (select x.label, max((x.s + y.s) / d) as r from sp x join sp y on x.label <> y.label join (select a.label as la, b.label as lb, sqrt(sum((a.c - b.c) ** 2)) as d from c a join c b using (j) group by 1, 2) q on q.la = x.label and q.lb = y.label group by 1)
@@ -187,12 +182,12 @@ def quality(spark, sf_dir) -> DataFrame:
 
 @book.on_tables("H9_intra_inter", f"with {_D}, s2 as (select id, label, x[1:2] as x from s), d2 as (select a.id, a.label, b.label as other, list_distance(a.x, b.x) as d from s2 a join s2 b on a.id <> b.id) select space, round(avg(d) filter (label = other), 4) as intra, round(avg(d) filter (label <> other), 4) as inter from (select 'original' as space, label, other, d from d union all select 'reduced', label, other, d from d2) group by 1")
 def intra_inter(spark, sf_dir) -> DataFrame:
-    """Mean distances within and between clusters, in all dimensions and in two, from the pair statistics of the sample."""
+    """Mean distances within and between clusters, in all dimensions and in two, over every row."""
     e, out = embedded(spark, sf_dir), None
     for name, d in (("original", e), ("reduced", e.withColumn("x", F.slice("x", 1, 2)))):
-        same = F.col("label") == F.col("other")
-        mean = lambda c: F.sum(F.when(c, F.col("total"))) / F.sum(F.when(c, F.col("n")))
-        part = pair_stats(d).agg(F.round(mean(same), 4).alias("intra"), F.round(mean(~same), 4).alias("inter")).select(F.lit(name).alias("space"), "intra", "inter")
+        same = F.col("label") == F.col("c.other")
+        mean = lambda c: F.sum(F.when(c, F.col("c.total"))) / F.sum(F.when(c, F.col("c.n")))
+        part = pair_stats(d).select("label", F.explode("clusters").alias("c")).agg(F.round(mean(same), 4).alias("intra"), F.round(mean(~same), 4).alias("inter")).select(F.lit(name).alias("space"), "intra", "inter")
         out = part if out is None else out.union(part)
     return out
 

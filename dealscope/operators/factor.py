@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..plans.roles import AMOUNTS, LEVELS, Book, read
 from .clean import standardise
-from .vectors import axes, hash_sample, moments, neighbours, projected
+from .neighbour_join import neighbours
+from .vectors import axes, hash_sample, moments, projected
 
 book = Book()
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..plans.roles import Book
 from .pipelines import labelled, lead_features
-from .vectors import cut, neighbours
+from .neighbour_join import neighbours
+from .vectors import cut
 
 book = Book()
 _S = "s as (select doc_id as id, quality as y, toxic as x from labels)"
