@@ -107,6 +107,25 @@ def quantile_row(df: DataFrame, wanted: dict) -> DataFrame:
     return spark.createDataFrame([tuple(row)], ", ".join(f"`{a}` double" for a in wanted))
 
 
+def running_sums(df: DataFrame, order: str, sums: dict[str, str], ascending: bool = True) -> DataFrame:
+    """``df`` with running totals (alias -> column) in the order of a column without repeated values.
+
+    Rows are dealt by range and stored (a job while the plan is built, like ``quantile_row``); one row of totals per partition tells what stands
+    before it, and a window adds up inside a partition only. No task holds more than its range.
+    """
+    by = F.col(order).asc() if ascending else F.col(order).desc()
+    dealt = cut(df.repartitionByRange(by).select("*", F.spark_partition_id().alias("_part")))
+    before, offsets = [0] * len(sums), []
+    for r in dealt.groupBy("_part").agg(*(F.sum(c).alias(a) for a, c in sums.items())).orderBy("_part").collect():  # one row per partition
+        offsets.append((r["_part"], *before))
+        before = [b + (r[a] or 0) for b, a in zip(before, sums)]
+    kinds = dict(dealt.agg(*(F.sum(c).alias(a) for a, c in sums.items())).dtypes)
+    known = df.sparkSession.createDataFrame(offsets, ", ".join(["_part int", *(f"`_{a}` {kinds[a]}" for a in sums)]))
+    w = Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = dealt.join(F.broadcast(known), "_part").withColumns({a: F.col(f"_{a}") + F.sum(c).over(w) for a, c in sums.items()})
+    return run.drop("_part", *(f"_{a}" for a in sums))
+
+
 def wide_to_long(df: DataFrame, columns: list[str], stats: dict, key: str = "variable") -> DataFrame:
     """One aggregate over all columns in one scan, then one row per column."""
     wide = df.agg(*(f(c).alias(f"{c}__{s}") for c in columns for s, f in stats.items()))

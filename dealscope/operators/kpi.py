@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import days, flag, period_end, quarter
+from ..functions.columns import any_flag, cut, days, flag, period_end, quantile_row, quarter, rounded
 from ..plans.roles import STATUSES, Book
 
 book = Book()
@@ -103,10 +103,10 @@ _R = "r as (select revenue / budget as r from opp where budget > 0), t as (selec
 
 @book.on_view("D12_ratio_describe", f"with {_R} select count(*) as n, round(avg(r), 3) as mean, round(stddev_samp(r), 3) as std, " + ", ".join(f"round(quantile_cont(r, {q}), 3) as p{int(q * 100)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95)) + " from t")
 def ratio_describe(df: DataFrame) -> DataFrame:
-    r = df.where("budget > 0").select((F.col("revenue") / F.col("budget")).alias("r"))
-    cut = r.agg(F.percentile("r", F.lit(0.99)).alias("cut"))
-    r = r.crossJoin(F.broadcast(cut)).where("r <= cut")
-    return r.agg(F.count("*").alias("n"), F.round(F.avg("r"), 3).alias("mean"), F.round(F.stddev("r"), 3).alias("std"), *(F.round(F.percentile("r", F.lit(q)), 3).alias(f"p{int(q * 100)}") for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95)))
+    r = cut(df.where("budget > 0").select((F.col("revenue") / F.col("budget")).alias("r")))
+    r = r.crossJoin(F.broadcast(quantile_row(r, {"most": ("r", 0.99)}))).where("r <= most").select("r")
+    q = quantile_row(r, {f"p{int(v * 100)}": ("r", v) for v in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95)})
+    return rounded(r.agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.stddev("r").alias("std")).crossJoin(F.broadcast(q)), 3)
 
 
 @book.on_view("D13_ratio_histogram", "select floor((log10(revenue / budget) + 1) / 4 * 39)::bigint as bin, count(*) as n from opp where budget > 0 and revenue / budget between 0.1 and 1000 group by 1")
@@ -128,11 +128,14 @@ def duration_box(df: DataFrame) -> DataFrame:
 
 @book.on_view("D15_duration_by_revenue_quartile", "with c as (select quantile_cont(revenue, 0.25) as a, quantile_cont(revenue, 0.5) as b, quantile_cont(revenue, 0.75) as c from opp where revenue > 0), d as (select case when revenue <= a then 1 when revenue <= b then 2 when revenue <= c.c then 3 else 4 end as quartile, floor((epoch_us(closing_at) - epoch_us(registered_at)) / 86400000000) as d from opp, c where revenue > 0) select quartile, count(*) as n, round(avg(d), 4) as mean_days, round(quantile_cont(d, 0.5), 4) as median_days from d group by 1")
 def duration_by_quartile(df: DataFrame) -> DataFrame:
+    """Quartiles of positive revenue, closed on the right; equal edges raise, since the buckets would not be four."""
     df = df.where("revenue > 0")
-    cuts = df.agg(F.percentile("revenue", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    edges = list(quantile_row(df, {f"q{i}": ("revenue", i / 4) for i in range(5)}).first())
+    if edges[0] is not None and len(set(edges)) < 5:
+        raise ValueError(f"quartile edges must be unique: {edges}")
     r = F.col("revenue")
-    bucket = F.when(r <= F.col("q")[0], 1).when(r <= F.col("q")[1], 2).when(r <= F.col("q")[2], 3).otherwise(4)
-    d = df.crossJoin(F.broadcast(cuts)).select(bucket.alias("quartile"), days("closing_at", "registered_at").alias("d"))
+    bucket = F.when(r <= edges[1], 1).when(r <= edges[2], 2).when(r <= edges[3], 3).otherwise(4)
+    d = df.select(bucket.alias("quartile"), days("closing_at", "registered_at").alias("d"))
     return d.groupBy("quartile").agg(F.count("*").alias("n"), F.round(F.avg("d"), 4).alias("mean_days"), F.round(F.percentile("d", F.lit(0.5)), 4).alias("median_days"))
 
 
@@ -208,12 +211,15 @@ def conversion_monthly(df: DataFrame, cut: str = "1997-01-01") -> DataFrame:
 
 
 _FLAGS = {"high_revenue": "revenue > 300000", "negative_cost": "cost < 0", "late": "closing_at > planned_end_at"}
+_FAMILIES = {"all_amounts": ("high_revenue", "negative_cost"), "any": tuple(_FLAGS)}
 
 
-@book.on_view("D23_flag_effect", "with w as (select * from opp where status = 'won' and closing_at is not null), e as (select last_day(closing_at::date) as m, revenue, " + ", ".join(f"coalesce({s}, false) as {k}" for k, s in _FLAGS.items()) + " from w) select strftime(m, '%Y-%m-%d') as period_end, flag, round(sum(revenue), 2) as with_flagged, round(sum(case when hit then 0 else revenue end), 2) as without_flagged from (" + " union all ".join(f"select m, revenue, '{k}' as flag, {k} as hit from e" for k in _FLAGS) + f" union all select m, revenue, 'any', {' or '.join(_FLAGS)} from e) group by 1, 2")
-def flag_effect(df: DataFrame, flags: dict | None = None) -> DataFrame:
+@book.on_view("D23_flag_effect", "with w as (select * from opp where status = 'won' and closing_at is not null), e as (select last_day(closing_at::date) as m, revenue, " + ", ".join(f"coalesce({s}, false) as {k}" for k, s in _FLAGS.items()) + " from w) select strftime(m, '%Y-%m-%d') as period_end, flag, round(sum(revenue), 2) as with_flagged, round(sum(case when hit then 0 else revenue end), 2) as without_flagged from (" + " union all ".join(f"select m, revenue, '{k}' as flag, {k} as hit from e" for k in _FLAGS) + "".join(f" union all select m, revenue, '{k}', {' or '.join(v)} from e" for k, v in _FAMILIES.items()) + ") group by 1, 2")
+def flag_effect(df: DataFrame, flags: dict | None = None, families: dict | None = None) -> DataFrame:
+    """Monthly revenue with and without the rows of each flag, and of each family of flags (any of its flags; a family without flags is left out)."""
     named = {k: flag(F.expr(v)) for k, v in (flags or _FLAGS).items()}
-    named["any"] = F.greatest(*named.values())
+    groups = families if families is not None else _FAMILIES if flags is None else {"any": tuple(flags)}
+    named |= {k: any_flag(*(named[f] for f in v)) for k, v in groups.items() if v}
     w = df.where("status = 'won' and closing_at is not null").select(period_end("closing_at", "month").alias("m"), "revenue", F.explode(F.array(*(F.struct(F.lit(k).alias("flag"), v.alias("hit")) for k, v in named.items()))).alias("f"))
     return w.groupBy(F.date_format("m", "yyyy-MM-dd").alias("period_end"), F.col("f.flag").alias("flag")).agg(F.round(F.sum("revenue"), 2).alias("with_flagged"), F.round(F.sum(F.when(F.col("f.hit"), 0).otherwise(F.col("revenue"))), 2).alias("without_flagged"))
 

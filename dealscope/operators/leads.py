@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import days
+from ..functions.columns import days, running_sums
 from ..plans.roles import Book, read
 
 book = Book()
@@ -54,10 +54,10 @@ _C = "count(*) filter (y = {y} and {op})"
     (sum(rk) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0) / (count(*) filter (y = 1) * count(*) filter (y = 0)) as auc, -avg(ln(least(greatest(case when y = 1 then p else 1 - p end, 1e-15), 1 - 1e-15))) as log_loss from r)
   select tn, fp, fn, tp, round(brier, 6) as brier, round(auc, 6) as auc, round(log_loss, 6) as log_loss, round(tp * 1.0 / (tp + fp), 6) as precision, round(tp * 1.0 / (tp + fn), 6) as recall, round(tn * 1.0 / (tn + fp), 6) as lost_recall, round(2.0 * tp / (2 * tp + fp + fn), 6) as f1 from m""")
 def metrics(spark, sf_dir) -> DataFrame:
-    """Exact AUC by average ranks over distinct scores, so the window is over score values, not rows."""
+    """Exact AUC by average ranks: running sums by range over distinct scores."""
     s = scores(spark, sf_dir)
     by = s.groupBy("p").agg(F.sum(F.col("y")).alias("pos"), F.count("*").alias("n"))
-    ranked = by.withColumn("rk", F.sum("n").over(Window.orderBy("p")) - F.col("n") + (F.col("n") + 1) / 2)
+    ranked = running_sums(by, "p", {"upto": "n"}).withColumn("rk", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     auc = ranked.agg(F.sum(F.col("rk") * F.col("pos")).alias("r"), F.sum("pos").alias("P"), F.sum("n").alias("N")).select(((F.col("r") - F.col("P") * (F.col("P") + 1) / 2) / (F.col("P") * (F.col("N") - F.col("P")))).alias("auc"))
     n = lambda y, hit, name: F.count(F.when((F.col("y") == y) & hit, 1)).alias(name)
     hit = F.col("p") > 0.5
@@ -70,9 +70,8 @@ def metrics(spark, sf_dir) -> DataFrame:
 @book.on_tables("I13_roc", f"with {_S}, b as (select p, sum(y) as pos, count(*) - sum(y) as neg from s group by 1) select round(p, 4) as threshold, round(sum(pos) over w / (select sum(pos) from b), 6) as tpr, round(sum(neg) over w / (select sum(neg) from b), 6) as fpr from b window w as (order by p desc)")
 def roc(spark, sf_dir) -> DataFrame:
     b = scores(spark, sf_dir).groupBy("p").agg(F.sum("y").alias("pos"), (F.count("*") - F.sum("y")).alias("neg"))
-    w = Window.orderBy(F.desc("p"))
     t = b.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    return b.select("p", F.sum("pos").over(w).alias("a"), F.sum("neg").over(w).alias("b")).crossJoin(F.broadcast(t)).select(F.round("p", 4).alias("threshold"), F.round(F.col("a") / F.col("all_pos"), 6).alias("tpr"), F.round(F.col("b") / F.col("all_neg"), 6).alias("fpr"))
+    return running_sums(b, "p", {"a": "pos", "b": "neg"}, ascending=False).crossJoin(F.broadcast(t)).select(F.round("p", 4).alias("threshold"), F.round(F.col("a") / F.col("all_pos"), 6).alias("tpr"), F.round(F.col("b") / F.col("all_neg"), 6).alias("fpr"))
 
 
 @book.on_tables("I14_calibration", f"with {_S} select least(floor(p * 10), 9)::bigint as bin, round(avg(p), 6) as mean_score, round(avg(y), 6) as observed, count(*) as n from s group by 1")

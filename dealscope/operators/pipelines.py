@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import days, flag
+from ..functions.columns import days, flag, quantile_row
 from ..plans.roles import AMOUNTS, DATES, Book
 from .clean import HI, LO, bucket_rare, chronological_split, copy_real_ends, impute, median_duration, null_dates, outside, standardise
 from .kpi import _CAL, period_sums
@@ -138,7 +138,7 @@ def lead_features(splits: DataFrame, amounts=("revenue", "budget", "cost"), leve
     for c in levels:
         out = bucket_rare(out, c, count=rare, other="Autre", fit=out.where("split = 'train'"))
     train = out.where("split = 'train'")
-    stats = train.agg(*(f(c).alias(f"_{n}_{c}") for c in amounts for n, f in (("q", lambda c: F.percentile(c, F.lit(0.5))),)))
+    stats = quantile_row(train, {f"_q_{c}": (c, 0.5) for c in amounts})
     full = out.crossJoin(F.broadcast(stats)).withColumns({c: F.coalesce(c, f"_q_{c}") for c in amounts})
     spread = full.where("split = 'train'").agg(*(f(c).alias(f"_{n}_{c}") for c in amounts for n, f in (("m", F.avg), ("s", F.stddev_pop))))
     full = full.crossJoin(F.broadcast(spread)).withColumns({c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(0.0) for c in amounts})
@@ -168,8 +168,8 @@ def lead_table(df: DataFrame) -> DataFrame:
 
 def winsorised_splits(splits: DataFrame, cols: list[str]) -> DataFrame:
     """Amounts cut at the 1 % and 99 % quantiles of the train split."""
-    q = splits.where("split = 'train'").agg(*(F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias(f"_{c}") for c in cols))
-    return splits.crossJoin(F.broadcast(q)).withColumns({c: F.least(F.greatest(F.col(c), F.col(f"_{c}")[0]), F.col(f"_{c}")[1]) for c in cols}).drop(*(f"_{c}" for c in cols))
+    q = quantile_row(splits.where("split = 'train'"), {f"_{n}_{c}": (c, v) for c in cols for n, v in (("lo", 0.01), ("hi", 0.99))})
+    return splits.crossJoin(F.broadcast(q)).withColumns({c: F.least(F.greatest(F.col(c), F.col(f"_lo_{c}")), F.col(f"_hi_{c}")) for c in cols}).drop(*(f"_{n}_{c}" for c in cols for n in ("lo", "hi")))
 
 
 def preprocess(df: DataFrame, out: str | None = None) -> dict[str, DataFrame]:

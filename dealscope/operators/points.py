@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import rounded
 from ..plans.roles import AMOUNTS, Book, read
 from .clean import standardise
+from .pca_sql import scores_sql
 
 book = Book()
 _P = "p as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y from embeddings)"
@@ -34,7 +35,10 @@ def pca(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return vals * r["n"] / max(r["n"] - 1, 1), vecs
 
 
-@book.on_view("G1_pca_scores")
+_SCORES = "select code, round(list_dot_product(z.v, (select v from axis where a = 1)), 6) as F1, round(list_dot_product(z.v, (select v from axis where a = 2)), 6) as F2 from z"
+
+
+@book.on_view("G1_pca_scores", scores_sql("opp", _SCORES))
 def pca_scores(df: DataFrame, cols: list[str] | None = None, k: int = 2) -> DataFrame:
     """Scores as column expressions over z-scores; only the loadings come from the driver."""
     cols = cols or AMOUNTS
@@ -56,28 +60,28 @@ def inertia(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "axis long, eigenvalue double, pct double, cumulative double")
 
 
-@book.on_view("G3_inertia")
+@book.on_view("G3_inertia", scores_sql("opp", "select a::bigint as axis, round(ev, 6) as eigenvalue, round(ev * 100 / sum(ev) over (), 4) as pct, round(sum(ev) over (order by a) * 100 / sum(ev) over (), 4) as cumulative from axis"))
 def inertia_all(df: DataFrame) -> DataFrame:
     return inertia(df, AMOUNTS)
 
 
-@book.on_view("G2_component_count")
+@book.on_view("G2_component_count", scores_sql("opp", "select greatest((select count(*) from axis where ev >= 1), (select min(a) from (select a, sum(ev) over (order by a) / sum(ev) over () as c from axis) where c >= 0.8))::int as n_components"))
 def component_count(df: DataFrame, cols: list[str] | None = None, threshold: float = 0.8) -> DataFrame:
     v, _ = pca(df, cols or AMOUNTS)
     reach = int(np.searchsorted(v.cumsum() / v.sum(), threshold) + 1)
     return df.sparkSession.createDataFrame([(int(max((v >= 1).sum(), reach)),)], "n_components int")
 
 
-@book.on_view("G4_contributions")
+@book.on_view("G4_contributions", scores_sql("opp", "select [" + ", ".join(f"'{c}'" for c in AMOUNTS) + "][i]::varchar as variable, a::int as axis, round(100 * v[i] ** 2, 6) as contribution, round(v[i] ** 2 * ev, 6) as cos2 from axis, range(1, 5) t(i)"))
 def contributions(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Percent contribution of each variable to each axis, and its cos2."""
     cols = cols or AMOUNTS
     ev, v = pca(df, cols)
-    rows = [(c, a + 1, float(100 * v[i, a] ** 2), float(v[i, a] ** 2 * ev[a])) for i, c in enumerate(cols) for a in range(len(cols))]
+    rows = [(c, a + 1, round(float(100 * v[i, a] ** 2), 6), round(float(v[i, a] ** 2 * ev[a]), 6)) for i, c in enumerate(cols) for a in range(len(cols))]
     return df.sparkSession.createDataFrame(rows, "variable string, axis int, contribution double, cos2 double")
 
 
-@book.on_view("G5_axis_correlation")
+@book.on_view("G5_axis_correlation", scores_sql("opp", "select [" + ", ".join(f"'{c}'" for c in AMOUNTS) + "][i]::varchar as variable, " + ", ".join(f"round(corr(z.v[i], list_dot_product(z.v, (select v from axis where a = {a}))), 6) as F{a}" for a in (1, 2)) + " from z, range(1, 5) t(i) group by i"))
 def axis_correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or AMOUNTS
     s = pca_scores(df, cols).join(df.select("code", *cols), "code")
@@ -141,7 +145,7 @@ def adjusted_rand(spark, sf_dir) -> DataFrame:
     return one.select(F.round((F.col("i") - e) / ((F.col("ra") + F.col("rb")) / 2 - e), 6).alias("ari"))
 
 
-@book.on_view("E9_projection")
+@book.on_view("E9_projection", scores_sql("(select code, " + ", ".join(f"coalesce({c}, 0) as {c}" for c in AMOUNTS) + " from opp)", _SCORES))
 def projection(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Two components of the outlier columns, where a missing amount counts as 0."""
     return pca_scores(df.fillna(0.0, cols or AMOUNTS), cols)
@@ -166,19 +170,20 @@ def fold_stability(df: DataFrame, cols: list[str] | None = None, splits: int = 5
 
 @book.on_view("G15_drift")
 def drift(df: DataFrame, cols: list[str] | None = None, date: str = "registered_at") -> DataFrame:
-    """Older rows against newer ones, cut at the median date: axis similarity, and how far the mean scores on the older axes move."""
+    """Older rows against newer ones, cut at the median date: axis similarity, how far the mean scores on the older axes move, and how much the newer rows' distances to the centre differ on the two pairs of axes."""
     cols = cols or AMOUNTS
     known = df.dropna(subset=[*cols, date])
     at = F.unix_micros(F.col(date).cast("timestamp"))
     cut = known.agg(F.percentile(at, 0.5).alias("c")).first()["c"]
     if cut is None:
-        return df.sparkSession.createDataFrame([], "axis int, axis_similarity double, mean_shift double")
+        return df.sparkSession.createDataFrame([], "axis int, axis_similarity double, mean_shift double, distance_discrepancy double")
     (_, v), (_, w) = (pca(known.where(half), cols) for half in (at <= cut, at > cut))
     z = standardise(known, cols).withColumn("new", at > cut)
     means = z.agg(*(F.avg(F.when(F.col("new") == new, F.col(c))).alias(f"{c}_{int(new)}") for c in cols for new in (False, True))).first()
     gap = np.array([(means[f"{c}_1"] or 0.0) - (means[f"{c}_0"] or 0.0) for c in cols])
-    rows = [(a + 1, axis_similarity(v, w), float(gap @ v[:, a])) for a in range(min(2, len(cols)))]
-    return df.sparkSession.createDataFrame(rows, "axis int, axis_similarity double, mean_shift double")
+    moved = distance_discrepancy(known.where(at > cut), cols, v, w)
+    rows = [(a + 1, axis_similarity(v, w), float(gap @ v[:, a]), float(moved)) for a in range(min(2, len(cols)))]
+    return df.sparkSession.createDataFrame(rows, "axis int, axis_similarity double, mean_shift double, distance_discrepancy double")
 
 
 @book.on_tables("H13_angles", f"with {_P}, c as (select label, var_samp(x) as a, var_samp(y) as d, covar_samp(x, y) as b from p group by 1) select label, round(degrees(0.5 * atan2(2 * b, a - d)), 4) as angle from c")
@@ -188,7 +193,7 @@ def angles(spark, sf_dir) -> DataFrame:
     return c.select("label", F.round(F.degrees(0.5 * F.atan2(2 * F.col("b"), F.col("a") - F.col("d"))), 4).alias("angle"))
 
 
-@book.on_view("G4_individual_cos2")
+@book.on_view("G4_individual_cos2", scores_sql("opp", "select code, " + ", ".join(f"round(coalesce(list_dot_product(v, (select v from axis where a = {a})) ** 2 / nullif(list_dot_product(v, v), 0), 0), 6) as cos2_F{a}" for a in (1, 2)) + " from z"))
 def individual_cos2(df: DataFrame, cols: list[str] | None = None, k: int = 2) -> DataFrame:
     """Squared cosines of the rows on the first axes: squared scores over the squared length."""
     cols = cols or AMOUNTS

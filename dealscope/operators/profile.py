@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import flag, kurtosis_corrected, level_rows, quantile, quantile_row, rounded, skew_corrected, wide_to_long
+from ..functions.columns import flag, kurtosis_corrected, level_rows, quantile, quantile_row, rounded, running_sums, skew_corrected, wide_to_long
 from ..plans.roles import AMOUNTS, DATES, LEVELS, Book
 from .kpi import top
 
@@ -157,9 +157,9 @@ def histogram(df: DataFrame, col: str = "revenue", bins: int = 20) -> DataFrame:
 
 @book.on_view("C16_ecdf", "select distinct cost, round(cume_dist() over (order by cost), 6) as ecdf from opp")
 def ecdf(df: DataFrame, col: str = "cost") -> DataFrame:
-    """Cumulative share per distinct value: counts first, so the running sum is over values only."""
+    """Cumulative share per distinct value: counts first, then running sums by range."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
-    run = counts.withColumn("c", F.sum("n").over(Window.orderBy(col)))
+    run = running_sums(counts, col, {"c": "n"})
     return run.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("t")))).select(col, F.round(F.col("c") / F.col("t"), 6).alias("ecdf"))
 
 

@@ -61,7 +61,9 @@ class Book:
             self.queries[name] = lambda spark, sf_dir: f(opportunities(spark, sf_dir))
             if sql:
                 body = sql.strip()
-                self.oracle[name] = f"with {OPP}, {body[5:]}" if body.lower().startswith("with ") else f"with {OPP} {body}"
+                rest = body.lower()
+                recursive = rest.startswith("with recursive ")
+                self.oracle[name] = f"with recursive {OPP}, {body[15:]}" if recursive else f"with {OPP}, {body[5:]}" if rest.startswith("with ") else f"with {OPP} {body}"
             return f
 
         return add

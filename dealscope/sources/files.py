@@ -94,6 +94,26 @@ def csv_round_trip(spark, sf_dir) -> DataFrame:
     return back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.date_format("day", "yyyy-MM-dd").alias("day"), "o_orderpriority")
 
 
+def export(df: DataFrame, path: str, columns: list[str] | None = None, sep: str = ",", fmt: str = "csv", by: list[str] | None = None) -> str:
+    """A result table to files: chosen columns, CSV with a separator or Parquet, in folders of the columns ``by``; nested columns become JSON in CSV. Missing columns raise."""
+    out = require(df, [*(columns or []), *(by or [])]).select(*(columns or df.columns))
+    if fmt == "csv":
+        out = out.withColumns({c: F.to_json(c) for c, t in out.dtypes if t.startswith(("array", "map", "struct"))})
+    writer = out.write.mode("overwrite").partitionBy(*(by or []))
+    (writer.option("header", True).option("sep", sep).csv if fmt == "csv" else writer.parquet)(path)
+    return path
+
+
+@book.on_view("A6_table_sinks", "select code, status, round((revenue - cost) * 100 / nullif(revenue, 0), 4) as margin_pct, 'csv' as kind from opp union all select code, status, round((revenue - cost) * 100 / nullif(revenue, 0), 4), 'parquet' from opp")
+def table_sinks(df: DataFrame) -> DataFrame:
+    """A table of business variables written with another separator and as Parquet by status, and read back."""
+    spark = df.sparkSession
+    t = df.select("code", "status", F.round(F.try_divide((F.col("revenue") - F.col("cost")) * 100, F.expr("nullif(revenue, 0)")), 4).alias("margin_pct"), "client")
+    columns = ["code", "status", "margin_pct"]
+    text = load_csv(spark, export(t, scratch(spark), columns, "|"), sep="|").select(F.col("code").cast("long"), "status", F.col("margin_pct").cast("double"), F.lit("csv").alias("kind"))
+    return text.union(spark.read.parquet(export(t, scratch(spark), columns, fmt="parquet", by=["status"])).select("code", "status", "margin_pct", F.lit("parquet")))
+
+
 @book.on_view("A2_typed_ingest", "select code, strftime(planned_end_at, '%Y-%m-%d') as planned_end, budget, cost from opp")
 def typed_ingest(df: DataFrame) -> DataFrame:
     text = lambda c: F.concat(F.translate(F.col(c).cast("decimal(18,2)").cast("string"), ".", ","), F.lit(" EUR"))
