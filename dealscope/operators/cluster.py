@@ -12,6 +12,7 @@ from ..plans.roles import AMOUNTS, LEVELS, Book, read
 from .factor import GROUPS, _mixed, _whole, famd, mca, mfa, trustworthiness, versions
 from .density import dbscan
 from .neighbour_join import neighbours
+from .sparse import lanczos
 from .vectors import axes, centroid_scores, cut, dunn, moments, pair_stats, projected, silhouettes, squared_silhouettes
 
 book = Book()
@@ -28,15 +29,28 @@ def reduced(df: DataFrame, k: int = 5) -> DataFrame:
     return projected(df, mean, axes(cov)[1][:, :k]).drop("x").withColumnRenamed("f", "x")
 
 
+def spectral_coordinates(df: DataFrame, k: int, neighbour_count: int = 10) -> DataFrame:
+    """(id, x, u): the ``k`` leading eigenvectors of the normalised graph of nearest neighbours, over the roots of the degrees.
+
+    Edges weigh 1 if both points name each other (the point itself counts among its ``neighbour_count``), else 1/2; the graph is a table of edges at any size."""
+    near = neighbours(df, neighbour_count - 1).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    graph = cut(near.union(near.select("b", "a")).groupBy("a", "b").agg((F.count("*") / 2).alias("w")))
+    degree = cut(graph.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree")))
+    root = lambda n: degree.select(F.col("node").alias(n), F.sqrt("degree").alias(f"r{n}"))
+    entries = cut(graph.join(root("a"), "a").join(root("b"), "b").select("a", "b", (F.col("w") / (F.col("ra") * F.col("rb"))).alias("s")))
+    _, u = lanczos(entries, degree.select("node", F.lit(0.0).alias("c")), k, tolerance=1e-7)
+    scaled = u.join(root("node"), "node").select(F.col("node").alias("id"), F.transform("u", lambda v: v / F.col("rnode")).alias("u"))
+    return df.select("id", "x").join(scaled, "id")
+
+
 def labels(df: DataFrame, algorithm: str, k: int, seed: int = 7) -> DataFrame:
-    """(id, x, label) by one algorithm."""
-    from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
+    """(id, x, label) by one algorithm; "graph" is k-means on spectral coordinates (``u``, made here if the rows have none)."""
+    from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
     from pyspark.ml.functions import array_to_vector
 
     if algorithm == "graph":
-        near = neighbours(df, 10).select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst"), (1 / (1 + F.col("distance"))).alias("weight")).distinct()
-        found = PowerIterationClustering(k=k, maxIter=15, weightCol="weight").assignClusters(near)
-        return df.select("id", "x").join(found.select("id", F.col("cluster").cast("long").alias("label")), "id")
+        placed = (df if "u" in df.columns else cut(spectral_coordinates(df, k))).withColumn("v", array_to_vector(F.slice("u", 1, k)))
+        return KMeans(featuresCol="v", k=k, seed=seed).fit(placed).transform(placed).select("id", "x", F.col("prediction").cast("long").alias("label"))
     # the bisecting kind splits along the length of the centre, so centred points are moved away from the origin
     v = df.select("id", "x").withColumn("v", array_to_vector(F.transform("x", lambda c: c + 1)))
     made = {"kmeans": KMeans(featuresCol="v", k=k, seed=seed), "gmm": GaussianMixture(featuresCol="v", k=k, seed=seed, maxIter=30), "bisecting": BisectingKMeans(featuresCol="v", k=k, seed=seed)}[algorithm]
@@ -49,6 +63,7 @@ ALGORITHMS = ("kmeans", "gmm", "bisecting", "graph")
 def curve(df: DataFrame, algorithm: str, ks=KS) -> list[tuple]:
     """(algorithm, k, silhouette, low, high, dunn, calinski_harabasz, inverse Davies-Bouldin) of each k."""
     out = []
+    df = cut(spectral_coordinates(df, max(ks))) if algorithm == "graph" else df
     for k in ks:
         got = cut(labels(df, algorithm, k))
         stats = cut(pair_stats(got))

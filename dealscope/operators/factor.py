@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from ..plans.roles import AMOUNTS, LEVELS, Book, read
 from .clean import standardise
 from .neighbour_join import neighbours
-from .vectors import axes, hash_sample, moments, projected
+from .sparse import lanczos
+from .vectors import axes, cut, hash_sample, moments, projected
 
 book = Book()
+#: up to so many levels the cross-products are one small matrix on the driver; beyond, they stay a table of entries
+DENSE = 512
 
 
 @dataclass
@@ -50,9 +53,81 @@ def indicator(cols: list[str], names: list[str], scale: np.ndarray, centre: np.n
     return F.transform(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(float(s)).alias("s"), F.lit(float(0 if centre is None else centre[i])).alias("m")) for i, (n, s) in enumerate(zip(names, scale)))), lambda v: (F.array_contains(own, v["n"]).cast("double") - v["m"]) * v["s"])
 
 
-def mca(df: DataFrame, cols: list[str], k: int = 2, benzecri: bool = False, key: str = "code") -> Factors:
-    """Correspondence analysis of the indicator table: eigen-decomposition of the small Burt matrix, row scores from the level coordinates."""
+def _own(cols: list[str], unknown: str = "Inconnu"):
+    return F.array(*(F.concat(F.lit(f"{c}__"), F.coalesce(F.col(c).cast("string"), F.lit(unknown))) for c in cols))
+
+
+def many_levels(df: DataFrame, cols: list[str], dense: int) -> bool:
+    return df.select(F.explode(_own(cols)).alias("v")).distinct().limit(dense + 1).count() > dense if cols else False
+
+
+@dataclass
+class SparseAxes:
+    values: np.ndarray
+    total: float
+    nodes: DataFrame  # node, p (share of a level, null for a number), u (one entry per axis)
+    scores: DataFrame  # key, f
+
+
+def sparse_axes(df: DataFrame, quant: list[str], qual: list[str], k: int, key: str, scale: dict[str, float] | None = None) -> SparseAxes:
+    """Leading axes of z-scores and centred indicators over sqrt(p), each times the scale of its variable, for levels of any number.
+
+    Cross-products are a table of entries: numbers among themselves, sums of numbers per level, counts of level pairs. Scores come from the
+    row's own levels by a join, so nothing is as wide as the levels."""
+    spark, scale = df.sparkSession, scale or {}
+    z = cut((standardise(df, quant) if quant else df).select(key, F.array(*(F.col(c) * float(scale.get(c, 1.0)) for c in quant)).cast("array<double>").alias("z"), _own(qual).alias("own")))
+    n = z.count()
+    factor = F.lit(1.0)
+    for c in qual:
+        factor = F.when(F.col("node").startswith(f"{c}__"), float(scale.get(c, 1.0))).otherwise(factor)
+    each = z.select("z", F.explode("own").alias("node"))
+    levels = cut(each.groupBy("node").agg(F.count("*").alias("n"), *(F.sum(F.col("z")[i]).alias(f"z{i}") for i in range(len(quant)))).withColumn("p", F.col("n") / n).withColumn("w", factor / F.sqrt("p")))
+    weight = levels.select("node", "w")
+    pairs = z.select(F.explode("own").alias("a"), "own").select("a", F.explode("own").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    entries = pairs.join(weight.select(F.col("node").alias("a"), F.col("w").alias("wa")), "a").join(weight.select(F.col("node").alias("b"), F.col("w").alias("wb")), "b").select("a", "b", (F.col("n") / n * F.col("wa") * F.col("wb")).alias("s"))
+    nodes = levels.select("node", (F.col("p") * F.col("w")).alias("c"))
+    if quant:
+        mixed = levels.select("node", F.explode(F.array(*(F.struct(F.lit(c).alias("q"), (F.col(f"z{i}") / n * F.col("w")).alias("s")) for i, c in enumerate(quant)))).alias("m")).select("node", "m.q", "m.s")
+        products = z.agg(*(F.sum(F.col("z")[i] * F.col("z")[j]).alias(f"s{i}_{j}") for i in range(len(quant)) for j in range(len(quant)))).first()
+        among = spark.createDataFrame([(a, b, float(products[f"s{i}_{j}"] or 0.0) / max(n, 1)) for i, a in enumerate(quant) for j, b in enumerate(quant)], "a string, b string, s double")
+        entries = entries.union(mixed.select("node", "q", "s")).union(mixed.select("q", "node", "s")).union(among)
+        nodes = nodes.union(spark.createDataFrame([(c, 0.0) for c in quant], "node string, c double"))
+    total = (levels.agg(F.sum((1 - F.col("p")) * F.col("p") * F.col("w") ** 2)).first()[0] or 0.0) + sum(float(scale.get(c, 1.0)) ** 2 for c in quant)
+    values, u = lanczos(cut(entries), nodes, k)
+    m = len(values)
+    known = cut(u.join(levels.select("node", "p", "w"), "node", "left"))
+    own = known.where("p is not null")
+    shift = own.agg(*(F.sum(F.col("p") * F.col("w") * F.col("u")[a]).alias(f"x{a}") for a in range(m))).first() if m else []
+    numbers = {r["node"]: r["u"] for r in known.where("p is null").collect()}  # one row per number
+    told = z.select(key, F.explode("own").alias("node")).join(own.select("node", "w", "u"), "node").groupBy(key).agg(*(F.sum(F.col("w") * F.col("u")[a]).alias(f"f{a}") for a in range(m)))
+    score = lambda a: F.coalesce(f"f{a}", F.lit(0.0)) - float((shift[a] if qual else 0.0) or 0.0) + sum((F.col("z")[i] * float(numbers[c][a]) for i, c in enumerate(quant)), F.lit(0.0))
+    scores = z.select(key, "z").join(told, key, "left").select(key, F.array(*(score(a) for a in range(m))).alias("f"))
+    return SparseAxes(values, float(total), known, scores)
+
+
+def _sparse_tables(df: DataFrame, made: SparseAxes, key: str, coordinate, values: np.ndarray, total: float, score: float = 1.0) -> Factors:
+    m = len(made.values)
+    rows = made.nodes.select(F.col("node").alias("name"), "p", F.posexplode("u").alias("a", "u"))
+    root = F.element_at(F.array(*(F.lit(float(np.sqrt(max(v, 0.0)))) for v in made.values)), F.col("a") + 1)
+    loadings = rows.select("name", (F.col("a") + 1).alias("axis"), coordinate(F.col("u"), root, F.col("p")).alias("coordinate"), (100 * F.col("u") ** 2).alias("contribution"))
+    pct = 100 * values / total if total else values
+    table = [(a + 1, float(values[a]), float(pct[a]), float(pct[: a + 1].sum())) for a in range(len(values))]
+    scores = made.scores.select(key, *((F.col("f")[a] * float(score)).alias(f"F{a + 1}") for a in range(m)))
+    return Factors(scores, loadings, df.sparkSession.createDataFrame(table, "axis int, eigenvalue double, pct double, cumulative double"))
+
+
+def mca(df: DataFrame, cols: list[str], k: int = 2, benzecri: bool = False, key: str = "code", dense: int = DENSE) -> Factors:
+    """Correspondence analysis of the indicator table: eigen-decomposition of the Burt matrix, small or as sparse entries, row scores from the level coordinates.
+
+    With more levels than ``dense`` the inertia table has the first ``k`` axes only, in percent of the whole."""
     q = len(cols)
+    if many_levels(df, cols, dense):
+        made = sparse_axes(df, [], cols, k, key)
+        values, total = made.values / q, made.total / q
+        if benzecri:
+            values = np.where(values > 1 / q, (q / (q - 1) * (values - 1 / q)) ** 2, 0)
+            total = float(values.sum())
+        return _sparse_tables(df, made, key, lambda u, root, p: u / F.sqrt(p) * root, values, total, 1 / np.sqrt(q))
     names, n, rows = levels_of(df, cols)
     at = {v: i for i, v in enumerate(names)}
     own = F.array(*(F.concat(F.lit(f"{c}__"), F.coalesce(F.col(c), F.lit("Inconnu"))) for c in cols))
@@ -77,8 +152,7 @@ def mca(df: DataFrame, cols: list[str], k: int = 2, benzecri: bool = False, key:
 
 def _mixed(df: DataFrame, quant: list[str], qual: list[str], key: str):
     """Rows of z-scores and of indicators scaled by 1 / sqrt(p), as one array column; missing numbers raise."""
-    if quant and df.where(F.greatest(*(F.col(c).isNull().cast("int") for c in [*quant, quant[0]])) > 0).limit(1).count():
-        raise ValueError("missing numbers: impute them first")
+    _complete(df, quant)
     names, n, rows = levels_of(df, qual) if qual else ([], np.zeros(0), 0)
     p = n / max(rows, 1)
     z = standardise(df, quant) if quant else df
@@ -86,8 +160,17 @@ def _mixed(df: DataFrame, quant: list[str], qual: list[str], key: str):
     return z.select(key, F.concat(*parts).alias("x")), [*quant, *names]
 
 
-def famd(df: DataFrame, quant: list[str], qual: list[str], k: int = 2, key: str = "code") -> Factors:
-    """Principal components of z-scores and scaled indicators together."""
+def _complete(df: DataFrame, quant: list[str]) -> None:
+    if quant and df.where(F.greatest(*(F.col(c).isNull().cast("int") for c in [*quant, quant[0]])) > 0).limit(1).count():
+        raise ValueError("missing numbers: impute them first")
+
+
+def famd(df: DataFrame, quant: list[str], qual: list[str], k: int = 2, key: str = "code", dense: int = DENSE) -> Factors:
+    """Principal components of z-scores and scaled indicators together; with more levels than ``dense`` from sparse entries, and the first ``k`` axes of the inertia."""
+    if many_levels(df, qual, dense):
+        _complete(df, quant)
+        made = sparse_axes(df, quant, qual, k, key)
+        return _sparse_tables(df, made, key, lambda u, root, p: u * root, made.values, made.total)
     x, names = _mixed(df, quant, qual, key)
     _, mean, cov = moments(x)
     vals, vecs = axes(cov)
@@ -100,12 +183,15 @@ def by_variable(loadings: DataFrame) -> DataFrame:
     return loadings.groupBy(F.split("name", "__")[0].alias("variable"), "axis").agg(F.sum("contribution").alias("contribution"))
 
 
-def mfa(df: DataFrame, groups: dict[str, list[str]], k: int = 2, weights: dict[str, float] | None = None, key: str = "code") -> tuple[Factors, DataFrame]:
+def mfa(df: DataFrame, groups: dict[str, list[str]], k: int = 2, weights: dict[str, float] | None = None, key: str = "code", dense: int = DENSE) -> tuple[Factors, DataFrame]:
     """Groups of variables, each divided by its first singular value, then one analysis of all; also contributions of the groups per axis (percent).
 
     Numeric and level columns may mix; levels count as indicators. The inertia is renormalised to 100 percent.
     """
     kinds = dict(df.dtypes)
+    split = {g: ([c for c in cols if kinds[c] != "string"], [c for c in cols if kinds[c] == "string"]) for g, cols in groups.items()}
+    if many_levels(df, [c for _, qual in split.values() for c in qual], dense):
+        return _sparse_mfa(df, split, k, weights or {}, key)
     x, names, scale, of = None, [], [], []
     for g, cols in groups.items():
         quant, qual = [c for c in cols if kinds[c] != "string"], [c for c in cols if kinds[c] == "string"]
@@ -128,6 +214,18 @@ def mfa(df: DataFrame, groups: dict[str, list[str]], k: int = 2, weights: dict[s
     return out, df.sparkSession.createDataFrame(rows, "grp string, axis int, contribution double")
 
 
+def _sparse_mfa(df: DataFrame, split: dict, k: int, weights: dict[str, float], key: str) -> tuple[Factors, DataFrame]:
+    scale: dict[str, float] = {}
+    for g, (quant, qual) in split.items():
+        _complete(df, quant)
+        first = sparse_axes(df, quant, qual, 1, key).values
+        scale |= {c: float(np.sqrt(weights.get(g, 1.0) / max(first[0] if len(first) else 1.0, 1e-12))) for c in (*quant, *qual)}
+    made = sparse_axes(df, [c for q, _ in split.values() for c in q], [c for _, q in split.values() for c in q], k, key, scale)
+    out = _sparse_tables(df, made, key, lambda u, root, p: u * root, made.values / made.total, 1.0)
+    named = df.sparkSession.createDataFrame([(c, g) for g, (a, b) in split.items() for c in (*a, *b)], "variable string, grp string")
+    return out, by_variable(out.loadings).join(F.broadcast(named), "variable").groupBy("grp", F.col("axis").cast("int").alias("axis")).agg(F.sum("contribution").alias("contribution"))
+
+
 def _whole(df: DataFrame) -> DataFrame:
     return df.fillna(0.0, AMOUNTS)
 
@@ -152,6 +250,20 @@ def mca_inertia(df: DataFrame) -> DataFrame:
     return _two(plain.union(corrected))
 
 
+_CLIENTS = [*LEVELS, "client"]
+
+
+@book.on_view("G6_mca_clients")
+def mca_clients(df: DataFrame) -> DataFrame:
+    """Coordinates of every level where the client is an active variable: as many levels as clients."""
+    return mca(df, _CLIENTS).loadings.select("name", "axis", F.round(F.abs("coordinate"), 4).alias("coordinate"), F.round("contribution", 4).alias("contribution"))
+
+
+@book.on_view("G8_famd_client_contributions")
+def famd_client_contributions(df: DataFrame) -> DataFrame:
+    return _two(by_variable(famd(_whole(df), AMOUNTS, _CLIENTS).loadings))
+
+
 @book.on_view("G7_famd_scores")
 def famd_scores(df: DataFrame) -> DataFrame:
     return _two(famd(_whole(df), AMOUNTS, LEVELS).scores)
