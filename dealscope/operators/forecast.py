@@ -96,21 +96,74 @@ def predict(y: np.ndarray, model: str, season: int, steps: int) -> tuple[np.ndar
     return MODELS[model](y, season, steps)
 
 
+class RunningProducts:
+    """Least squares on growing histories: running sums of x x', x y and y y from row ``start`` on, so that an origin costs a small solve instead of a refit."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, start: int = 0):
+        self.start, x, y = start, x[start:], y[start:]
+        self.xx, self.xy, self.yy = np.cumsum(x[:, :, None] * x[:, None, :], axis=0), np.cumsum(x * y[:, None], axis=0), np.cumsum(y * y)
+
+    def before(self, at: int, columns: int | None = None) -> tuple[np.ndarray, float, int]:
+        """Weights of the first columns from the rows before ``at``, their residual sum of squares, and the rows."""
+        n = at - self.start
+        a, b = self.xx[n - 1][:columns, :columns], self.xy[n - 1][:columns]
+        scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
+        w = np.linalg.lstsq(a / np.outer(scale, scale), b / scale, rcond=None)[0] / scale
+        return w, max(float(self.yy[n - 1] - 2 * w @ b + w @ a @ w), 0.0), n
+
+
+def rolling_predictions(y: np.ndarray, model: str, season: int, origins) -> list[float]:
+    """The value at each origin from all values before it, as ``predict`` gives it with one step."""
+    t, unit = np.arange(len(y)), max(float(np.abs(y).max()), 1e-300)
+    v = y / unit
+    if model == "trend":
+        k = min(3, season // 2) if season > 1 else 0
+        x = np.stack([np.ones(len(y)), t / max(len(y), 1), *(f(2 * np.pi * (j + 1) * t / season) for j in range(k) for f in (np.sin, np.cos))], axis=1)
+        sums = RunningProducts(x, v)
+    if model == "ar":
+        lag_sets = [lags for p in (1, 2, 3) for lags in ([*range(1, p + 1)], [*range(1, p + 1), season] if season > p else None) if lags]
+        fits = []
+        for lags in lag_sets:
+            x = np.stack([np.ones(len(y)), *(np.concatenate([np.zeros(min(k, len(v))), v[:-k]])[: len(v)] for k in lags)], axis=1)
+            if len(y) > max(lags):
+                fits.append((lags, x, RunningProducts(x, v, max(lags))))
+    out = []
+    for at in origins:
+        past = v[:at]
+        if (past == past[0]).all():
+            out.append(past[-1])
+        elif model == "trend":
+            n = 2 + 2 * min(k, max((at - 3) // 2, 0))
+            out.append(float(x[at, :n] @ sums.before(at, n)[0]))
+        elif model == "ar":
+            best = None
+            for lags, x, run in fits:
+                if at - max(lags) < len(lags) + 3:
+                    continue
+                w, rss, n = run.before(at)
+                score = (n * math.log(max(rss * unit * unit, 1e-12) / n) + 2 * len(w)) / n
+                if best is None or score < best[0]:
+                    best = score, float(x[at] @ w)
+            low, high = past.min() - 3 * np.ptp(past), past.max() + 3 * np.ptp(past)
+            out.append(past[-1] if best is None else float(np.clip(best[1], low, high)))
+        else:
+            out.append(float(predict(y[:at], model, season, 1)[0][0]) / unit)
+    return [p * unit for p in out]
+
+
 def rolling_origin(df: DataFrame, models=tuple(MODELS), test: int = 12, season: int = 12, key: str = "s", order: str = "p", value: str = "y") -> DataFrame:
-    """(series, model, p, y, pred): each of the last ``test`` points predicted from all history before it, refitted every time."""
-    w = Window.partitionBy(key)
-    r = df.select(F.col(key).alias("series"), F.col(order).alias("p"), F.col(value).cast("double").alias("y"), F.row_number().over(w.orderBy(order)).alias("i"), F.count("*").over(w).alias("n"))
-    origins = r.where((F.col("i") > F.col("n") - test) & (F.col("i") > 1)).select("series", F.col("i").alias("at"), F.col("p").alias("to"), F.col("y").alias("actual"))
-    history = r.join(origins, "series").where("i < at").select("series", "at", "to", "actual", "i", "y")
-    pairs = history.withColumn("model", F.explode(F.array(*map(F.lit, models))))
+    """(series, model, p, y, pred): each of the last ``test`` points predicted from all history before it. A task holds one series at a time, once for all its origins and models."""
+    kind = dict(df.dtypes)
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("i")
-        pred, _ = predict(part["y"].to_numpy(), part["model"].iloc[0], season, 1)
-        return pd.DataFrame({"series": [part["series"].iloc[0]], "model": [part["model"].iloc[0]], "p": [part["to"].iloc[0]], "y": [part["actual"].iloc[0]], "pred": [float(pred[0])]})
+        part = part.sort_values("p")
+        y = part["y"].to_numpy()
+        origins = range(max(1, len(y) - test), len(y))
+        made = [pd.DataFrame({"series": part["series"].iloc[0], "model": m, "p": part["p"].to_numpy()[origins.start :], "y": y[origins.start :], "pred": rolling_predictions(y, m, season, origins)}) for m in models]
+        return pd.concat(made)
 
-    kind = dict(df.dtypes)
-    return pairs.groupBy("series", "at", "model").applyInPandas(one, f"series {kind[key]}, model string, p {kind[order]}, y double, pred double")
+    rows = df.select(F.col(key).alias("series"), F.col(order).alias("p"), F.col(value).cast("double").alias("y"))
+    return rows.groupBy("series").applyInPandas(one, f"series {kind[key]}, model string, p {kind[order]}, y double, pred double")
 
 
 def recursive(df: DataFrame, models=tuple(MODELS), granularity: str = "month", horizon: int | None = None, key: str = "s", order: str = "p", value: str = "y") -> DataFrame:
@@ -146,6 +199,12 @@ for _name, _model in (("F10b_autoregressive", "ar"), ("F10c_seasonal_trend", "tr
     book.on_view(_name)(lambda df, m=_model: recursive(series(df, "month"), (m,), horizon=12).select("series", F.date_format("p", "yyyy-MM-dd").alias("p"), F.round("pred", 3).alias("pred")))
 
 
+@book.on_view("F9_trend_year", "with filled as (select opp_type as s, make_date(year(closing_at)::int, 12, 31) as p, sum(revenue) as y from opp where closing_at is not null group by 1, 2), f as (select s, p, y, row_number() over (partition by s order by p) - 1 as t, count(*) over (partition by s) as n from filled), l as (select *, regr_slope(y, t) over w as a, regr_intercept(y, t) over w as b, lag(y) over (partition by s order by p) as last, count(*) over w as m from f window w as (partition by s order by p rows between unbounded preceding and 1 preceding)) select s as series, strftime(p, '%Y-%m-%d') as p, round(y, 3) as y, round(case when m = 1 then last else a * t + b end, 3) as pred from l where t >= greatest(1, n - 3)")
+def trend_year(df: DataFrame) -> DataFrame:
+    """The trend model over years, where it is a line: running least squares of every origin."""
+    return rolling_origin(series(df, "year"), ("trend",), test=TEST["year"], season=1).select("series", F.date_format("p", "yyyy-MM-dd").alias("p"), F.round("y", 3).alias("y"), F.round("pred", 3).alias("pred"))
+
+
 @book.on_view("F9_metrics")
 def rolling_metrics(df: DataFrame) -> DataFrame:
     """Metrics of the rolling forecasts per model, granularity and series."""

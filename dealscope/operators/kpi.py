@@ -39,7 +39,7 @@ def quarterly(df: DataFrame) -> DataFrame:
     return df.groupBy(quarter("closing_at").alias("quarter")).agg(F.count("*").alias("n"), F.round(F.sum("revenue"), 2).alias("revenue"))
 
 
-@book.on_view("D2_reconciliation", "select count(*) as n, count(*) as n_by_quarter, true as reconciled from opp")
+@book.on_view("D2_reconciliation", f"with q as (select {_Q.format(c='closing_at')} as quarter, count(*) as n from opp group by 1) select (select count(*) from opp) as n, sum(n)::bigint as n_by_quarter, (select count(*) from opp) = sum(n) as reconciled from q")
 def reconciliation(df: DataFrame) -> DataFrame:
     by = quarterly(df).agg(F.sum("n").alias("n_by_quarter"))
     return df.agg(F.count("*").alias("n")).crossJoin(by).withColumn("reconciled", F.col("n") == F.col("n_by_quarter"))

@@ -138,3 +138,18 @@ def test_missing_lookup_keys(spark):
     r = spark.createDataFrame([(6, "R")], "r_regionkey int, r_name string")
     got = {x["c_custkey"]: (x["sector"], x["region"]) for x in leads.enriched(c, n, r).collect()}
     assert got == {1: ("N", "nc"), 2: ("inconnu", "nc"), 3: ("inconnu", "nc")}
+
+
+@pytest.mark.parametrize("model", ("trend", "ar", "boosted"))
+def test_rolling_origins_equal_refits(spark, model):
+    """Every origin from running cross-products against a fit of its whole history."""
+    rng = np.random.default_rng(6)
+    made = {"noisy": 1e6 + 1e5 * rng.normal(size=60) + 2e5 * np.sin(np.arange(60) * np.pi / 6), "line": np.arange(40.0) * 3, "short": rng.normal(size=7), "flat": np.full(20, 4.0), "late": np.r_[np.zeros(25), rng.normal(size=5)], "two": np.array([1.0, 2.0])}
+    rows = [(s, dt.date(2015 + i // 12, i % 12 + 1, 1), float(v)) for s, y in made.items() for i, v in enumerate(y)]
+    got = {}
+    for r in forecast.rolling_origin(spark.createDataFrame(rows, "s string, p date, y double"), (model,), test=12, season=12).orderBy("series", "p").collect():
+        got.setdefault(r["series"], []).append((r["y"], r["pred"]))
+    for s, y in made.items():
+        origins = range(max(1, len(y) - 12), len(y))
+        assert [v for v, _ in got[s]] == pytest.approx([y[at] for at in origins])
+        assert [v for _, v in got[s]] == pytest.approx([forecast.predict(y[:at], model, 12, 1)[0][0] for at in origins], rel=1e-6, abs=1e-8 * np.abs(y).max())
