@@ -60,49 +60,53 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def quantile_row(df: DataFrame, wanted: dict) -> DataFrame:
+#: rank error of the sketch that brackets a quantile is at most 1 / SKETCH of the rows
+SKETCH = 10_000
+
+
+def quantile_row(df: DataFrame, wanted: dict, narrow: bool = False) -> DataFrame:
     """One row of exact quantiles with linear interpolation: alias -> (column name or expression, q).
 
-    Values are counted, dealt by range and summed per partition; the partition sums (variables x partitions) tell where each
-    rank lies, and only the values at these ranks are read. No task holds more than its range.
+    One scan sketches every column and brackets each quantile surely; a second counts what lies below a bracket and keeps the values inside it, about
+    four rows in SKETCH, which are counted and ranked. Nothing else is shuffled. The columns are stored first, unless ``narrow`` says that reading them twice is cheap.
+    Jobs run while the plan is built.
     """
     sources = {}
     for c, _ in wanted.values():
         sources.setdefault(str(c), F.col(c) if isinstance(c, str) else c)
     names = {k: f"v{i}" for i, k in enumerate(sources)}
-    cells = F.array(*(F.struct(F.lit(names[k]).alias("k"), v.cast("double").alias("v")) for k, v in sources.items()))
-    values = df.select(F.explode(cells).alias("c")).select("c.k", "c.v").where("v is not null").groupBy("k", "v").agg(F.count("*").alias("n"))
-    values = cut(values.repartitionByRange("k", "v").select("k", "v", "n", F.spark_partition_id().alias("part")))
-    sums: dict[str, list] = {}
-    for r in values.groupBy("k", "part").agg(F.sum("n").alias("n")).orderBy("k", "part").collect():
-        sums.setdefault(r["k"], []).append((r["part"], r["n"]))
-    places, ranks = [], {}
-    for alias, (c, q) in wanted.items():
-        own = sums.get(names[str(c)], [])
-        n = sum(x for _, x in own)
-        at = q * (n - 1)
-        ranks[alias] = [(names[str(c)], r) for r in (math.floor(at), math.ceil(at))] if n else []
-        for k, r in ranks[alias]:
-            before = 0
-            for part, x in own:
-                if r < before + x:
-                    places.append((k, part, r, r - before))
-                    break
-                before += x
-    spark = df.sparkSession
-    found = {}
-    if places:
-        targets = F.broadcast(spark.createDataFrame(sorted(set(places)), "k string, part int, rank long, inside long"))  # two for each quantile
-        run = values.join(targets.select("k", "part").distinct(), ["k", "part"], "left_semi").withColumn("upto", F.sum("n").over(Window.partitionBy("k", "part").orderBy("v")))
-        hit = run.join(targets, ["k", "part"]).where((F.col("inside") < F.col("upto")) & (F.col("inside") >= F.col("upto") - F.col("n")))
-        found = {(r["k"], r["rank"]): r["v"] for r in hit.select("k", "rank", "v").collect()}
+    values = df.select(*(v.cast("double").alias(names[k]) for k, v in sources.items()))
+    values = values if narrow else cut(values)
+    asked = {n: sorted({q for c, q in wanted.values() if names[str(c)] == n}) for n in names.values()}
+    off = 2 / SKETCH
+    ends = lambda qs: F.array(*(F.lit(float(min(max(q + d, 0.0), 1.0))) for q in qs for d in (-off, off)))
+    one = values.agg(*(x for n, qs in asked.items() for x in (F.count(n).alias(f"{n}_n"), F.min(n).alias(f"{n}_min"), F.max(n).alias(f"{n}_max"), F.percentile_approx(n, ends(qs), SKETCH).alias(f"{n}_q")))).first()
+    brackets, ranks = [], {}
+    for n, qs in asked.items():
+        for i, q in enumerate(qs):
+            if one[f"{n}_n"]:
+                at = q * (one[f"{n}_n"] - 1)
+                lo, hi = one[f"{n}_q"][2 * i : 2 * i + 2]
+                few = one[f"{n}_n"] < 4 * SKETCH  # brackets narrower than the step between ranks: take all
+                brackets.append((n, q, one[f"{n}_min"] if few or q <= off else lo, one[f"{n}_max"] if few or q >= 1 - off else hi))
+                ranks[n, q] = at
+    spark, found = df.sparkSession, {}
+    if brackets:
+        below = values.agg(*(F.count(F.when(F.col(n) < F.lit(lo), 1)).alias(f"b{i}") for i, (n, _, lo, _) in enumerate(brackets))).first()
+        cells = F.array(*(F.when(F.col(n).between(F.lit(lo), F.lit(hi)), F.struct(F.lit(i).alias("i"), F.col(n).alias("v"))) for i, (n, _, lo, hi) in enumerate(brackets)))
+        inside = values.select(F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select("c.i", "c.v").groupBy("i", "v").agg(F.count("*").alias("n"))
+        ran = inside.withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("v")))
+        targets = [(i, r, r - below[f"b{i}"]) for i, (n, q, _, _) in enumerate(brackets) for r in {math.floor(ranks[n, q]), math.ceil(ranks[n, q])}]
+        hit = ran.join(F.broadcast(spark.createDataFrame(targets, "i int, rank long, place long")), "i").where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))
+        found = {(*brackets[r["i"]][:2], r["rank"]): r["v"] for r in hit.select("i", "rank", "v").collect()}  # two for each quantile
     row = []
-    for alias, (c, q) in wanted.items():
-        if not ranks[alias]:
+    for c, q in wanted.values():
+        n = names[str(c)]
+        if (n, q) not in ranks:
             row.append(None)
             continue
-        lo, hi = (found[x] for x in ranks[alias])
-        at = q * (sum(x for _, x in sums[names[str(c)]]) - 1)
+        at = ranks[n, q]
+        lo, hi = found[n, q, math.floor(at)], found[n, q, math.ceil(at)]
         row.append(float(lo + (hi - lo) * (at - math.floor(at))))
     return spark.createDataFrame([tuple(row)], ", ".join(f"`{a}` double" for a in wanted))
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import flag, kurtosis_corrected, level_rows, quantile, quantile_row, rounded, running_sums, skew_corrected, wide_to_long
+from ..functions.columns import cut, flag, kurtosis_corrected, level_rows, quantile, quantile_row, rounded, running_sums, skew_corrected, wide_to_long
 from ..plans.roles import AMOUNTS, DATES, LEVELS, Book
 from .kpi import top
 
@@ -34,17 +34,18 @@ _STATS = {"mean": F.avg, "std": F.stddev, "min": F.min, "max": F.max, "skew": sk
 _SQL = {"mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})", "q1": "quantile_cont({c}, 0.25)", "median": "quantile_cont({c}, 0.5)", "q3": "quantile_cont({c}, 0.75)", "max": "max({c})", "skew": "skewness({c})", "kurtosis": "kurtosis({c})"}
 
 
-def quantiles(df: DataFrame, cols: list[str], qs: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, cols: list[str], qs: dict[str, float], narrow: bool = False) -> DataFrame:
     """One row per column with its quantiles."""
-    wide = quantile_row(df, {f"{c}__{n}": (c, q) for c in cols for n, q in qs.items()})
+    wide = quantile_row(df, {f"{c}__{n}": (c, q) for c in cols for n, q in qs.items()}, narrow)
     return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), *(F.col(f"{c}__{n}").alias(n) for n in qs)) for c in cols))).alias("r")).select("r.*")
 
 
 @book.on_view("C2_numeric_overview", _each(AMOUNTS, "select '{c}' as variable, count({c}) as n, count(*) - count({c}) as missing, " + ", ".join(f"round({v}, 4) as {k}" for k, v in _SQL.items()) + " from opp"))
 def numeric_overview(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or AMOUNTS
+    df = cut(df.select(*cols))
     stats = wide_to_long(df, cols, {"n": F.count, "missing": lambda c: F.count("*") - F.count(c), **_STATS})
-    return rounded(stats.join(F.broadcast(quantiles(df, cols, {"q1": 0.25, "median": 0.5, "q3": 0.75})), "variable"))
+    return rounded(stats.join(F.broadcast(quantiles(df, cols, {"q1": 0.25, "median": 0.5, "q3": 0.75}, narrow=True)), "variable"))
 
 
 @book.on_view("C3_categorical_overview", _each(LEVELS, "select '{c}' as variable, count(distinct {c}) as n_distinct, (select {c} from opp where {c} is not null group by 1 order by count(*) desc, 1 limit 1) as top_level, (select count(*) from opp where {c} is not null group by {c} order by 1 desc limit 1) as top_freq, count(*) - count({c}) as missing from opp"))
@@ -163,8 +164,8 @@ def ecdf(df: DataFrame, col: str = "cost") -> DataFrame:
     return run.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("t")))).select(col, F.round(F.col("c") / F.col("t"), 6).alias("ecdf"))
 
 
-def fences(df: DataFrame, cols: list[str], k: float = 1.5) -> DataFrame:
-    q = quantile_row(df, {f"{c}__{n}": (c, v) for c in cols for n, v in (("q1", 0.25), ("q3", 0.75))})
+def fences(df: DataFrame, cols: list[str], k: float = 1.5, narrow: bool = False) -> DataFrame:
+    q = quantile_row(df, {f"{c}__{n}": (c, v) for c in cols for n, v in (("q1", 0.25), ("q3", 0.75))}, narrow)
     return q.select(*(x for c in cols for x in ((F.col(f"{c}__q1") - k * (F.col(f"{c}__q3") - F.col(f"{c}__q1"))).alias(f"{c}__lo"), (F.col(f"{c}__q3") + k * (F.col(f"{c}__q3") - F.col(f"{c}__q1"))).alias(f"{c}__hi"))))
 
 
@@ -175,8 +176,9 @@ _F = lambda c, k: f"f_{c} as (select quantile_cont({c}, 0.25) - {k} * (quantile_
 def iqr_outliers(df: DataFrame, cols: list[str] | None = None, k: float = 1.5) -> DataFrame:
     """Long table of outlying cells with key and side."""
     cols = cols or AMOUNTS
+    df = cut(df.select("code", *cols))
     cell = lambda c: F.struct(F.lit(c).alias("variable"), F.col(c).alias("value"), F.when(F.col(c) < F.col(f"{c}__lo"), "low").when(F.col(c) > F.col(f"{c}__hi"), "high").alias("side"))
-    return df.crossJoin(F.broadcast(fences(df, cols, k))).select("code", F.explode(F.array(*map(cell, cols))).alias("r")).select("code", "r.*").where("side is not null")
+    return df.crossJoin(F.broadcast(fences(df, cols, k, narrow=True))).select("code", F.explode(F.array(*map(cell, cols))).alias("r")).select("code", "r.*").where("side is not null")
 
 
 @book.on_view("E2_iqr_sensitivity", "with " + ", ".join(_F(c, k).replace(f"f_{c}", f"f_{c}_{int(k * 10)}") for c in AMOUNTS for k in (1.5, 2.5, 3.0)) + " " + " union all ".join(f"select '{c}' as variable, {k} as k, count(*) filter ({c} < lo or {c} > hi) as n from opp, f_{c}_{int(k * 10)}" for c in AMOUNTS for k in (1.5, 2.5, 3.0)))

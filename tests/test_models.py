@@ -27,6 +27,11 @@ def test_quantiles(spark):
     for q in qs:
         assert row[f"a{q}"] == pytest.approx(np.quantile(a, q)) and row[f"b{q}"] == pytest.approx(np.quantile(b[np.arange(997) % 3 > 0], q))
     assert quantile_row(df.limit(0), {"q": ("a", 0.5)}).first()["q"] is None
+    # brackets of a sketch: many rows, a third of them equal
+    big = spark.range(90_000).select(F.when(F.col("id") % 3 == 0, 0.25).otherwise(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003).alias("v"))
+    v = np.array([r["v"] for r in big.collect()])
+    row = quantile_row(big, {f"q{q}": ("v", q) for q in qs}).first()
+    assert [row[f"q{q}"] for q in qs] == pytest.approx([np.quantile(v, q) for q in qs], abs=1e-12)
 
 
 def test_neighbours_and_density(blobs):
