@@ -37,7 +37,8 @@ KINDS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "\\+[0-9]"),
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-_CANDIDATE = r"(?<![A-Za-z0-9@.+-])(?:[(+]?[0-9][0-9() .-]{5,30}[0-9](?![0-9A-Za-z])|[A-Za-z0-9._%+-]{1,64}(?:@|\[at\]|\(at\)|\x20at\x20)[A-Za-z0-9-]{1,64}(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]{1,64}){1,5}|[A-Z]{2}[0-9]{2}[A-Z0-9]{8,30}(?![0-9A-Za-z]))"
+#: runs of any length; possessive ones start where a run starts, so that a long run is read once
+_CANDIDATE = r"(?<![A-Za-z0-9@.+-])(?:[(+]?[0-9][0-9() .-]{5,}[0-9](?![0-9A-Za-z])|(?<![_%])[A-Za-z0-9._%+-]++(?:@|\[at\]|\(at\)|\x20at\x20)[A-Za-z0-9-]++(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]++)++|[A-Z]{2}[0-9]{2}[A-Z0-9]{8,}+(?![0-9A-Za-z]))"
 
 
 def _digits(m: Column) -> Column:

@@ -146,3 +146,15 @@ def test_pii_discovers_by_context(spark):
     rows = [(i, f"report {i} client phone: +1 (489) 555-{1000 + i} end") for i in range(12)] + [(50, "client phone: (489) 555-7777 end"), (51, "batch 12345678 of today")]
     got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [(s.kind, s.hit) for s in got[50].found] == [("phone", "(489) 555-7777")] and not got[51].found
+
+
+def test_long_identifiers_are_candidates(spark):
+    """Runs of any length are found whole, and long runs of any characters are read in linear time."""
+    import time
+
+    account, mail = "GB12" + "A7" * 60, "x" * 300 + " at " + "y" * 200 + ".example"
+    rows = [(1, f"account {account} end"), (2, f"write to {mail} now"), (3, "id 12 34 56 " + "78 90 " * 40 + "12"), (4, "_" * 200_000), (5, "1 " * 100_000 + "a"), (6, "A" * 200_000), (7, "9" * 100_000 + "x"), (8, ("a-" * 100_000))]
+    began = time.time()
+    hits = {r.doc_id: r.hit for r in pii.span_rows(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'other'").collect()}
+    assert hits[1] == account and hits[2] == mail and hits[3] == rows[2][1][3:] and 4 not in hits and 6 not in hits and 8 not in hits
+    assert time.time() - began < 60
