@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from dealscope import catalog
 
-NAMES = ["D1_global_kpis", "D2_quarterly", "D8_top_clients_revenue", "D21_period_revenue", "C2_numeric_overview", "C11_correlation", "E1_iqr_outliers", "B15_zscores", "F1_interpolated", "I12_metrics"]
+NAMES = ["D1_global_kpis", "D2_quarterly", "D8_top_clients_revenue", "D21_period_revenue", "C2_numeric_overview", "C11_correlation", "E1_iqr_outliers", "B15_zscores", "F1_interpolated", "I12_metrics", "E4_local_outlier_factor", "H5_dbscan_kinds_5d", "H7_silhouette_squared", "G1_pca_scores", "F9_trend_year", "D12_ratio_describe", "C16_ecdf"]
 
 
 def main() -> None:

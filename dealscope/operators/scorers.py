@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import running_sums
 from ..plans.roles import Book
-from .pipelines import labelled, lead_features
+from .halving import FOLDS, halving, with_parts
 from .neighbour_join import neighbours
+from .pipelines import labelled, lead_features
 from .vectors import cut
 
 book = Book()
@@ -46,7 +48,11 @@ def oversample(df: DataFrame, key: str, label: str, features: str, k: int = 5) -
     drawn = own.select(F.col(key).alias("id"), F.col(features).alias("a"), F.explode(F.sequence(F.lit(1), F.lit(max(times, 1)))).alias("turn")).join(have, "id")
     drawn = drawn.withColumn("rank", (F.pmod(F.xxhash64("id", "turn"), F.col("have")) + 1).cast("int")).withColumn("u", F.pmod(F.xxhash64("id", "turn", F.lit(1)), F.lit(10_000)) / 10_000)
     pairs = drawn.join(near, ["id", "rank"]).join(own.select(F.col(key).alias("other"), F.col(features).alias("b")), "other")
-    new = pairs.orderBy("turn", F.xxhash64("id")).limit(lacking).select(F.lit(small).alias(label), F.zip_with(F.zip_with("a", "b", lambda x, y: F.struct(x.alias("x"), y.alias("y"))), F.transform("a", lambda _: F.col("u")), lambda p, u: p["x"] + u * (p["y"] - p["x"])).alias(features), F.lit(True).alias("synthetic"))
+    # every point in the whole turns, and of one more turn those with the least hashes
+    full, rest = divmod(lacking, max(n[small], 1))
+    drawn_last = running_sums(own.select(F.struct(F.xxhash64(key).alias("h"), F.col(key).alias("id")).alias("o"), F.lit(1).alias("one")), "o", {"upto": "one"}).where(F.col("upto") <= rest).select("o.id")
+    pairs = pairs.where(F.col("turn") <= full).union(pairs.where(F.col("turn") == full + 1).join(drawn_last, "id", "left_semi").select(*pairs.columns))
+    new = pairs.select(F.lit(small).alias(label), F.zip_with(F.zip_with("a", "b", lambda x, y: F.struct(x.alias("x"), y.alias("y"))), F.transform("a", lambda _: F.col("u")), lambda p, u: p["x"] + u * (p["y"] - p["x"])).alias(features), F.lit(True).alias("synthetic"))
     return df.select(label, features, F.lit(False).alias("synthetic")).union(new)
 
 
@@ -115,22 +121,36 @@ def neural(df: DataFrame, layers=(256, 128), iterations: int = 40) -> DataFrame:
     return _scores(net.fit(train), v.where("split = 'test'")).select("code", "y", F.round("p", 6).alias("p"))
 
 
+CANDIDATES = [
+    *(("logistic", {"penalty": p}) for p in (0.001, 0.01, 0.1, 1.0)),
+    ("boosted", {"maxDepth": 3, "maxIter": 10}), ("boosted", {"maxDepth": 5, "maxIter": 10}),
+    ("forest", {"maxDepth": 5, "numTrees": 20}), ("forest", {"maxDepth": 8, "numTrees": 20}),
+]
+
+
+def _trees(model: str, parameters: dict):
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+
+    return {"boosted": GBTClassifier, "forest": RandomForestClassifier}[model](featuresCol="v", labelCol="y", weightCol="weight", seed=7, **parameters)
+
+
+def searchable(df: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """(v, x, y, weight, part) of the train split, parts in the order of closing months."""
+    from pyspark.ml.functions import vector_to_array
+
+    v = with_parts(vectors(df).where("split = 'train'"), F.col("year") * 12 + F.col("month"), folds)
+    return cut(v.select("v", vector_to_array("v").alias("x"), F.col("is_won").alias("y"), "weight", "part"))
+
+
 @book.on_view("I10_search")
-def search(df: DataFrame, grid=(0.001, 0.01, 0.1, 1.0), folds: int = 5) -> DataFrame:
-    """AUC of each regularisation over expanding folds by time, and which is best: the first n / (folds + 1) parts train, the next one tests."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-
-    v = vectors(df).where("split = 'train'").withColumn("at", F.col("year") * 12 + F.col("month"))
-    cuts = v.agg(F.percentile("at", F.array(*(F.lit((i + 1) / (folds + 1)) for i in range(folds)))).alias("c")).first()["c"]
-    v = v.withColumn("part", sum((F.col("at") > F.lit(c)).cast("int") for c in cuts))
-    rate, rows = BinaryClassificationEvaluator(labelCol="is_won", rawPredictionCol="rawPrediction"), []
-    for r in grid:
-        found = []
-        for fold in range(1, folds + 1):
-            train, test = v.where(F.col("part") < fold), v.where(F.col("part") == fold)
-            if test.select("is_won").distinct().count() == 2 and train.select("is_won").distinct().count() == 2:
-                found.append(rate.evaluate(LogisticRegression(featuresCol="v", labelCol="is_won", weightCol="weight", regParam=r, maxIter=20).fit(train).transform(test)))
-        rows.append((r, len(found), round(sum(found) / len(found), 6) if found else None))
-    best = max((x[2] for x in rows if x[2] is not None), default=None)
-    return df.sparkSession.createDataFrame([(*x, x[2] is not None and x[2] == best) for x in rows], "reg_param double, folds int, auc double, best boolean")
+def search(df: DataFrame, candidates=tuple(CANDIDATES), folds: int = FOLDS) -> DataFrame:
+    """Mean AUC over expanding folds of models and parameters by successive halving, and which is best among those that saw all folds."""
+    v = searchable(df, folds)
+    schema = "model string, parameters string, rung int, folds int, auc double, best boolean"
+    if v.limit(1).count() == 0:
+        return df.sparkSession.createDataFrame([], schema)
+    rows = halving(v, list(candidates), _trees, folds)
+    last = max(r[2] for r in rows)
+    best = max((r[4] for r in rows if r[2] == last and r[4] is not None), default=None)
+    told = [(m, ",".join(f"{k}={x}" for k, x in sorted(p.items())), rung, n, None if a is None else round(a, 6), rung == last and a is not None and a == best) for m, p, rung, n, a in rows]
+    return df.sparkSession.createDataFrame(told, schema)
