@@ -152,14 +152,14 @@ def test_encoder_equals_whole_texts():
 
 def test_cache_forgets_the_least_used(monkeypatch):
     path, ids = encoder()
-    monkeypatch.setattr(packing, "CACHE", 60)
     monkeypatch.setattr(packing, "_state", {})
-    encode = packing._encoder(path)
+    encode = packing._encoder(path, 60)
     for i in range(12):
         text = " ".join(f"w{i}x{j} the" for j in range(25))
         got, _ = encode(pa.array([text, "the end"]))
         assert got.tolist() == ids(text)[:-1] + ids("the end")[:-1]
-    assert len(packing._state[path][3].number) <= 90 and "the" in packing._state[path][3].number
+    held = packing._state[path, 60][3].number
+    assert len(held) <= 90 and "the" in held
 
 
 def test_columns_are_priced_at_every_size(spark, monkeypatch):
