@@ -4,7 +4,7 @@
 2. A hash sample gives pivots (at most PIVOTS, about the square root of the nodes). Nodes go to their nearest pivot's cell and are dealt by range of
    (cell, distance), so a unit is a run of about ``block`` nodes of one cell between two distances, however dense the cell. Units number at most
    UNITS: beyond, they grow. Their bounds are the only thing all tasks get.
-3. Bound: a node's k-th neighbour is no further than its k-th within its own unit, nor than the k-th least way over a pivot to a cell's innermost nodes.
+3. Bound: a node's k-th neighbour is no further than its k-th within its own unit, or, in a unit of fewer nodes, than the k-th least way over a pivot to a cell's innermost nodes.
 4. Visits: a unit is visited if the triangle inequality (distance to its pivot against its ring) and the plane between the two
    pivots leave room within that bound. Visitors are sent to the unit's owners (several by salt where many visit) and stream past the unit's nodes.
 
@@ -151,10 +151,12 @@ def _sent(known, width: int, k: int, radius: float | None):
         for b in batches:
             for i in range(b.num_rows):
                 cell, nodes, x = b.column(0)[i].as_py(), b.column(1)[i].values.to_numpy(), _flat(b.column(2)[i], width)
-                bound = cells.bounds(x, k) if radius is None else np.full(len(x), radius)
-                if radius is None and len(x) > k:
-                    d = exact_distances(x, x)
-                    bound = np.minimum(bound, np.partition(d, k, axis=1)[:, k])  # the node itself is among these
+                if radius is not None:
+                    bound = np.full(len(x), radius)
+                elif len(x) > k:
+                    bound = np.partition(exact_distances(x, x), k, axis=1)[:, k]  # the node itself is among these
+                else:
+                    bound = cells.bounds(x, k)
                 got = list(cells.visits(x, cell, bound))
                 for at in range(0, len(got), 256):
                     part = got[at : at + 256]

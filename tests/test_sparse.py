@@ -8,8 +8,8 @@ from dealscope.operators import factor, sparse
 
 def test_eigenpairs_of_a_sparse_matrix(spark):
     rng = np.random.default_rng(0)
-    n = 60
-    a = np.where(rng.random((n, n)) < 0.1, rng.normal(size=(n, n)), 0)
+    n = 30
+    a = np.where(rng.random((n, n)) < 0.2, rng.normal(size=(n, n)), 0)
     a, c = a + a.T, rng.normal(size=n) * 0.3
     entries = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(n) for j in range(n) if a[i, j]], "a long, b long, s double")
     values, u = sparse.lanczos(entries, spark.createDataFrame([(i, float(c[i])) for i in range(n)], "node long, c double"), 3)
@@ -33,7 +33,7 @@ def table(spark):
     rows = []
     for i in range(150):
         g = int(rng.integers(0, 3))
-        rows.append((i, float(rng.normal(g)), float(rng.normal()), "abc"[g], None if i % 17 == 0 else "uvwxyz"[(g + int(rng.integers(0, 3))) % 6], f"client {int(rng.integers(0, 20)) + 5 * g}"))
+        rows.append((i, float(rng.normal(g)), float(rng.normal()), "abc"[g], None if i % 17 == 0 else "uvwxyz"[(g + int(rng.integers(0, 3))) % 6], f"client {int(rng.integers(0, 8)) + 3 * g}"))
     return spark.createDataFrame(rows, "code long, x double, y double, c string, d string, e string")
 
 
@@ -67,14 +67,14 @@ def test_spectral_clusters_of_rings(spark):
     from dealscope.operators import cluster, neighbour_join
 
     rng = np.random.default_rng(1)
-    angle = np.linspace(0, 2 * np.pi, 60, endpoint=False)
-    x = np.concatenate([r * np.stack([np.cos(angle), np.sin(angle)], axis=1) for r in (1, 4)]) + rng.normal(0, 0.02, (120, 2))
+    ring = lambda r, n: r * np.stack([f(np.linspace(0, 2 * np.pi, n, endpoint=False)) for f in (np.cos, np.sin)], axis=1)
+    x = np.concatenate([ring(1, 20), ring(6, 40)]) + rng.normal(0, 0.02, (60, 2))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
     label = {r["id"]: r["label"] for r in cluster.labels(df, "graph", 2).collect()}
-    assert len({label[i] for i in range(60)}) == len({label[i] for i in range(60, 120)}) == 1 and label[0] != label[60]
+    assert len({label[i] for i in range(20)}) == len({label[i] for i in range(20, 60)}) == 1 and label[0] != label[30]
     d = neighbour_join.exact_distances(x, x)
-    a = np.zeros((120, 120))
-    for i in range(120):
+    a = np.zeros((60, 60))
+    for i in range(60):
         a[i, np.argsort(d[i], kind="stable")[1:10]] = 1
     w = (a + a.T) / 2
     root = np.sqrt(w.sum(axis=1))
