@@ -24,6 +24,8 @@ def main() -> None:
             t = time.time()
             catalog.queries()[name](spark, sf).write.format("noop").mode("overwrite").save()
             runs.append(time.time() - t)
+            if sum(runs) > 45:  # a long query is not repeated
+                break
         took[name] = round(statistics.median(runs), 3)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}))
 
