@@ -44,3 +44,18 @@ def test_flags_score_prepared_points_only(spark, monkeypatch):
     df = spark.createDataFrame([(i, float(i % 7), float(i * i % 11)) for i in range(40)], "code long, revenue double, cost double")
     assert outliers.model_flags(df, ["revenue", "cost"]).count() == 40
     assert len(seen) == 1
+
+
+def test_quality_is_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PAIRS", 100_000)
+    rng = np.random.default_rng(8)
+    x, own = rng.normal(size=(1200, 2)), rng.integers(0, 3, 1200)
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, own))], "id long, x array<double>, label long").coalesce(1)
+    stats = vectors.pair_stats(df)
+    got = {r["id"]: r["silhouette"] for r in vectors.silhouettes(stats).collect()}
+    assert stats.rdd.getNumPartitions() == 15  # 1200 x 1200 pairs, 100,000 to a task
+    d = neighbour_join.exact_distances(x, x)
+    for i in range(0, 1200, 97):
+        mean = [d[i, own == k].sum() / ((own == k).sum() - (own[i] == k)) for k in range(3)]
+        a, b = mean[own[i]], min(m for k, m in enumerate(mean) if k != own[i])
+        assert got[i] == pytest.approx((b - a) / max(a, b))
