@@ -11,8 +11,9 @@ global order is by document frequency, then hash, and the first (1 - t) n + 1 of
 each set form its prefix.
 
 Candidate pairs: every member of a prefix group with three pivots of the
-group, two of them those with the fewest shingles of their own; then, once those links have merged classes into components, members of different
-components only, less those that sizes and positions in the order rule out. Pairs are verified exactly: the
+group, two of them those with the fewest shingles of their own; while these links leave many pairs open in different components, with one more
+pivot at a time; then members of different components only, less those that sizes, positions in the order and the shingles each lacks
+of the other (counted from below by a bit each) rule out. Pairs are verified exactly: the
 overlap of a pair is counted in each of ``FRAGMENTS`` fragments apart and summed per pair.
 
 Defined results: null text and text without words have an empty set, n_shingles
@@ -33,6 +34,8 @@ from . import textkit as tk
 from .shared import bitmap, components, drop, in_bitmap, stored, table
 
 SHINGLE, THRESHOLD, UNIT, SHARE, FRAGMENTS = 4, 85, 500_000, 1 / 3, 4
+#: 64-bit words of a set's bits; open pairs for each row of a prefix group, from which on another pivot comes before them
+WORDS, AHEAD = 16, 4
 
 
 def _sets(column, k: int):
@@ -186,6 +189,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int, fragments: int)
     return total.where(100 * F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def _bits(sets: DataFrame) -> DataFrame:
+    """(id, bits: n, b): how many shingles of a set others of these sets hold too, and a bit for each by hash, in WORDS words."""
+    each = sets.select("id", F.explode("hashes").alias("h"))
+    shared = each.join(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h"), "h").select("id", F.xxhash64("h").alias("g"))
+    word, bit = F.pmod(F.shiftright("g", 6), F.lit(WORDS)), F.expr("shiftleft(1L, cast(g & 63 as int))")
+    return shared.groupBy("id").agg(F.struct(F.count("*").alias("n"), F.array(*(F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")) for i in range(WORDS))).alias("b")).alias("bits"))
+
+
+def _common(x, y):
+    """At most so many shingles are common to two sets: a bit that only one has is a shingle that the other lacks."""
+    lacks = lambda p, q: F.aggregate(F.zip_with(p["b"], q["b"], lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda n, k: n + k)
+    return F.least(x["n"] - lacks(x, y), y["n"] - lacks(y, x))
+
+
 def _links(sets: DataFrame, threshold: int, fragments: int) -> DataFrame:
     """Linked pairs (a, b) of class ids: enough of them to connect every component."""
     each = sets.select("id", "n", F.explode("hashes").alias("h"))
@@ -206,20 +223,46 @@ def _links(sets: DataFrame, threshold: int, fragments: int) -> DataFrame:
     cut_sets = stored(sets.join(prefix.select("id").distinct(), "id", "left_semi").select("id", "n", "hashes", cut).select("id", "n", "fragment", F.filter("hashes", lambda h: of(h) == F.col("fragment")).alias("hashes")))
     links = stored(_verified(tried, cut_sets, threshold, fragments))
     label = components(links)
-    # what the pivots left open: members of a group in different components
-    named = prefix.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "h", member.alias("x"), F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("h")
-    rest = named.join(mixed, "h")
-    first = prefix.join(rest.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "h")))["h"].alias("first"))
-    open_ = stored(rest.join(first, "id").select("h", "x", "c", "first"))
-    x, y = (open_.select("h", F.col("x").alias(v), F.col("c").alias(f"c{v}"), F.col("first").alias(f"first_{v}")) for v in "xy")
-    # a pair is emitted once, at its first common shingle, which must stand early in the smaller set
+    turn, spare = 0, []
+    while True:
+        # what the pivots left open: members of a group in different components
+        named = prefix.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "h", member.alias("x"), F.coalesce("component", "id").alias("c"))
+        each_c = named.groupBy("h", "c").agg(F.count("*").alias("m"))
+        mixed = stored(each_c.groupBy("h").agg(F.count("*").alias("cs"), F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max_by("c", F.struct("m", "c")).alias("major")).where("cs > 1"))
+        spare.append(mixed)
+        load = mixed.agg(F.sum("size").alias("rows"), F.sum((F.col("size") * F.col("size") - F.col("same")) / 2).alias("pairs")).first()
+        if not load["rows"] or load["pairs"] <= AHEAD * load["rows"]:
+            break
+        # too many pairs: one more member of each group, drawn by hash, meets those of other components
+        turn += 1
+        at = stored(named.join(mixed.select("h"), "h"))
+        drawn = at.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn + 1)).alias("by"), F.col("x").alias("y"), F.col("c").alias("cy"))).alias("p")).select("h", "p.y", "p.cy")
+        met = at.join(drawn, "h").where((F.col("c") != F.col("cy")) & _may_link(F.col("x"), F.col("y"), threshold))
+        fresh = stored(ordered(met).join(tried, ["a", "b"], "left_anti"))
+        more = stored(_verified(fresh, cut_sets, threshold, fragments))
+        found, seen = more.count(), stored(tried.union(fresh))
+        drop(tried, at, fresh)
+        tried = seen
+        if not found:
+            drop(more)
+            break
+        both = stored(links.union(more))
+        drop(links, more, label)
+        links, label = both, components(both)
+    rest = named.join(mixed.select("h", "major"), "h")
+    ids = stored(rest.select("id").distinct())
+    first = prefix.join(ids, "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "h")))["h"].alias("first"))
+    open_ = stored(rest.join(first, "id").join(_bits(sets.join(ids, "id", "left_semi")), "id").select("h", "x", "c", "major", "first", "bits"))
+    x, y = (open_.select("h", "major", F.col("x").alias(v), F.col("c").alias(f"c{v}"), F.col("first").alias(f"first_{v}"), F.col("bits").alias(f"bits_{v}")) for v in "xy")
+    # a pair is emitted once, at its first common shingle, which must stand early in the smaller set; in a group's largest component nobody seeks
     early = lambda v: F.col(f"{v}.pos") <= F.col(f"{v}.n") - F.ceil(2 * F.col(f"{v}.n") * threshold / (100 + threshold)) + 1
     once = (F.array_intersect("first_x", "first_y")[0] == F.col("h")) & F.when(F.col("x.n") < F.col("y.n"), early("x")).otherwise(early("y"))
-    cross = x.join(y, "h").where((F.col("cx") != F.col("cy")) & (F.col("x.id") < F.col("y.id")) & _may_link(F.col("x"), F.col("y"), threshold) & once)
+    sought = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x.id") < F.col("y.id")))
+    close = _common(F.col("bits_x"), F.col("bits_y")) >= _need(F.col("x.n"), F.col("y.n"), threshold)
+    cross = x.where("cx <> major").join(y.drop("major"), "h").where(sought & _may_link(F.col("x"), F.col("y"), threshold) & once & close)
     more = stored(_verified(ordered(cross).join(tried, ["a", "b"], "left_anti"), cut_sets, threshold, fragments))
     out = stored(links.union(more))
-    drop(prefix, tried, cut_sets, links, label, open_, more)
+    drop(prefix, tried, cut_sets, links, label, ids, open_, more, *spare)
     return out
 
 

@@ -1,6 +1,7 @@
 """Line templates, PII, substring, passage and n-gram dedup against brute force on small tables."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -99,6 +100,30 @@ def test_ngram_components(docs):
     assert ngram_join.link_documents(docs.limit(0)).count() == 0
 
 
+def test_copies_without_their_text(spark, monkeypatch):
+    """Edited copies whose own text is not there, in four degrees: linked as by every pair, and few pairs are tried."""
+    rng, rows = random.Random(3), []
+    base = prose(11, 150).split()
+    for i in range(240):
+        own = list(base)
+        for at in rng.sample(range(150), (1, 2, 3, 4)[i % 4]):
+            own[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(own)))
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(147)} for _, t in rows]
+    want = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both) and want[i] != want[j]:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if w == old else w for w in want]
+    tried, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *more: verified((tried.append(pairs.count()), pairs)[1], *more))
+    got = {r.doc_id: r.component_id for r in ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == want and 1 < len(set(want)) < 200
+    assert sum(tried) < 12 * len(rows)
+
+
 def test_passages(docs):
     got = {r.doc_id: r for r in compact_windows.dedup_passages(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
     assert got[1].class_id == got[3].class_id == got[4].class_id == 1
