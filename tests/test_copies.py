@@ -1,5 +1,7 @@
 """Local outlier factors where points have many rows and distances tie, and what they leave for the shuffles."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -59,3 +61,22 @@ def test_quality_is_spread_over_tasks(spark, monkeypatch):
         mean = [d[i, own == k].sum() / ((own == k).sum() - (own[i] == k)) for k in range(3)]
         a, b = mean[own[i]], min(m for k, m in enumerate(mean) if k != own[i])
         assert got[i] == pytest.approx((b - a) / max(a, b))
+
+
+def test_top_outliers_from_one_pass(spark, monkeypatch):
+    rows = [(i, f"c{i % 7}", f"e{i % 3}", i % 7 < 3 or i % 5 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "code long, client string, entity string, multi boolean")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(outliers, "with_flags", lambda d: d.mapInArrow(counted, d.schema))
+    got = [(r.level, r.name, r.n) for r in outliers.top_outliers(df).collect()]
+    want = []
+    for level, at in (("client", 1), ("entity", 2)):
+        n = Counter(r[at] for r in rows if r[3])
+        want += [(level, k, v) for k, v in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:5]]
+    assert sorted(got) == sorted(want) and read.value == len(rows)
