@@ -80,3 +80,39 @@ def test_top_outliers_from_one_pass(spark, monkeypatch):
         n = Counter(r[at] for r in rows if r[3])
         want += [(level, k, v) for k, v in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:5]]
     assert sorted(got) == sorted(want) and read.value == len(rows)
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_flags_by_point_equal_factors_of_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(vectors, "FEW", few)
+    rng = np.random.default_rng(9)
+    base = np.concatenate([rng.normal(0, 1, (150, 2)), rng.normal(0, 9, (25, 2))])
+    x = np.repeat(base, rng.integers(1, 4, len(base)), axis=0)
+    rows = [(int(i) * 3, float(a), None if i % 9 == 0 else float(b)) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "code long, revenue double, cost double")
+    p = outliers.points(df, ["revenue", "cost"])
+    want = {f: {r["id"]: r["lof"] > outliers.LOF_SCORE for r in vectors.local_outlier_factor(p.select("id", p[f].alias("x"))).collect()} for f in ("raw", "prepared")}
+    got = outliers.density_flags(df, ["revenue", "cost"]).collect()
+    assert len(got) == len(rows)
+    for f in want:
+        assert {r["id"]: r[f"lof_{f}"] for r in got} == want[f] and 0 < sum(want[f].values()) < len(rows)
+    f = {r["code"]: r for r in outliers.model_flags(df, ["revenue", "cost"]).collect()}
+    assert {k: r["b"] for k, r in f.items()} == want["prepared"]
+    scores = {r["id"]: r["score"] for r in vectors.isolation_forest(p, "id", "prepared").collect()}
+    assert {k: r["a"] for k, r in f.items()} == {k: v > outliers.FOREST_SCORE for k, v in scores.items()}
+    side = {r["code"] for r in outliers_of(df)}
+    assert {k for k, r in f.items() if r["u"]} == side
+
+
+def outliers_of(df):
+    from dealscope.operators.profile import iqr_outliers
+
+    return iqr_outliers(df, ["revenue", "cost"]).collect()
+
+
+def test_flags_do_not_shuffle_rows(spark):
+    """Rows meet forests, fences and outlying points where they are."""
+    df = spark.createDataFrame([(i, float(i % 7), float(i * i % 11)) for i in range(400)], "code long, revenue double, cost double")
+    for flags in (outliers.forest_flags, outliers.density_flags, outliers.model_flags):
+        plan = flags(df, ["revenue", "cost"])._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan, flags
