@@ -116,3 +116,16 @@ def test_flags_do_not_shuffle_rows(spark):
     for flags in (outliers.forest_flags, outliers.density_flags, outliers.model_flags):
         plan = flags(df, ["revenue", "cost"])._jdf.queryExecution().executedPlan().toString()
         assert "Exchange hashpartitioning" not in plan, flags
+
+
+def test_quality_of_points_far_from_the_origin(spark):
+    rng = np.random.default_rng(4)
+    x, own = rng.normal(size=(90, 2)) + np.repeat([[0, 0], [6, 0], [0, 6]], 30, axis=0), np.repeat(range(3), 30)
+    df = spark.createDataFrame([(i, (v + 1e7).tolist(), int(k)) for i, (v, k) in enumerate(zip(x, own))], "id long, x array<double>, label long")
+    got = vectors.overall(vectors.pair_stats(df))
+    d, same = neighbour_join.exact_distances(x, x), own[:, None] == own
+    a = np.where(same, d, 0).sum(axis=1) / 29
+    b = np.min([np.where(own == k, np.inf, d[:, own == k].mean(axis=1)) for k in range(3)], axis=0)
+    score = (b - a) / np.maximum(a, b)
+    assert (got["m"], got["s"], got["n"]) == (pytest.approx(score.mean(), abs=1e-7), pytest.approx(score.std(ddof=1), abs=1e-7), 90)
+    assert got["dunn"] == pytest.approx(d[~same].min() / d[same].max(), rel=1e-6)
