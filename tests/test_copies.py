@@ -129,3 +129,13 @@ def test_quality_of_points_far_from_the_origin(spark):
     score = (b - a) / np.maximum(a, b)
     assert (got["m"], got["s"], got["n"]) == (pytest.approx(score.mean(), abs=1e-7), pytest.approx(score.std(ddof=1), abs=1e-7), 90)
     assert got["dunn"] == pytest.approx(d[~same].min() / d[same].max(), rel=1e-6)
+
+
+def test_neighbour_search_is_dealt_by_work(spark):
+    """Few bytes, much work: what adaptive execution would put into one task stays dealt out, and a node's neighbours are one row."""
+    x = np.random.default_rng(5).normal(size=(3000, 2))
+    classes = neighbour_join.grouped(frame(spark, np.arange(3000), x), 5)
+    units, visitors, width = neighbour_join.visited(classes.select("node", "x"), 5, block=64)
+    assert neighbour_join._met(units, visitors, width, 5).rdd.getNumPartitions() >= neighbour_join.tasks(classes)
+    near = neighbour_join.nearest_counts(classes, 5, block=64)
+    assert near.count() == 3000 and near.select("to").first()["to"] is not None
